@@ -1,11 +1,20 @@
 """The registered queries of this folder and their SQL."""
 
-from . import lm_score, mixing, simhash, suffix_dedup
+import corpus_pipeline
+
+from . import fingerprint, langid, lm_score, mixing, packing, pii, simhash, suffix_dedup, topk, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_mixing": mixing.op2_mixing,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
+    "op4_topk": topk.op4_topk,
+    "op5_packing": packing.op5_packing,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_language": langid.op7_language,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_pii": pii.op10_pii,
 }
-ORACLES = {"op1_lm_score": lm_score.ORACLE, "op2_mixing": mixing.ORACLE}
+ORACLES = {"op1_lm_score": lm_score.ORACLE, "op2_mixing": mixing.ORACLE, "op4_topk": topk.ORACLE, "op6_url_filter": url_filter.ORACLE}

@@ -202,21 +202,32 @@ def hamming_groups(prints: DataFrame, bits: int = 4, cap: int = 4096) -> DataFra
     return components(ordered.mapInPandas(links, "u long, v long")).withColumnRenamed("v", "fp")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id, __th``: equal for rows of equal id (null too) and text."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__th": F.xxhash64(F.col("doc_id").isNull(), text_or_empty())})
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, cap: int = 4096) -> DataFrame:
-    """One row per document: ``doc_id, fp`` (long), ``root`` (the component's smallest fingerprint), ``component_id``."""
+    """One row per document: ``doc_id, fp`` (long), ``root`` (the component's smallest fingerprint), ``component_id``, and the row's keys.
+
+    ``keep`` marks one document of each component, that of the smallest id (its repeated rows are all marked).
+    """
 
     def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            yield pd.DataFrame({"doc_id": df["doc_id"], "fp": np.array([fingerprint(t, words) for t in df["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": df["doc_id"], "__id": df["__id"], "__th": df["__th"], "fp": np.array([fingerprint(t, words) for t in df["text"]], np.uint64).view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(prints, f"doc_id {kind}, fp long"), "prints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    texts = row_keys(docs).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
+    rows = written(texts.mapInPandas(prints, f"doc_id {kind}, __id long, __th long, fp long"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__th"))
+    distinct = written(rows.groupBy("fp").agg(first.alias("first")), "distinct")
     groups = hamming_groups(distinct.select("fp"), bits, cap)
-    rooted = distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = written(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
-    return rows.join(final, "fp")
+    rooted = distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    final = written(rooted.join(ids, "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least.__th").alias("kept")), "classes")
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("kept"))
+    return rows.join(final, "fp").withColumn("keep", keep).drop("kept")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
