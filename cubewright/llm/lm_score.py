@@ -54,7 +54,7 @@ def ngrams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
         h = np.zeros(len(words), np.uint64)
         if len(words) > k:
             same = doc[k:] == doc[:-k]
-            h[k:] = np.where(same, mix(levels[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + words[k:]) | np.uint64(2), np.uint64(0))
+            h[k:] = np.where(same, mix(levels[-1][k - 1 : -1] * np.uint64(0x9E3779B97F4A7C15) + words[k:]) | np.uint64(2), np.uint64(0))
         levels.append(h)
     return levels
 

@@ -213,19 +213,23 @@ def _merge(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Shards of one split anchor and one hash range: by binary search in the others' sorted strings, which single ones occur there."""
     k1 = [np.frombuffer(x, np.uint64) for x in rows["k1"]]
     k2 = [np.frombuffer(x, np.uint64) for x in rows["k2"]]
-    all1 = np.concatenate(k1)
-    o = np.argsort(all1)
-    all1, all2 = all1[o], np.concatenate(k2)[o]
+    own = [np.frombuffer(x, np.int64) for x in rows["own"]]
+    ids = [np.frombuffer(x, np.int64).reshape(2, -1) for x in rows["ids"]]
+    place = [mix(mix(i.view(np.uint64)[0] ^ mix(i.view(np.uint64)[1])) + o.view(np.uint64)) for i, o in zip(ids, own)]
+    all1, all2 = np.concatenate(k1), np.concatenate(k2)
+    o = np.lexsort((all2, all1))
+    all1, all2 = all1[o], all2[o]
+    bound = np.flatnonzero(np.concatenate([[True], (all1[1:] != all1[:-1]) | (all2[1:] != all2[:-1])]))
+    where = np.concatenate(place)[o]  # one place can come from two shards, when contexts of a document overlap
+    again = np.maximum.reduceat(where, bound) != np.minimum.reduceat(where, bound)
+    again |= np.logical_or.reduceat(np.concatenate(own)[o] < 0, bound)
     out = []
-    for a, b, own, ids in zip(k1, k2, rows["own"], rows["ids"]):
-        own, ids = np.frombuffer(own, np.int64), np.frombuffer(ids, np.int64).reshape(2, -1)
-        lo, hi = np.searchsorted(all1, a, "left"), np.searchsorted(all1, a, "right")
-        same = np.zeros(len(a), np.int64)
-        for d in range(int((hi - lo).max(initial=0))):
-            ok = lo + d < hi
-            same += ok & (all2[np.minimum(lo + d, len(all2) - 1)] == b)
-        m = (same > 1) & (own >= 0)
-        out.append(pd.DataFrame({"id": ids[0][m], "th": ids[1][m], "s": own[m], "e": own[m] + length}))
+    for a, b, w, i in zip(k1, k2, own, ids):
+        at = np.searchsorted(all1, a)
+        while (other := all2[at] != b).any():
+            at = at + other
+        m = again[np.searchsorted(bound, at, "right") - 1] & (w >= 0)
+        out.append(pd.DataFrame({"id": i[0][m], "th": i[1][m], "s": w[m], "e": w[m] + length}))
     return pd.concat(out)
 
 
@@ -234,7 +238,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
     spark = docs.sparkSession
     reach = length - GRAM
     text = text_or_empty()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    none = F.col("doc_id").isNull()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(none, text).alias("th"), none.alias("none"), text.alias("text"))
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
@@ -264,9 +269,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
     def squeeze(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdCompressor(level=1)
         for df in chunks:
-            yield pd.DataFrame({"id": df["id"], "th": df["th"], "z": [z.compress(t.encode()) for t in df["text"]]})
+            yield pd.DataFrame({"id": df["id"], "th": df["th"], "none": df["none"], "z": [z.compress(t.encode()) for t in df["text"]]})
 
-    packed = rows.mapInPandas(squeeze, "id long, th long, z binary")
+    packed = rows.mapInPandas(squeeze, "id long, th long, none boolean, z binary")
 
     def cut(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
@@ -330,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, cap: int = 1000) -> DataF
         z = zstandard.ZstdDecompressor()
         for df in chunks:
             out = []
-            for i, blob, spans in zip(df["id"], df["z"], df["spans"]):
+            for i, none, blob, spans in zip(df["id"], df["none"], df["z"], df["spans"]):
                 raw = z.decompress(blob)
                 merged: list[list[int]] = []
                 for s, e in sorted((x["s"], x["e"]) for x in (spans if spans is not None else ())):
@@ -340,8 +345,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, cap: int = 1000) -> DataF
                         merged.append([s, e])
                 cuts = [0, *(x for m in merged for x in m), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out.append((i, len(raw), len(raw) - len(kept), len(merged), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((None if none else i, len(raw), len(raw) - len(kept), len(merged), kept))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
 
     return packed.join(spans, ["id", "th"], "left").mapInPandas(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

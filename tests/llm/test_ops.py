@@ -61,7 +61,8 @@ def test_odd_rows(name, docs, empty):
     if name != "pack":
         assert len(got) == len(TEXTS)
         assert sorted((r[0] for r in got), key=repr) == sorted((t[0] for t in TEXTS), key=repr)
-    assert len([r for r in got if r[0] == 1]) == 2 and len({r for r in got if r[0] == 1}) == 1
+    same = {r[:2] for r in got if r[0] == 1}  # what follows a document differs between repeated rows
+    assert len([r for r in got if r[0] == 1]) == 2 and len(same) == 1
     assert got == per_row(DIGESTS[name](docs.repartition(3, "n_chars")))
 
 
