@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_or_empty, written
+from .common import mix, small_batches, text_or_empty, written
 
 PER_OCTAVE = 24
 _rng = np.random.default_rng(20240229)
@@ -122,6 +122,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     a range's first and last documents are kept and matched with the neighbouring ranges afterwards.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))

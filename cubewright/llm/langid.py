@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined_bytes, mix
+from .common import joined_bytes, mix, small_batches
 
 SIZES = (3, 4)
 #: Bytes of an n-gram: letters in lower case and all bytes of other scripts; anything else is a space.
@@ -135,6 +135,7 @@ def learn(rows: DataFrame, per_language: int = 2000, least: int = 3, share: floa
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``; only ``text`` is read."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 

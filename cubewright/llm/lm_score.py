@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, is_space, joined_bytes, mix, text_or_empty
+from .common import Rolling, is_space, joined_bytes, mix, small_batches, text_or_empty
 
 ALL = np.uint64(1)  # stands for "any word": its count is N
 
@@ -84,6 +84,7 @@ def _counts(raw: list[bytes], order: int):
 def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = 16 << 20, buckets: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``. ``buckets``: slices of the hash range, by default four a shuffle partition."""
     spark = docs.sparkSession
+    small_batches(spark)
     slices = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, joined_bytes, text_or_empty, written
+from .common import Rolling, joined_bytes, small_batches, text_or_empty, written
 
 
 class Encoder:
@@ -140,6 +140,7 @@ def _encoder(path: str) -> Encoder:
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of each document's tokens and the end token, cut at ``capacity``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

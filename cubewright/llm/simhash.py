@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import small_batches, text_or_empty, written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, cap: int = 4
     ``keep`` marks one document of each component, that of the smallest id (its repeated rows are all marked).
     """
 
+    small_batches(docs.sparkSession)
     def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             yield pd.DataFrame({"doc_id": df["doc_id"], "__id": df["__id"], "__th": df["__th"], "fp": np.array([fingerprint(t, words) for t in df["text"]], np.uint64).view(np.int64)})

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, joined_bytes, mix, text_or_empty, written
+from .common import Rolling, joined_bytes, mix, small_batches, text_or_empty, written
 
 GRAM = 64
 BATCH = 4 << 20
@@ -236,6 +236,7 @@ def _merge(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(packed texts, covers). Covers: ``id, th, s, e``: bytes s..e of the text with hash ``th`` of document ``id`` occur elsewhere too."""
     spark = docs.sparkSession
+    small_batches(spark)
     reach = length - GRAM
     text = text_or_empty()
     none = F.col("doc_id").isNull()
