@@ -81,7 +81,7 @@ def _counts(raw: list[bytes], order: int):
     return doc, sizes, levels, grams, n
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = 16 << 20, buckets: int | None = None) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``. ``buckets``: slices of the hash range, by default four a shuffle partition."""
     spark = docs.sparkSession
     small_batches(spark)
