@@ -41,10 +41,11 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
         used = F.sum(F.when(v.isNotNull(), w))
         if how == "mean":
             return F.when(used > 0, F.sum(v * w) / used).otherwise(F.avg(v))
-        mid, mean = F.col(f"__mid_{means[name]}"), F.col(means[name])
+        mid, mean = F.col(f"__mid_{means[name]}"), nullif_nan(means[name])
+        used = F.sum(F.when(v.isNotNull() & mean.isNotNull(), w))
         squares = F.sum(w * (v * v + (mean - mid) * (mean - mid)))
-        shift = F.sum(w * (mean - mid)) / F.sum(w)
-        return F.when(F.sum(w) > 0, F.sqrt(F.greatest(F.lit(0.0), squares / F.sum(w) - shift * shift)))
+        shift = F.try_divide(F.sum(F.when(v.isNotNull(), w * (mean - mid))), used)
+        return F.when(used > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, used) - shift * shift)))
 
     active = [d for d in dims if d in allowed]
     cols = [aggregate(k, how).alias(k) for k, how in metrics.items()]
