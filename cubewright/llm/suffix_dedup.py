@@ -2,7 +2,7 @@
 
 How it stays exact without one global suffix array:
 
-1. *Anchors.* In every window of ``length`` bytes the 64-byte gram of least hash is an anchor, so two equal strings
+1. *Anchors.* In every window of ``length`` bytes the gram of half that size with the least hash is an anchor, so two equal strings
    of ``length`` bytes hold the same anchor at the same place. An anchor's context is what such strings can reach.
 2. Anchors whose gram occurs once are dropped. Contexts are then grouped by a hash of their whole content: where a
    context occurs twice, everything in it is repeated, and it counts once from here on (groups of copies shrink to one row).
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, joined_bytes, mix, small_batches, text_or_empty, written
 
-GRAM = 64
 BATCH = 4 << 20
 
 
@@ -42,13 +41,14 @@ def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Anchors of all texts in ``data``: text number, place in it, hash of the gram, hash and size of the context."""
-    reach, none = length - GRAM, np.zeros(0, np.int64)
+    gram, none = length // 2, np.zeros(0, np.int64)
+    reach = length - gram
     sizes = np.diff(ends)
     if len(data) < length or not (sizes >= length).any():
         return {"text": none, "pos": none, "h": none, "ck": none, "len": none}
     roll = Rolling(data)
-    at = np.arange(len(data) - GRAM + 1)
-    h = roll.of(at, at + GRAM)
+    at = np.arange(len(data) - gram + 1)
+    h = roll.of(at, at + gram)
     short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = _sliding(np.minimum, short, reach + 1)  # for windows that start at 0 .. len(data) - length
     step = np.zeros(len(data) + 1, np.int8)  # windows that cross from one text into the next don't count
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
     """(packed texts, covers). Covers: ``id, th, s, e``: bytes s..e of the text with hash ``th`` of document ``id`` occur elsewhere too."""
     spark = docs.sparkSession
     small_batches(spark)
-    reach = length - GRAM
+    reach = length - length // 2
     text = text_or_empty()
     none = F.col("doc_id").isNull()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(none, text).alias("th"), none.alias("none"), text.alias("text"))
