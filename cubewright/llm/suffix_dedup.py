@@ -17,6 +17,7 @@ shared string; texts shorter than ``length`` are kept whole; an empty table give
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, joined_bytes, mix, small_batches, text_or_empty, written
 
 BATCH = 4 << 20
+SHARD_BYTES = 1 << 18
 
 
 def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
@@ -70,11 +72,11 @@ def suffix_array(data: np.ndarray, limit: np.ndarray, words: np.ndarray, most: i
     Larsson-Sadakane refinement: order by 8 bytes, then sort each group by the rank of what follows, twice as far each time.
     """
     n, place = len(data), np.flatnonzero(limit)
-    sa = place[np.argsort(words[place])]
+    sa = place[np.argsort(words[place])].astype(np.int32)
     key = words[sa]
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0))
-    rank = np.zeros(n, np.int64)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(sa), dtype=np.int32), 0))
+    rank = np.zeros(n + most, np.int32)
     rank[sa] = first + 1
     k = 8
     while True:
@@ -85,8 +87,8 @@ def suffix_array(data: np.ndarray, limit: np.ndarray, words: np.ndarray, most: i
             return sa
         p = sa[slots]
         done = k >= most
-        after = p if done else np.where(p + k < limit[p], rank[np.minimum(p + k, n - 1)], 0)
-        key = first[slots] * (n + 2) + after
+        after = p if done else rank[p + k] * (p + k < limit[p])
+        key = first[slots].astype(np.int64) * (n + 2) + after
         order = np.argsort(key)
         sa[slots], key = p[order], key[order]
         if done:  # equal to their ends: by place
@@ -104,9 +106,9 @@ def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray
     Kasai's recurrence ``plcp[i] >= plcp[i - d] - d`` from every ``stride``-th place bounds the others, which are then extended eight bytes at a time.
     """
     n = len(data)
-    before = np.full(n, -1)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
 
     def extend(i: np.ndarray, have: np.ndarray) -> None:
         j = before[i]
@@ -146,7 +148,7 @@ def classes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     sizes = np.array([len(p) for p in pieces])
     starts = np.concatenate([[0], np.cumsum(sizes + 8)])[:-1]
     data = np.frombuffer(b"\0\0\0\0\0\0\0\0".join(pieces) + bytes(8), np.uint8)
-    limit = np.zeros(len(data) + 8, np.int64)
+    limit = np.zeros(len(data) + 8, np.int32)
     inside = np.repeat(starts + sizes, sizes)
     real = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())
     limit[real] = inside
@@ -289,35 +291,27 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
     pieces = packed.join(need, ["id", "th"]).mapInPandas(cut, "h long, salt int, parts int, n long, id long, th long, s long, ctx binary")
 
     def build(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups come in order; a chunk holds whole groups, and a split group makes its own."""
-        held: list[pd.DataFrame] = []
-        size = 0
-
-        def flush():
-            nonlocal held, size
-            if held:
-                yield from _shard(pd.concat(held, ignore_index=True), length)
-            held, size = [], 0
-
+        """Groups come in order; a shard holds whole groups, as many as the caches take well, and a split group makes its own."""
         waiting = None
-        for df in chunks:
-            df = df if waiting is None else pd.concat([waiting, df], ignore_index=True)
-            edge = np.flatnonzero((df["h"].diff() != 0) | (df["salt"].diff() != 0))
-            for a, b in zip(edge[:-1], edge[1:]):
-                g = df.iloc[a:b]
-                alone = g["parts"].iloc[0] > 1
-                if alone:
-                    yield from flush()
-                held.append(g)
-                size += len(g) * (length + reach)
-                if alone or size > 2 << 20:
-                    yield from flush()
-            waiting = df.iloc[edge[-1] :] if len(edge) else None
+        for df in itertools.chain(chunks, [None]):
+            last = df is None
+            if waiting is not None:
+                df = waiting if last else pd.concat([waiting, df], ignore_index=True)
+            if df is None or not len(df):
+                continue
+            h, salt, parts = (df[c].to_numpy() for c in ("h", "salt", "parts"))
+            edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]))
+            start = 0
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(df)).tolist() if last else edge[1:].tolist()):
+                if parts[a] > 1 and start < a:
+                    yield from _shard(df.iloc[start:a], length)
+                    start = a
+                if parts[a] > 1 or (b - start) * (length + reach) >= SHARD_BYTES:
+                    yield from _shard(df.iloc[start:b], length)
+                    start = b
+            waiting = df.iloc[start:]
         if waiting is not None and len(waiting):
-            if waiting["parts"].iloc[0] > 1:
-                yield from flush()
-            held.append(waiting)
-        yield from flush()
+            yield from _shard(waiting, length)
 
     shard = written(pieces.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInPandas(build, SHARD), "shards")
     merged = shard.where("h is not null").groupBy("h", "part").applyInPandas(lambda g: _merge(g, length), COVER)
