@@ -333,6 +333,24 @@ def test_pii(spark, sf):
         assert [s for s in got[i].split(",") if s.split(":")[0] in pii.BASE] == brute_pii(t)
 
 
+def test_pii_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii.op10_pii(spark, sf).collect():
+        want = brute_pii(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(w.startswith(k + ":") for w in want) for k in pii.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and r.spans.startswith(",".join(want))
+
+
+def test_registered_queries_run(spark, sf):
+    """Every query of this folder runs on the given tables and has its columns."""
+    from cubewright.llm.queries import QUERIES
+
+    shapes = {"op2": "doc_id size source_size target taken", "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4": "query_id rank vec_id score", "op5": "doc_id piece start length ids_crc32 sequence_id offset", "op6": "page_id host path rule verdict", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_bytes n_removed n_spans kept_sha256", "op9": "doc_id fingerprint component_id", "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans"}
+    for name, q in QUERIES.items():
+        df = q(spark, sf)
+        assert set(shapes.get(name.split("_")[0], "doc_id").split()) <= set(df.columns) and df.collect()
+
+
 def test_pii_more_kinds(spark):
     texts = ["DE89 3704 0044 0532 0130 00 is my iban", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789", "é a@b.co and 4111111111111111!"]
     df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
