@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that repeat it, one stays."""
-    kept = simhash.near_duplicates(docs).where("keep").select("__id", "__th").distinct()
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest id. Of rows that repeat it, one stays."""
+    kept = simhash.near_copies(docs).where("keep").select("__id", "__th").distinct()
     rows = simhash.row_keys(docs).join(kept, ["__id", "__th"], "left_semi")
     return rows.dropDuplicates(["__id", "__th"]).select(*docs.columns)
 
@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mix), ("packing", pack)]
-#: The fingerprints of stage two and the tokenizer of the last one can't be expressed in SQL.
+#: The sketches of stage two and the tokenizer of the last one can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -13,35 +13,50 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, written
+from .common import bounded, mix, small_batches, text_or_empty, written
 
+#: Words of 64 bits in a sketch.
+WIDE = 5
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """64 bits of which each is set if it is set in over half of the shingles' hashes, repeats included."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``words`` words, repeats included; of the whole sequence if it is shorter."""
     ws = (text or "").encode().translate(LOWER).split()
-    if not ws:
-        return 0
     joined = b" ".join(ws)
+    digest = xxhash.xxh64_intdigest
     if len(ws) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)] if ws else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     starts = np.concatenate([[0], ends[: -words] + 1])
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """64 bits of which each is set if it is set in over half of ``h``."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    return int(majority(shingle_hashes(text, words, seed)))
+
+
+def sketch(text: str | None, words: int = 5) -> np.ndarray:
+    """A fingerprint of ``WIDE`` words of 64 bits, each from its own mix of the hashes of the text's different shingles."""
+    h = np.unique(shingle_hashes(text, words))
+    return np.array([majority(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in range(WIDE)], np.uint64)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -144,6 +159,23 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def whole_groups(parts: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in frames that hold whole groups of ``cols``, and where each group starts (one more entry for the end)."""
+    waiting = None
+    for df in itertools.chain(parts, [None]):
+        last = df is None
+        if waiting is not None and len(waiting):
+            df = waiting if last else pd.concat([waiting, df], ignore_index=True)
+        if df is None or not len(df):
+            continue
+        values = [df[c].to_numpy() for c in cols]
+        edge = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in values], axis=0)]))
+        edge = np.append(edge, len(df)) if last else edge
+        if len(edge) > 1:
+            yield df.iloc[: edge[-1]], edge
+        waiting = df.iloc[edge[-1] :]
+
+
 def hamming_groups(prints: DataFrame, bits: int = 4, cap: int = 4096) -> DataFrame:
     """``fp, root`` for the distinct ``fp`` (long) of ``prints`` that have a neighbour within ``bits`` bits."""
     n = prints.count()
@@ -167,26 +199,17 @@ def hamming_groups(prints: DataFrame, bits: int = 4, cap: int = 4096) -> DataFra
     )
 
     def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting = None
-        for df in itertools.chain(parts, [None]):
-            last = df is None
-            if waiting is not None and len(waiting):
-                df = waiting if last else pd.concat([waiting, df], ignore_index=True)
-            if df is None or not len(df):
-                continue
-            cols = [df[c].to_numpy() for c in ("table", "key", "i", "j")]
-            edge = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
-            edge = np.append(edge, len(df)) if last else edge
-            fp, own, us, vs = df["fp"].to_numpy().view(np.uint64), df["own"].to_numpy(), [], []
+        for df, edge in whole_groups(parts, ["table", "key", "i", "j"]):
+            fp, own, i, j, us, vs = df["fp"].to_numpy().view(np.uint64), *(df[c].to_numpy() for c in ("own", "i", "j")), [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 if b - a < 2:
                     continue
                 x = fp[a:b]
-                if cols[2][a] == cols[3][a]:
+                if i[a] == j[a]:
                     x = x[np.argsort(gray_rank(x))]
                     label = forest(len(x), close_pairs(x, None, bits))
                 else:
-                    first = own[a:b] == cols[2][a]
+                    first = own[a:b] == i[a]
                     p, q = x[first], x[~first]
                     p, q = p[np.argsort(gray_rank(p))], q[np.argsort(gray_rank(q))]
                     x = np.concatenate([p, q])
@@ -196,7 +219,6 @@ def hamming_groups(prints: DataFrame, bits: int = 4, cap: int = 4096) -> DataFra
                 vs.append(x[label[got]])
             if us:
                 yield pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
-            waiting = df.iloc[edge[-1] :]
 
     ordered = dealt.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j")
     return components(ordered.mapInPandas(links, "u long, v long")).withColumnRenamed("v", "fp")
@@ -207,13 +229,26 @@ def row_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__th": F.xxhash64(F.col("doc_id").isNull(), text_or_empty())})
 
 
+def first_row() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__th"))
+
+
+def classed(rows: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, ``component_id`` and ``keep``, from the ``first`` row of each ``distinct`` fingerprint and the ``groups`` they form."""
+    rooted = distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    final = written(rooted.join(ids, "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least.__th").alias("kept")), "classes")
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("kept"))
+    return rows.join(final, "fp").withColumn("keep", keep).drop("kept")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, cap: int = 4096) -> DataFrame:
     """One row per document: ``doc_id, fp`` (long), ``root`` (the component's smallest fingerprint), ``component_id``, and the row's keys.
 
     ``keep`` marks one document of each component, that of the smallest id (its repeated rows are all marked).
     """
-
     small_batches(docs.sparkSession)
+
     def prints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             yield pd.DataFrame({"doc_id": df["doc_id"], "__id": df["__id"], "__th": df["__th"], "fp": np.array([fingerprint(t, words) for t in df["text"]], np.uint64).view(np.int64)})
@@ -221,14 +256,100 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, cap: int = 4
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = row_keys(docs).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
     rows = written(texts.mapInPandas(prints, f"doc_id {kind}, __id long, __th long, fp long"), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__th"))
-    distinct = written(rows.groupBy("fp").agg(first.alias("first")), "distinct")
-    groups = hamming_groups(distinct.select("fp"), bits, cap)
-    rooted = distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    final = written(rooted.join(ids, "root").select("fp", "root", F.col("least.doc_id").alias("component_id"), F.col("least.__th").alias("kept")), "classes")
-    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("__th") == F.col("kept"))
-    return rows.join(final, "fp").withColumn("keep", keep).drop("kept")
+    distinct = written(rows.groupBy("fp").agg(first_row().alias("first")), "distinct")
+    return classed(rows, distinct, hamming_groups(distinct.select("fp"), bits, cap))
+
+
+def sketch_links(nodes: DataFrame, similarity: float, recall: float, cap: int = 4096, leaf: int = 64) -> DataFrame:
+    """``u, v``: links that connect the rows of ``nodes`` (``fp``, ``w0`` ...) whose sketches differ as little as shingle sets of ``similarity`` do.
+
+    Such sketches differ in a share ``flip`` of their bits. Each of ``tables`` samples ``k`` bits (about a row a bucket by chance), as many tables
+    as find a pair with probability ``recall``; both follow from the row count. Buckets are searched in Gray order, then all words are compared.
+    """
+    flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    k = max(8, math.ceil(math.log2(max(nodes.count(), 2))))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** k))
+    most, most_of_word = (int(n * flip + sds * (n * flip * (1 - flip)) ** 0.5) for n, sds in ((64 * WIDE, 2), (64, 3)))
+    masks = np.zeros((tables, WIDE), np.uint64)
+    for t in range(tables):
+        for bit in np.random.default_rng(t).choice(64 * WIDE, k, replace=False):
+            masks[t, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
+    names = [f"w{i}" for i in range(WIDE)]
+
+    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            w = df[names].to_numpy().view(np.uint64)
+            for t in range(tables):
+                h = np.full(len(w), t, np.uint64)
+                for i in range(WIDE):
+                    h = mix(h + np.uint64(0x9E3779B97F4A7C15) + (w[:, i] & masks[t, i]))
+                yield df.assign(key=h.view(np.int64))
+
+    keyed = nodes.select("fp", *names).mapInPandas(keys, ", ".join(f"{c} long" for c in ["fp", *names, "key"]))
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("chunks")), "hot")
+    dealt = keyed.join(bounded(hot, 100_000), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", *names)
+
+    def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df, edge in whole_groups(parts, ["key", "i", "j"]):
+            w, own, i, j = df[names].to_numpy().view(np.uint64), *(df[c].to_numpy() for c in ("own", "i", "j"))
+            group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            small = np.diff(edge) <= leaf
+
+            def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                a = np.flatnonzero(small[group])
+                for step in range(1, leaf):  # leaves of all small buckets at once
+                    a = a[a + step < len(group)]
+                    a = a[group[a] == group[a + step]]
+                    if not len(a):
+                        break
+                    yield a, a + step
+                for g in np.flatnonzero(~small).tolist():
+                    at = np.arange(edge[g], edge[g + 1])
+                    at = at[np.argsort(gray_rank(w[at, 0]))]
+                    if i[at[0]] == j[at[0]]:
+                        p = q = at
+                        found = close_pairs(w[p, 0], None, most_of_word)
+                    else:
+                        p, q = at[own[at] == i[at]], at[own[at] != i[at]]
+                        found = close_pairs(w[p, 0], w[q, 0], most_of_word) if len(p) and len(q) else iter(())
+                    yield from ((p[x], q[y]) for x, y in found)
+
+            def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a, b in pairs():
+                    ok = np.bitwise_count(w[a] ^ w[b]).sum(1) <= most
+                    yield a[ok], b[ok]
+
+            label, fp = forest(len(df), near()), df["fp"].to_numpy()
+            got = np.flatnonzero(label != np.arange(len(df)))
+            if len(got):
+                yield pd.DataFrame({"u": fp[got], "v": fp[label[got]]})
+
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.mapInPandas(links, "u long, v long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """As ``near_duplicates``, for texts whose sets of ``words``-word shingles have about ``similarity`` or more in common (Jaccard).
+
+    A 64-bit fingerprint can't tell 0.8 from chance in a large corpus, so sketches are longer. ``recall`` holds for a pair at ``similarity``;
+    closer ones are found almost surely. ``fp`` and ``root`` stand for sketches.
+    """
+    small_batches(docs.sparkSession)
+
+    def sketches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            w = np.array([sketch(t, words) for t in df["text"]], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield df[["doc_id", "__id", "__th"]].assign(**{f"w{i}": w[:, i] for i in range(WIDE)})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [f"w{i}" for i in range(WIDE)]
+    texts = row_keys(docs).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
+    made = texts.mapInPandas(sketches, f"doc_id {kind}, __id long, __th long, " + ", ".join(f"{c} long" for c in names))
+    rows = written(made.withColumn("fp", F.xxhash64(*names)), "sketches")
+    distinct = written(rows.groupBy("fp").agg(first_row().alias("first"), *(F.first(c).alias(c) for c in names)), "distinct")
+    return classed(rows, distinct, components(sketch_links(distinct, similarity, recall)).withColumnRenamed("v", "fp")).drop(*names)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,7 @@ DIGESTS = {
     "language": lambda d: langid.identify(d, langid.learn(d, least=1)).select("doc_id", "lang_pred"),
     "suffix": lambda d: suffix_dedup.remove_repeats(d, 400).select("doc_id", "n_bytes", "n_removed"),
     "simhash": lambda d: simhash.near_duplicates(d).select("doc_id", "fp", "component_id"),
+    "copies": lambda d: simhash.near_copies(d).select("doc_id", "fp", "component_id"),
     "pii": lambda d: pii.find_pii(d).select("doc_id", pii.joined(F.col("pii"))),
 }
 
@@ -300,6 +301,47 @@ def test_hamming_groups(spark, cap):
     assert [got.get(x, x) for x in fps] == brute_groups(fps, 4)
 
 
+def test_near_copies_against_jaccard(spark, sf):
+    rows = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("doc_id", "text").collect()
+    words = {r.doc_id: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for r in rows}
+    edits = {}
+    for i in list(words)[::10]:  # copies with every 60th word replaced: about 0.85 in common
+        if len(words[i]) > 120:
+            edits[100000 + i] = [f"neu{k}" if k % 60 == 30 else w for k, w in enumerate(words[i])]
+    words |= edits
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_copies(df).select("doc_id", "component_id", "keep").collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    has, common = {}, {}
+    for i, s in sets.items():
+        for g in s:
+            has.setdefault(g, []).append(i)
+    for ids in has.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    common[a, b] = common.get((a, b), 0) + 1
+    alike = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in common.items()}
+    close = [p for p, j in alike.items() if j >= 0.8]
+    linked = [got[a].component_id == got[b].component_id for a, b in close]
+    assert len(close) > 30 and sum(linked) >= 0.95 * len(close)
+    best = {i: 0.0 for i in words}
+    for (a, b), j in alike.items():
+        best[a], best[b] = max(best[a], j), max(best[b], j)
+    assert [(i, len(words[i]), best[i]) for i in words if best[i] < 0.5 and not got[i].keep] == []
+    assert sum(r.keep for r in got.values()) == len({r.component_id for r in got.values()})
+
+
+@pytest.mark.parametrize("leaf, cap", [(2, 20), (64, 4096)])
+def test_sketch_links_in_large_groups(spark, leaf, cap):
+    base = [R.getrandbits(64) for _ in range(simhash.WIDE)]
+    rows = [[w ^ (1 << R.randrange(64)) for w in base] for _ in range(150)] + [[R.getrandbits(64) for _ in base] for _ in range(150)]
+    signed = [[w - (1 << 64) if w >> 63 else w for w in r] for r in rows]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(signed)], "fp long, " + ", ".join(f"w{i} long" for i in range(simhash.WIDE)))
+    got = {r.v: r.root for r in simhash.components(simhash.sketch_links(df, 0.8, 0.95, cap, leaf)).collect()}
+    assert got == {i: 0 for i in range(1, 150)}
+
+
 def test_simhash_matches_definition(spark):
     text = "The THE quick brown fox; ÀB jumps over a lazy dog again and again"
     words = text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).split(" ")
