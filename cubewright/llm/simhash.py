@@ -326,7 +326,7 @@ def sketch_links(nodes: DataFrame, similarity: float, recall: float, cap: int =
             if len(got):
                 yield pd.DataFrame({"u": fp[got], "v": fp[label[got]]})
 
-    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")  # links to the smallest: few rounds to contract
     return ordered.mapInPandas(links, "u long, v long")
 
 
