@@ -66,42 +66,47 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
     return {"text": text, "pos": p - ends[text], "h": h[p].view(np.int64), "ck": mix(roll.of(lo, hi) + mix(shape)).view(np.int64), "len": hi - lo}
 
 
-def suffix_array(data: np.ndarray, limit: np.ndarray, words: np.ndarray, most: int) -> np.ndarray:
-    """Suffixes of pieces in order. ``limit``: where the piece of a byte ends (0 in the gaps of 8 zero bytes between pieces).
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of ``key`` (numbers of ``bits`` bits), and the sorted key. Key and place fit one word as a rule, and plain numbers sort fastest."""
+    own = len(key).bit_length()
+    if bits + own > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort((key << np.uint64(own)) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << own) - 1)).astype(np.int64), both >> np.uint64(own)
 
-    Larsson-Sadakane refinement: order by 8 bytes, then sort each group by the rank of what follows, twice as far each time.
+
+def suffix_array(data: np.ndarray, limit: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Suffixes of pieces in order, equal ones by place. ``limit``: where the piece of a byte ends (0 in the gaps of 8 zero bytes between pieces).
+
+    Larsson-Sadakane refinement: order by 5 bytes, then sort each group by the rank of what follows, twice as far each time.
+    Suffixes that end within the bytes compared so far leave, as those still tied are equal to their ends.
     """
-    n, place = len(data), np.flatnonzero(limit)
-    sa = place[np.argsort(words[place])].astype(np.int32)
-    key = words[sa]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(sa), dtype=np.int32), 0))
-    rank = np.zeros(n + most, np.int32)
-    rank[sa] = first + 1
-    k = 8
-    while True:
-        open_ = ~new
-        open_[:-1] |= ~new[1:]
-        slots = np.flatnonzero(open_)
-        if not len(slots):
-            return sa
-        p = sa[slots]
-        done = k >= most
-        after = p if done else rank[p + k] * (p + k < limit[p])
-        key = first[slots].astype(np.int64) * (n + 2) + after
-        order = np.argsort(key)
-        sa[slots], key = p[order], key[order]
-        if done:  # equal to their ends: by place
-            return sa
-        own = np.concatenate([[True], key[1:] != key[:-1]])
-        new[slots] = own
-        first[slots] = slots[np.maximum.accumulate(np.where(own, np.arange(len(slots)), 0))]
-        rank[sa[slots]] = first[slots] + 1
+    place, bits, k = np.flatnonzero(limit), len(data).bit_length(), 5
+    ends = np.minimum(limit[place] - place, k).astype(np.uint64)  # tells an end from a zero byte
+    order, key = _ordered((words[place] >> np.uint64(24) << np.uint64(3)) | ends, 43)
+    sa, rank = place[order].astype(np.int32), np.zeros(len(data), np.int32)
+
+    def groups(key: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first slot of each one's group, and which are tied."""
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(at, append=len(key))
+        return np.repeat(slots[at], many), np.repeat(many > 1, many)
+
+    slots, p = np.arange(len(sa), dtype=np.int32), sa
+    while len(slots):
+        first, tied = groups(key, slots)
+        rank[p] = first + 1
+        live = np.flatnonzero(tied & (limit[p] - p >= k))
+        slots, p = slots[live], p[live]
+        order, key = _ordered((first[live].astype(np.uint64) << np.uint64(bits)) | rank[p + k].astype(np.uint64), 2 * bits)
+        p = sa[slots] = p[order]
         k *= 2
+    return sa
 
 
-def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray, stride: int = 32) -> np.ndarray:
-    """Common prefix of each suffix (by place) with the one before it in ``sa``.
+def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray, least: int = 1, stride: int = 32) -> np.ndarray:
+    """Common prefix of each suffix (by place) with the one before it in ``sa``; 0 for suffixes of fewer than ``least`` bytes.
 
     Kasai's recurrence ``plcp[i] >= plcp[i - d] - d`` from every ``stride``-th place bounds the others, which are then extended eight bytes at a time.
     """
@@ -126,7 +131,7 @@ def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray
             live = live[equal & (l + 8 < m)]
         plcp[i] = have
 
-    place = np.flatnonzero(limit)
+    place = np.flatnonzero(limit - np.arange(n, dtype=np.int32) >= least)
     some = place[place % stride == 0]
     extend(some, np.zeros(len(some), np.int64))
     rest = place[place % stride != 0]
@@ -154,8 +159,8 @@ def classes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     limit[real] = inside
     words = _packed(data)
     limit = limit[: len(data)]
-    sa = suffix_array(data, limit, words, int(sizes.max(initial=0)))
-    plcp = kasai(data, limit, words, sa)
+    sa = suffix_array(data, limit, words)
+    plcp = kasai(data, limit, words, sa, length)
     sv = sa[limit[sa] - sa >= length]
     group = np.cumsum(plcp[sv] < length)
     piece = np.searchsorted(starts, sv, "right") - 1

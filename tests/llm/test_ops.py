@@ -255,19 +255,33 @@ def test_suffix_dedup(spark, cap):
     assert got == {(i % len(texts), *w) for i, w in enumerate(want)}
 
 
-def test_suffix_array_and_prefixes():
-    data = b"".join(R.choice([b"ab", b"abab", b"b", b"a" * 40]) for _ in range(60))
-    raw = np.frombuffer(data + bytes(8), np.uint8)
-    limit = np.where(np.arange(len(raw)) < len(data), len(data), 0)
+@pytest.mark.parametrize("zero", [b"", b"\0"])
+def test_suffix_array_and_prefixes(zero):
+    pieces = [b"".join(R.choice([b"ab", b"abab", b"b", b"a" * 40, zero]) for _ in range(R.randrange(1, 30))) + zero * R.randrange(3) for _ in range(12)]
+    pieces += [pieces[0], pieces[1][3:], pieces[2] + zero]
+    data = b"".join(p + bytes(8) for p in pieces)
+    ends = np.cumsum([len(p) + 8 for p in pieces]) - 8
+    raw = np.frombuffer(data, np.uint8)
+    limit = np.zeros(len(raw), np.int32)
+    for p, e in zip(pieces, ends):
+        limit[e - len(p) : e] = e
     words = suffix_dedup._packed(raw)
-    sa = suffix_dedup.suffix_array(raw, limit, words, len(data))
-    assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-    plcp = suffix_dedup.kasai(raw, limit, words, sa)
-    for a, b in zip(sa, sa[1:]):
-        n = 0
-        while a + n < len(data) and b + n < len(data) and data[a + n] == data[b + n]:
-            n += 1
-        assert plcp[b] == n
+    sa = suffix_dedup.suffix_array(raw, limit, words)
+    assert sa.tolist() == sorted(np.flatnonzero(limit).tolist(), key=lambda i: (data[i : limit[i]], i))
+    for least in (1, 20):
+        plcp = suffix_dedup.kasai(raw, limit, words, sa, least)
+        for a, b in zip(sa.tolist(), sa[1:].tolist()):
+            n = 0
+            while a + n < limit[a] and b + n < limit[b] and data[a + n] == data[b + n]:
+                n += 1
+            assert plcp[b] == (n if limit[b] - b >= least else 0)
+
+
+def test_order_of_wide_keys():
+    key = np.array([R.randrange(5) << 61 for _ in range(100)], np.uint64)
+    for bits in (64, 40):
+        order, got = suffix_dedup._ordered(key >> np.uint64(64 - bits), bits)
+        assert order.tolist() == np.argsort(key, kind="stable").tolist() and (got == np.sort(key) >> np.uint64(64 - bits)).all()
 
 
 def brute_groups(fps, bits):
