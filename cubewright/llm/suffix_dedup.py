@@ -265,7 +265,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
                 a = b
 
     found = rows.mapInPandas(find, "id long, th long, pos long, h long, ck long, len long")
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    # Written first, so that both sides of the join are plain shuffles and Spark can split the rows of a gram that is in many documents.
+    twice = written(found.groupBy("h").count().where("count > 1").select("h"), "grams")
     some = written(found.join(twice, "h", "left_semi"), "anchors")
     context = some.groupBy("h", "ck").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("at"))
     context = written(context, "contexts")
