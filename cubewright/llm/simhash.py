@@ -53,9 +53,12 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(majority(shingle_hashes(text, words, seed)))
 
 
-def sketch(text: str | None, words: int = 5) -> np.ndarray:
-    """A fingerprint of ``WIDE`` words of 64 bits, each from its own mix of the hashes of the text's different shingles."""
-    h = np.unique(shingle_hashes(text, words))
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A fingerprint of ``WIDE`` words of 64 bits, each from its own mix of the hashes ``h`` of a text's different shingles."""
     return np.array([majority(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))) for k in range(WIDE)], np.uint64)
 
 
@@ -263,13 +266,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, cap: int = 4
 def sketch_links(nodes: DataFrame, similarity: float, recall: float, cap: int = 4096, leaf: int = 64) -> DataFrame:
     """``u, v``: links that connect the rows of ``nodes`` (``fp``, ``w0`` ...) whose sketches differ as little as shingle sets of ``similarity`` do.
 
+    These are candidates: pairs at ``similarity`` pass up to three standard deviations of their sketches, and less similar ones often do too.
+
     Such sketches differ in a share ``flip`` of their bits. Each of ``tables`` samples ``k`` bits (about a row a bucket by chance), as many tables
     as find a pair with probability ``recall``; both follow from the row count. Buckets are searched in Gray order, then all words are compared.
     """
     flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     k = max(8, math.ceil(math.log2(max(nodes.count(), 2))))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** k))
-    most, most_of_word = (int(n * flip + sds * (n * flip * (1 - flip)) ** 0.5) for n, sds in ((64 * WIDE, 2), (64, 3)))
+    most, most_of_word = (int(n * flip + sds * (n * flip * (1 - flip)) ** 0.5) for n, sds in ((64 * WIDE, 3), (64, 3)))
     masks = np.zeros((tables, WIDE), np.uint64)
     for t in range(tables):
         for bit in np.random.default_rng(t).choice(64 * WIDE, k, replace=False):
@@ -330,26 +335,109 @@ def sketch_links(nodes: DataFrame, similarity: float, recall: float, cap: int =
     return ordered.mapInPandas(links, "u long, v long")
 
 
+def exact_forest(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None, step: int = 1 << 22) -> np.ndarray:
+    """The smallest member of each one's component, for 0 .. n-1: ``sets`` (different numbers each) linked by a Jaccard similarity of ``similarity`` or more.
+
+    Every pair of different components is compared, with ``side`` only those of different sides.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(-size, kind="stable")  # what can be alike follows each one closely
+    size, side = size[order], None if side is None else side[order]
+    values, ids = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
+    starts = np.cumsum(size) - size
+    label, has = np.arange(len(sets)), np.zeros(len(values), bool)
+    ends = np.searchsorted(-size, -np.maximum(similarity * size - 1e-9, 1), "right")
+    for a in range(len(sets) - 1):
+        b = np.arange(a + 1, max(ends[a], a + 1))
+        b = b[(label[b] != label[a]) & (True if side is None else side[b] != side[a])]
+        if not len(b):
+            continue
+        own = ids[starts[a] : starts[a] + size[a]]
+        has[own] = True
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[b]) // step)) + 1
+        for some in np.split(b, cuts):
+            n = size[some]
+            at = np.cumsum(n) - n
+            common = np.add.reduceat(has[ids[np.repeat(starts[some] - at, n) + np.arange(n.sum())]], at, dtype=np.int64)
+            alike = some[common >= similarity * (n + size[a] - common) - 1e-9]
+            if len(alike):
+                joined = np.unique(np.append(label[alike], label[a]))
+                label[np.isin(label, joined)] = joined[0]
+        has[own] = False
+    least = np.full(len(sets), len(sets))
+    np.minimum.at(least, label, order)
+    out = np.empty(len(sets), np.int64)
+    out[order] = least[label]
+    return out
+
+
+def exact_links(texts: DataFrame, members: DataFrame, words: int, similarity: float, cap: int = 4096, most: int = 1 << 21) -> DataFrame:
+    """``u, v``: links that connect those ``members`` of a ``root`` (``fp, root, size, __id, __th``) whose shingle sets are at ``similarity`` or above.
+
+    ``texts`` has the rows ``__id, __th, text``. The sets of a root meet in one group; a root of over ``cap`` members or ``most`` shingles is
+    cut into chunks by hash, and each pair of chunks is one group.
+    """
+    chunks = F.ceil(F.greatest(F.count("*") / cap, F.sum("size") / most)).cast("int")
+    hot = written(members.groupBy("root").agg(chunks.alias("chunks")).where("chunks > 1"), "hot")
+    wanted = members.join(bounded(hot, 100_000), "root", "left").select("__id", "__th", "fp", "root", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    once = texts.join(wanted, ["__id", "__th"]).groupBy("fp").agg(*(F.first(c).alias(c) for c in ("root", "chunks", "text")))
+
+    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            yield df[["fp", "root", "chunks"]].assign(grams=[shingle_set(t, words).tobytes() for t in df["text"]])
+
+    dealt = once.mapInPandas(sets, "fp long, root long, chunks int, grams binary").withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "grams")
+
+    def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df, edge in whole_groups(parts, ["root", "i", "j"]):
+            fp, own, i, j, grams, us, vs = *(df[c].to_numpy() for c in ("fp", "own", "i", "j", "grams")), [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if b - a < 2:
+                    continue
+                side = own[a:b] if i[a] < j[a] else None
+                label = exact_forest([np.frombuffer(g, np.uint64) for g in grams[a:b]], similarity, side)
+                got = np.flatnonzero(label != np.arange(b - a))
+                us.append(fp[a:b][got])
+                vs.append(fp[a:b][label[got]])
+            if us:
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    ordered = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "fp")
+    return ordered.mapInPandas(links, "u long, v long")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
-    """As ``near_duplicates``, for texts whose sets of ``words``-word shingles have about ``similarity`` or more in common (Jaccard).
+    """As ``near_duplicates``, for texts whose sets of ``words``-word shingles have ``similarity`` or more in common (Jaccard).
 
-    A 64-bit fingerprint can't tell 0.8 from chance in a large corpus, so sketches are longer. ``recall`` holds for a pair at ``similarity``;
-    closer ones are found almost surely. ``fp`` and ``root`` stand for sketches.
+    A 64-bit fingerprint can't tell 0.8 from chance in a large corpus, so sketches are longer. They only propose groups; within a group the
+    shingle sets themselves are compared, and no link is below ``similarity``. ``recall`` is what the sketches find of pairs at ``similarity``;
+    closer ones are found almost surely. ``fp`` and ``root`` stand for shingle sets.
     """
     small_batches(docs.sparkSession)
+    names = [f"w{i}" for i in range(WIDE)]
 
     def sketches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            w = np.array([sketch(t, words) for t in df["text"]], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield df[["doc_id", "__id", "__th"]].assign(**{f"w{i}": w[:, i] for i in range(WIDE)})
+            fp, size, w = [], [], []
+            for t in df["text"]:
+                h = shingle_set(t, words)
+                fp.append(xxhash.xxh64_intdigest(h.tobytes()))
+                size.append(len(h))
+                w.append(sketch(h))
+            w = np.array(w, np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield df[["doc_id", "__id", "__th"]].assign(fp=np.array(fp, np.uint64).view(np.int64), size=size, **{c: w[:, i] for i, c in enumerate(names)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"w{i}" for i in range(WIDE)]
     texts = row_keys(docs).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
-    made = texts.mapInPandas(sketches, f"doc_id {kind}, __id long, __th long, " + ", ".join(f"{c} long" for c in names))
-    rows = written(made.withColumn("fp", F.xxhash64(*names)), "sketches")
-    distinct = written(rows.groupBy("fp").agg(first_row().alias("first"), *(F.first(c).alias(c) for c in names)), "distinct")
-    return classed(rows, distinct, components(sketch_links(distinct, similarity, recall)).withColumnRenamed("v", "fp")).drop(*names)
+    rows = written(texts.mapInPandas(sketches, f"doc_id {kind}, __id long, __th long, fp long, size long, " + ", ".join(f"{c} long" for c in names)), "sketches")
+    distinct = written(rows.groupBy("fp").agg(first_row().alias("first"), *(F.first(c).alias(c) for c in ("size", *names))), "distinct")
+    loose = components(sketch_links(distinct, similarity, recall)).select(F.col("v").alias("fp"), "root")
+    loose = loose.unionByName(loose.select(F.col("root").alias("fp"), "root").distinct())
+    members = written(distinct.join(loose, "fp").select("fp", "root", "size", F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-1)).alias("__id"), "first.__th"), "members")
+    links = exact_links(texts.select("__id", "__th", "text"), members, words, similarity)
+    return classed(rows, distinct, components(links).withColumnRenamed("v", "fp")).drop("size", *names)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -346,6 +346,41 @@ def test_near_copies_against_jaccard(spark, sf):
     assert sum(r.keep for r in got.values()) == len({r.component_id for r in got.values()})
 
 
+def test_near_copies_have_no_link_below(spark):
+    """Copies at 0.82 are linked; a pair at 0.67 to 0.77, which sketches can't tell from 0.8, is not."""
+    rows, near, far = [], [], []
+    for k in range(60):
+        ws = ["".join(R.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(304)]
+        rows.append((3 * k, " ".join(ws)))
+        for i, edits, pairs in ((1, 6, near), (2, 8 + k % 4, far)):
+            rows.append((3 * k + i, " ".join(f"neu{n}" if n % (300 // edits) == 20 else w for n, w in enumerate(ws))))
+            pairs.append((3 * k, 3 * k + i))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 3 == b // 3}
+    assert all(alike[p] > 0.8 for p in near) and all(0.65 < alike[p] < 0.8 for p in far) and all(j < 0.8 for p, j in alike.items() if p not in near)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [p for p in far if got[p[0]] == got[p[1]]] == []
+    assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+
+
+@pytest.mark.parametrize("cap, most", [(4096, 1 << 21), (7, 1 << 21), (4096, 1500)])
+def test_exact_links_against_jaccard(spark, cap, most):
+    texts = []
+    for _ in range(12):
+        ws = [f"w{R.randrange(10**6)}" for _ in range(80)]
+        for _ in range(6):
+            ws = list(ws)
+            for _ in range(R.randrange(3)):
+                ws[R.randrange(80)] = f"x{R.randrange(10**6)}"
+            texts.append(" ".join(ws[: 80 - R.randrange(9)]))
+    sets = [simhash.shingle_set(t) for t in texts]
+    want = simhash.forest(len(sets), iter([(np.array([a]), np.array([b])) for b in range(len(sets)) for a in range(b) if 5 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - c)]))
+    assert (simhash.exact_forest(sets, 0.8, step=100) == want).all() and 12 < len(set(want.tolist())) < len(sets)
+    df = spark.createDataFrame([(i, 0, i, 0, len(h), t) for i, (h, t) in enumerate(zip(sets, texts))], "fp long, root long, __id long, __th long, size long, text string")
+    got = {r.v: r.root for r in simhash.components(simhash.exact_links(df.select("__id", "__th", "text"), df.drop("text"), 5, 0.8, cap, most)).collect()}
+    assert got == {i: int(w) for i, w in enumerate(want) if i != w}
+
+
 @pytest.mark.parametrize("leaf, cap", [(2, 20), (64, 4096)])
 def test_sketch_links_in_large_groups(spark, leaf, cap):
     base = [R.getrandbits(64) for _ in range(simhash.WIDE)]
