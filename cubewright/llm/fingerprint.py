@@ -18,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, small_batches, text_or_empty, written
+from .simhash import components, whole_groups
 
 PER_OCTAVE = 24
 _rng = np.random.default_rng(20240229)
@@ -95,6 +97,52 @@ def bands(print_: bytes) -> list[tuple[int, bytes]]:
     return [(k, a[at].tobytes()) for k, at in enumerate(BANDS) if at[-1] < len(a)]
 
 
+#: How many samples the octaves below each one have.
+FULL = np.cumsum([0, *(int(((STEPS >= (1 << k) - 1) & (STEPS < (2 << k) - 1)).sum()) for k in range(32))])
+
+
+def _level_bands(level: int, tables: int = 20, each: int = 3) -> list[np.ndarray]:
+    """Samples of each of a level's bands, drawn from all its octaves by how many steps they stand for."""
+    w = WEIGHTS[: FULL[level]]
+    return [np.random.default_rng((level, t)).choice(len(w), each, p=w / w.sum()) for t in range(tables)]
+
+
+LEVELS = {k: _level_bands(k) for k in range(1, 33)}
+
+
+def keys(print_: bytes, least: float = 0.8) -> list[int]:
+    """Hashes of the bands by which texts of a likeness of ``least`` or more find each other.
+
+    A level is all octaves below one that the walk has passed. Alike walks differ in length by ``1 / least`` at most, so each takes part in as many
+    levels from its highest down as have one in common; that level holds half of the walk or more.
+    """
+    a = np.frombuffer(print_, np.uint8)
+    top = int(np.searchsorted(FULL, len(a), "right")) - 1
+    levels = range(max(1, top - int(np.ceil(np.log2(1 / least)))), top + 1)
+    return [xxhash.xxh64_intdigest(a[at].tobytes(), 64 * k + t) - (1 << 63) for k in levels for t, at in enumerate(LEVELS[k])]
+
+
+def alike_forest(prints: list[bytes], least: float, side: np.ndarray | None = None) -> np.ndarray:
+    """The smallest member of each one's component, for 0 .. n-1, linked by a likeness of ``least`` or more; with ``side`` only between sides."""
+    n = np.fromiter(map(len, prints), np.int64, len(prints))
+    total = np.concatenate([[0], np.cumsum(WEIGHTS)])
+    table = np.zeros((len(prints), n.max()), np.uint8)
+    for row, p in zip(table, prints):
+        row[: len(p)] = np.frombuffer(p, np.uint8)
+    label = np.arange(len(prints))
+    for a in range(len(prints) - 1):
+        b = np.arange(a + 1, len(prints))
+        b = b[(label[b] != label[a]) & (True if side is None else side[b] != side[a])]
+        short, long = total[np.minimum(n[b], n[a])], total[np.maximum(n[b], n[a])]
+        b, long = b[short >= least * long - 1e-9], long[short >= least * long - 1e-9]
+        if len(b):
+            same = (table[b, : n[a]] == table[a, : n[a]]) & (np.arange(n[a]) < n[b][:, None])
+            b = b[same @ WEIGHTS[: n[a]] >= least * long - 1e-9]
+            joined = np.unique(np.append(label[b], label[a]))
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
 def edited(text: str, following: str) -> str:
     """The last third of ``text`` (rounded down) replaced by the first characters of ``following``."""
     k = len(text) // 3
@@ -198,21 +246,39 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return done.where("side is null").select(names).unionByName(tails.select("doc_id", "z", "own", "next_z", "next_own").mapInPandas(close, f"doc_id long, {RESULT}"))
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
+def near_pairs(prints: DataFrame, least: float = 0.8, cap: int = 4096) -> DataFrame:
     """``doc_id, class_id`` of ``prints`` (``doc_id, fingerprint``): texts linked by a band and a likeness of ``least`` or more.
 
-    In each band every member is verified against the band's smallest id and linked to it, so a group gives as many rows as it has members.
+    All members of a band are verified against each other and linked by a spanning forest; a band of over ``cap`` is cut into chunks by hash,
+    each pair of chunks is one group. A class is named by its smallest ``doc_id``.
     """
-    split = F.udf(lambda p: [(k, b) for k, b in bands(base64.b64decode(p))], "array<struct<band:int,bits:binary>>")
-    alike = F.udf(lambda a, b: likeness(base64.b64decode(a), base64.b64decode(b)), "double")
-    held = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "held")
-    cells = held.select("least", "fingerprint", F.explode(split("fingerprint")).alias("c")).select("least", "fingerprint", "c.*")
-    first = cells.groupBy("band", "bits").agg(F.min(F.struct("least", "fingerprint")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    pairs = cells.join(first, ["band", "bits"]).where(F.col("least") > F.col("f.least")).select(F.col("least").alias("u"), F.col("f.least").alias("v"), "fingerprint", F.col("f.fingerprint").alias("other")).distinct()
-    from .simhash import components
-
-    links = components(pairs.where(alike("fingerprint", "other") >= least).select("u", "v"))
-    classes = held.join(links.withColumnRenamed("v", "least"), "least", "left").select("fingerprint", F.coalesce("root", "least").alias("class_id"))
+    held = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).select(F.xxhash64("fingerprint").alias("fp"), "fingerprint", "least"), "held")
+
+    def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            found = [keys(base64.b64decode(p), least) for p in df["fingerprint"]]
+            yield pd.DataFrame({"fp": df["fp"].repeat([len(k) for k in found]), "key": np.array([x for k in found for x in k], np.int64)})
+
+    keyed = written(held.select("fp", "fingerprint").mapInPandas(cells, "fp long, key long").distinct(), "cells")
+    chunks = F.ceil(F.col("count") / cap).cast("int")
+    shared = written(keyed.groupBy("key").count().where("count > 1").select("key", chunks.alias("chunks")), "shared")
+    dealt = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.join(held.select("fp", F.unbase64("fingerprint").alias("print")), "fp")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "print")
+
+    def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df, edge in whole_groups(parts, ["key", "i", "j"]):
+            fp, own, i, j, print_ = (df[c].to_numpy() for c in ("fp", "own", "i", "j", "print"))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if b - a > 1:
+                    label = alike_forest(print_[a:b].tolist(), least, own[a:b] if i[a] < j[a] else None)
+                    got = np.flatnonzero(label != np.arange(b - a))
+                    yield pd.DataFrame({"u": fp[a:b][got], "v": fp[a:b][label[got]]})
+
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    groups = components(ordered.mapInPandas(links, "u long, v long")).withColumnRenamed("v", "fp")
+    rooted = written(held.join(groups, "fp", "left").select("fingerprint", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("fingerprint", "class_id")
     return prints.select("doc_id", "fingerprint").join(classes, "fingerprint").select("doc_id", "class_id")
 
 

@@ -156,6 +156,25 @@ def test_near_pairs(spark):
     assert {r.doc_id: r.class_id for r in fingerprint.near_pairs(prints).collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
 
 
+@pytest.mark.parametrize("cap", [4096, 5])
+def test_near_pairs_against_likeness(spark, cap):
+    """Early, late and short edits, another opening of a long text, short texts, and a bucket whose smallest member is unlike the others."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice(string.ascii_lowercase) for _ in range(n))
+    texts = []
+    for n in (3, 8, 40, 300, 3000, 20000):
+        for _ in range(4):
+            t = word(n)
+            texts += [t, t[:-1] + "!", "!" + t[1:], t[: n // 2] + t[n // 2 + 1 :], t + word(n // 12), word(n // 12) + t[n // 12 :], t[: n // 3] + word(n - n // 3)]
+    texts += (lambda t: [word(600) + t[600:], word(600) + t[600:], word(900) + t[900:]])(word(20000))
+    prints = fingerprint.embed(texts)
+    pairs = [(a, b) for b in range(len(prints)) for a in range(b) if fingerprint.likeness(prints[a], prints[b]) >= 0.8]
+    want = simhash.forest(len(prints), iter([(np.array([a]), np.array([b])) for a, b in pairs]))
+    df = spark.createDataFrame([(i, __import__("base64").b64encode(p).decode()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    got = {r.doc_id: r.class_id for r in fingerprint.near_pairs(df, cap=cap).collect()}
+    assert got == dict(enumerate(want.tolist())) and len(pairs) > 40
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = [[float(x) for x in row] for row in rng.normal(size=(300, 8))]
@@ -348,9 +367,10 @@ def test_near_copies_against_jaccard(spark, sf):
 
 def test_near_copies_have_no_link_below(spark):
     """Copies at 0.82 are linked; a pair at 0.67 to 0.77, which sketches can't tell from 0.8, is not."""
+    rng = random.Random(3)
     rows, near, far = [], [], []
     for k in range(60):
-        ws = ["".join(R.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(304)]
+        ws = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(304)]
         rows.append((3 * k, " ".join(ws)))
         for i, edits, pairs in ((1, 6, near), (2, 8 + k % 4, far)):
             rows.append((3 * k + i, " ".join(f"neu{n}" if n % (300 // edits) == 20 else w for n, w in enumerate(ws))))
@@ -365,14 +385,15 @@ def test_near_copies_have_no_link_below(spark):
 
 @pytest.mark.parametrize("cap, most", [(4096, 1 << 21), (7, 1 << 21), (4096, 1500)])
 def test_exact_links_against_jaccard(spark, cap, most):
+    rng = random.Random(3)
     texts = []
     for _ in range(12):
-        ws = [f"w{R.randrange(10**6)}" for _ in range(80)]
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(80)]
         for _ in range(6):
             ws = list(ws)
-            for _ in range(R.randrange(3)):
-                ws[R.randrange(80)] = f"x{R.randrange(10**6)}"
-            texts.append(" ".join(ws[: 80 - R.randrange(9)]))
+            for _ in range(rng.randrange(3)):
+                ws[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(ws[: 80 - rng.randrange(9)]))
     sets = [simhash.shingle_set(t) for t in texts]
     want = simhash.forest(len(sets), iter([(np.array([a]), np.array([b])) for b in range(len(sets)) for a in range(b) if 5 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - c)]))
     assert (simhash.exact_forest(sets, 0.8, step=100) == want).all() and 12 < len(set(want.tolist())) < len(sets)
