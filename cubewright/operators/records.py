@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,27 @@ def expand_children(files: DataFrame, children: str) -> DataFrame:
     return sub_file_type(files.select(*c, F.posexplode(children).alias("__i", "record")).withColumn("child_id", F.col("__i").cast("string")).drop("__i"))
 
 
+def numbered_children(df: DataFrame, parent: str, order: str, then: list[str], rows: int = 10_000, ranges: int = 64) -> DataFrame:
+    """Rows of ``df`` as children of ``parent``: ``child_id`` counts them from 0 by ``order`` (a number) and ``then``, nulls last.
+
+    A parent with over ``rows`` rows is numbered by ranges of ``order``, each offset by the rows of the ranges before it; no parent is gathered in
+    one row. Rows that share ``order`` are in one range, which one task sorts.
+    """
+    splits = F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 1000)
+    large = df.join(df.groupBy(F.col(parent).alias("__p")).agg(F.count("*").alias("__n")).where(F.col("__n") > rows).select("__p", F.lit(True).alias("__large")), F.col(parent).eqNullSafe(F.col("__p")), "left").drop("__p")
+    bounds = large.where("__large").agg(splits.alias("s")).first()["s"] or []  # at most ``ranges`` numbers
+    place = F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(sum((F.col(order) >= x).cast("int") for x in bounds) if bounds else F.lit(0))
+    dealt = large.withColumn("__r", F.when(F.col("__large"), place).otherwise(0)).drop("__n")
+    inside = Window.partitionBy(parent, "__r").orderBy(*(F.col(c).asc_nulls_last() for c in (order, *then)))
+    before = Window.partitionBy("__p").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.where("__large").groupBy(F.col(parent).alias("__p"), "__r").agg(F.count("*").alias("__n"))  # ``ranges`` rows a large parent
+    offsets = totals.select("__p", F.col("__r").alias("__s"), F.sum("__n").over(before).alias("__before"))
+    ranked = dealt.withColumn("__i", F.row_number().over(inside) - 1)
+    out = ranked.join(offsets, F.col(parent).eqNullSafe(F.col("__p")) & (F.col("__r") == F.col("__s")) & F.col("__large"), "left")
+    child = (F.col("__i") + F.coalesce("__before", F.lit(0))).cast("string")
+    return sub_file_type(out.withColumn("child_id", child).select(*df.columns, "child_id"))
+
+
 def sub_file_type(df: DataFrame) -> DataFrame:
     own = F.col("type") if "type" in df.columns else F.lit("file")
     return df.withColumn("type", F.when(F.col("child_id").isNotNull(), "sub_file").otherwise(own))

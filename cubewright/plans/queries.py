@@ -467,8 +467,8 @@ def _(s, d):
 
 @query("container_expansion", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1)::VARCHAR AS child_id, turn, 'sub_file' AS type FROM conversations")
 def _(s, d):
-    packed = V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("children"))
-    return records.expand_children(packed, "children").select("conv_id", "child_id", "record.turn", "type")
+    rows = V.table(s, d, "conversations").select("conv_id", "turn", "text")
+    return records.numbered_children(rows, "conv_id", "turn", ["text"]).select("conv_id", "child_id", "turn", "type")
 
 
 @query("sidecar_join", "SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -64,6 +65,21 @@ def test_rank_test_small_and_ties(spark):
     assert got["a", "b"].u == u and got["a", "c"].p == 1.0
 
 
+def test_numbered_children(spark, tmp_path):
+    """Large parents by ranges, ties and nulls; the registered query gathers no group in a row."""
+    rng = random.Random(4)
+    rows = [(None if k % 9 == 0 else k % 4 // 2, None if k % 50 == 7 else rng.randrange(30), f"t{k:03}") for k in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    key = lambda r: (r[1] is None, r[1] or 0, r[2])
+    want = {(p, t, x): str(i) for p in (None, 0, 1) for i, (_, t, x) in enumerate(sorted((r for r in rows if r[0] == p), key=key))}
+    for limit in (5, 1000):
+        out = records.numbered_children(df, "conv_id", "turn", ["text"], rows=limit, ranges=8)
+        assert {(r.conv_id, r.turn, r.text): r.child_id for r in out.collect()} == want and out.count() == 200
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = Q["container_expansion"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_records(spark):
     df = spark.createDataFrame([([1, 3, 4, 5], "TCYX", ["T", "C", "Y", "X"], ["red", "G", "b"]), ([4, 5], "bad", None, None)], "shape array<int>, dim_order string, dim_names array<string>, channels array<string>")
     n = records.normalise(df).collect()
