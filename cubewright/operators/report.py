@@ -57,14 +57,14 @@ def size_histogram(df: DataFrame, size: str = "size_bytes", group: str | None =
     return j.withColumn("bin", bin_).groupBy("bin", edge(F.col("bin")).alias("lo_edge"), edge(F.col("bin") + 1).alias("hi_edge"), "grp").agg(F.count("*").alias("n"))
 
 
-def timeline(df: DataFrame, ts: str, group: str | None = None) -> DataFrame:
-    """``bucket, grp, n``: by month beyond 20 days, else day, hour, minute or second by the span; one bucket ``invariant`` below a second."""
+def timeline(df: DataFrame, ts: str, group: str | None = None, unit: str | None = None) -> DataFrame:
+    """``unit, bucket, grp, n``: by ``unit``, or without one by month beyond 20 days, else day, hour, minute or second by the span; one bucket ``invariant`` below a second."""
     at = F.col(ts).cast("timestamp")
     span = F.unix_millis(F.max(at)) - F.unix_millis(F.min(at))
     days = F.count_distinct(F.date_format(ts, "yyyy-MM-dd"))
     b = df.agg(span.alias("span"), days.alias("days"))  # one row
     fmt = F.when(F.col("span") < 1000, "invariant").when(F.col("days") > 20, "month").when(F.col("span") >= 86_400_000, "day").when(F.col("span") >= 3_600_000, "hour").when(F.col("span") >= 60_000, "minute").otherwise("second")
-    j = grouped(df, group).crossJoin(F.broadcast(b.select(fmt.alias("unit"))))
+    j = grouped(df, group).withColumn("unit", F.lit(unit)) if unit else grouped(df, group).crossJoin(F.broadcast(b.select(fmt.alias("unit"))))
     shapes = {"month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH:00", "minute": "yyyy-MM-dd HH:mm", "second": "yyyy-MM-dd HH:mm:ss"}
     bucket = reduce(lambda acc, x: acc.when(F.col("unit") == x[0], F.date_format(ts, x[1])), shapes.items(), F.when(F.col("unit") == "invariant", "invariant"))
     return j.where(F.col(ts).isNotNull()).groupBy("unit", bucket.alias("bucket"), "grp").agg(F.count("*").alias("n"))

@@ -237,6 +237,11 @@ def _(s, d):
     return R.timeline(o.crossJoin(F.broadcast(first)).where(F.col("ts") < F.col("t0") + F.expr("interval 14 days")), "ts", "grp")  # one row
 
 
+@query("timeline_day_all", OBS + " SELECT 'day' AS unit, strftime(ts, '%Y-%m-%d') AS bucket, grp, count(*) AS n FROM obs GROUP BY ALL")
+def _(s, d):
+    return R.timeline(V.obs(s, d), "ts", "grp", "day")
+
+
 @query("timeline_month", "SELECT 'month' AS unit, strftime(o_orderdate, '%Y-%m') AS bucket, o_orderpriority AS grp, count(*) AS n FROM orders GROUP BY ALL")
 def _(s, d):
     return R.timeline(V.table(s, d, "orders"), "o_orderdate", "o_orderpriority")

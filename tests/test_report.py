@@ -80,6 +80,15 @@ def test_numbered_children(spark, tmp_path):
     assert "collect_list" not in plan
 
 
+def test_timeline_by_a_given_unit(spark, tmp_path):
+    """30 days by day, all counted; without a unit such a span goes by month."""
+    df = spark.range(720).selectExpr("id AS event_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts", "'a' AS event_type", "1.0D AS value")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = Q["timeline_day_all"](spark, str(tmp_path)).collect()
+    assert {(r.unit, r.n) for r in got} == {("day", 24)} and len(got) == 30
+    assert {r.unit for r in R.timeline(df, "ts").collect()} == {"month"}
+
+
 def test_records(spark):
     df = spark.createDataFrame([([1, 3, 4, 5], "TCYX", ["T", "C", "Y", "X"], ["red", "G", "b"]), ([4, 5], "bad", None, None)], "shape array<int>, dim_order string, dim_names array<string>, channels array<string>")
     n = records.normalise(df).collect()
