@@ -14,9 +14,13 @@ def average_ranks(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
     return _running(n, ["n"], buckets).select("value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def _running(values: DataFrame, counts: list[str], buckets: int) -> DataFrame:
+def _dealt(values: DataFrame, buckets: int) -> DataFrame:
     splits = F.percentile_approx("value", [k / buckets for k in range(1, buckets)], 1000)
-    dealt = values.crossJoin(F.broadcast(values.agg(splits.alias("s")))).withColumn("b", F.size(F.filter("s", lambda x: x <= F.col("value")))).drop("s")  # one row
+    return values.crossJoin(F.broadcast(values.agg(splits.alias("s")))).withColumn("b", F.size(F.filter("s", lambda x: x <= F.col("value")))).drop("s")  # one row
+
+
+def _running(values: DataFrame, counts: list[str], buckets: int) -> DataFrame:
+    dealt = _dealt(values, buckets)
     inside = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("b").agg(*(F.sum(c).alias(c) for c in counts))  # ``buckets`` rows at most
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -24,18 +28,33 @@ def _running(values: DataFrame, counts: list[str], buckets: int) -> DataFrame:
     return dealt.join(F.broadcast(offsets), "b").withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"offset_{c}") for c in counts})
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, groups: list[str], buckets: int = 64) -> DataFrame:
-    """All pairs of ``groups``: U, z, p by the normal approximation without corrections, Bonferroni-adjusted; p is 1 below three rows."""
-    names = {g: f"n{i}" for i, g in enumerate(groups)}
-    v = F.col(value).cast("double")
-    values = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("value")).agg(*(F.count_if(F.col(group) == g).alias(c) for g, c in names.items()))
-    run = _running(values, list(names.values()), buckets)
-    pairs = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]]
-    u = [F.sum(F.col(names[a]) * (F.col(f"before_{names[b]}") + F.col(names[b]) / 2)).alias(f"u{k}") for k, (a, b) in enumerate(pairs)]
-    sums = run.agg(*(F.sum(c).alias(c) for c in names.values()), *u)
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(names[a]).alias("n_a"), F.col(names[b]).alias("n_b"), F.col(f"u{k}").cast("double").alias("u")) for k, (a, b) in enumerate(pairs)))
-    out = sums.select(F.explode(rows).alias("r")).select("r.*")
+def mann_whitney(df: DataFrame, value: str, group: str, groups: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """All pairs of groups (or of ``groups``): U, z, p by the normal approximation without corrections, Bonferroni-adjusted; p is 1 below three rows.
+
+    Groups stay rows. Rows of one group meet those of another in earlier ranges by the totals of ranges, those in their own range value by value,
+    where only groups that occur in the range are joined.
+    """
+    v, g = F.col(value).cast("double"), F.col(group)
+    place = F.array_position(F.array(*map(F.lit, groups)), g) if groups else g
+    rows = df.where(g.isNotNull() & (g.isin(groups) if groups else F.lit(True))).select(g.alias("g"), place.alias("place"), v.alias("value"))
+    names = rows.select("g", "place").distinct()
+    dealt = _dealt(rows.where("value is not null and not isnan(value)").groupBy("value", "g", "place").agg(F.count("*").alias("n")), buckets)
+    totals = dealt.groupBy("b", "g", "place").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("b").distinct().crossJoin(names).join(totals.select("b", "g", "n"), ["b", "g"], "left").select("b", F.col("g").alias("h"), F.col("place").alias("other"), F.sum("n").over(before).alias("m"))
+    inside = Window.partitionBy("b", "g").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce("n", F.lit(0))
+    cells = dealt.select("b", "value").distinct().join(totals.select("b", "g", "place"), "b").join(dealt.select("b", "value", "g", "n"), ["b", "value", "g"], "left")
+    cells = cells.select("b", "value", F.col("g").alias("h"), F.col("place").alias("other"), (F.coalesce(F.sum(n).over(inside), F.lit(0)) + n / 2).alias("m"))
+    later = F.col("place") < F.col("other")
+    parts = [x.where(later).select("g", "h", (F.col("n").cast("double") * F.col("m")).alias("u")) for x in (totals.join(earlier, "b"), dealt.join(cells, ["b", "value"]))]
+    u = parts[0].unionByName(parts[1]).groupBy("g", "h").agg(F.sum("u").alias("u"))
+    size = totals.groupBy("g").agg(F.sum("n").alias("n"))
+    sized = names.join(size, "g", "left").select("g", "place", n.alias("n_a"))
+    pairs = sized.join(sized.select(F.col("g").alias("h"), F.col("place").alias("other"), F.col("n_a").alias("n_b")), later)
+    count = names.agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
+    out = pairs.join(u, ["g", "h"], "left").crossJoin(F.broadcast(count)).select(F.col("g").alias("a"), F.col("h").alias("b"), "n_a", "n_b", F.coalesce("u", F.lit(0.0)).alias("u"), "pairs")  # one row
     sd = F.sqrt(F.col("n_a").cast("double") * F.col("n_b") * (F.col("n_a") + F.col("n_b") + 1) / 12)
     z = F.try_divide(F.col("u") - F.col("n_a").cast("double") * F.col("n_b") / 2, sd)
     out = out.withColumn("z", z).withColumn("p", F.when((F.col("n_a") < 3) | (F.col("n_b") < 3), 1.0).otherwise(F.least(F.lit(1.0), normal_two_sided(F.col("z")))))
-    return out.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * len(pairs))).withColumn("sign", stars(F.col("p_adj")))
+    return out.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * F.col("pairs"))).drop("pairs").withColumn("sign", stars(F.col("p_adj")))

@@ -337,10 +337,6 @@ def _(s, d):
     return rounded(R.populated_extent(rasters.block_histograms(V.raster8(s, d), ["record_id"]), ["record_id"]))
 
 
-def _groups(s, d):
-    return [r.grp for r in R.groups_list(V.obs(s, d), "grp", 30).collect()]  # at most 30 groups are compared
-
-
 @query("rank_test", OBS + """, g AS (SELECT DISTINCT grp FROM obs), pr AS (SELECT x.grp AS a, y.grp AS b FROM g x JOIN g y ON x.grp < y.grp),
 l AS (SELECT a, b, grp, v FROM pr JOIN obs ON grp IN (a, b)), k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY v) AS rn FROM l), r AS (SELECT *, avg(rn) OVER (PARTITION BY a, b, v) AS rk FROM k),
 u AS (SELECT a, b, count(*) FILTER (grp = a) AS n_a, count(*) FILTER (grp = b) AS n_b, sum(rk) FILTER (grp = a) AS ra FROM r GROUP BY a, b),
@@ -350,7 +346,7 @@ p AS (SELECT *, CASE WHEN n_a < 3 OR n_b < 3 THEN 1 ELSE least(1, (((((1.0614054
 f AS (SELECT *, least(1, p * (SELECT count(*) FROM pr)) AS q FROM p)
 SELECT a, b, n_a, n_b, u, round(z, 6) AS z, round(p, 6)::DOUBLE AS p, round(q, 6)::DOUBLE AS p_adj, CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE 'ns' END AS sign FROM f""")
 def _(s, d):
-    return rounded(ranktest.mann_whitney(V.obs(s, d), "v", "grp", _groups(s, d)))
+    return rounded(ranktest.mann_whitney(V.obs(s, d), "v", "grp"))
 
 
 @query("average_ranks", OBS + ", k AS (SELECT v, row_number() OVER (ORDER BY v) AS rn FROM obs WHERE v IS NOT NULL) SELECT v AS value, avg(rn) AS rank FROM k GROUP BY v")

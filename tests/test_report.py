@@ -89,6 +89,18 @@ def test_timeline_by_a_given_unit(spark, tmp_path):
     assert {r.unit for r in R.timeline(df, "ts").collect()} == {"month"}
 
 
+def test_rank_test_compares_all_groups(spark, tmp_path):
+    """35 groups: every pair by brute force, through the registered query."""
+    rng = random.Random(5)
+    rows = [(k, k % 35, float(rng.randrange(40) + k % 35)) for k in range(700)]
+    spark.createDataFrame([(i, f"g{g:02}", v) for i, g, v in rows], "event_id long, event_type string, value double").selectExpr("*", "timestamp '2024-01-01' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.a, r.b): r for r in Q["rank_test"](spark, str(tmp_path)).collect()}
+    by = {f"g{g:02}": [v for _, h, v in rows if h == g] for g in range(35)}
+    want = {(a, b): sum((x > y) + (x == y) / 2 for x in by[a] for y in by[b]) for a in by for b in by if a < b}
+    assert {p: r.u for p, r in got.items()} == want and {(r.n_a, r.n_b) for r in got.values()} == {(20, 20)}
+    assert all(abs(r.p_adj - min(1, 595 * r.p)) < 1e-3 for r in got.values())
+
+
 def test_records(spark):
     df = spark.createDataFrame([([1, 3, 4, 5], "TCYX", ["T", "C", "Y", "X"], ["red", "G", "b"]), ([4, 5], "bad", None, None)], "shape array<int>, dim_order string, dim_names array<string>, channels array<string>")
     n = records.normalise(df).collect()
