@@ -2,12 +2,12 @@
 
 How it stays exact without one global suffix array:
 
-1. *Anchors.* In every window of ``length`` bytes the gram of half that size with the least hash is an anchor, so two equal strings
-   of ``length`` bytes hold the same anchor at the same place. An anchor's context is what such strings can reach.
-2. Anchors whose gram occurs once are dropped. Contexts are then grouped by a hash of their whole content: where a
-   context occurs twice, everything in it is repeated, and it counts once from here on (groups of copies shrink to one row).
-3. *Shards.* The distinct contexts of an anchor meet in one shard, which builds a suffix array by Larsson-Sadakane
-   refinement and common prefixes by Kasai's recurrence, in numpy. Anchors with more than ``cap`` contexts are split
+1. *Pieces.* Every window of ``length`` bytes belongs to the gram of half that size with the least hash in it. Windows in a row with
+   the same least hash make a piece; so each window is in one piece, and equal strings of ``length`` bytes are in pieces of equal hash.
+2. Pieces whose least hash is that of one gram in one place are dropped. The others are grouped by a hash of their whole content: where a
+   piece occurs twice, everything in it is repeated, and it counts once from here on (groups of copies shrink to one row).
+3. *Shards.* The distinct pieces of a least hash meet in one shard, which builds a suffix array by Larsson-Sadakane
+   refinement and common prefixes by Kasai's recurrence, in numpy. Hashes with more than ``cap`` pieces are split
    over several shards; those exchange their sorted 400-byte strings by hash range and find shared ones by binary search.
 
 Edge cases: null and empty texts have no bytes and lose none; repeated rows are separate places, so both lose a
@@ -22,14 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, joined_bytes, mix, small_batches, text_or_empty, written
+from .common import Rolling, bounded, joined_bytes, mix, small_batches, text_or_empty, written
 
 BATCH = 4 << 20
 SHARD_BYTES = 1 << 18
+#: Windows in a piece at most: a long periodic text is cut.
+WINDOWS = 1 << 16
+#: Copies of a piece from which its rows are found by broadcast: one key holds them all.
+HOT = 10_000
 
 
 def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
@@ -41,29 +46,38 @@ def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return op(a[: len(a) - (width - have)], a[width - have :]) if width > have else a
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Anchors of all texts in ``data``: text number, place in it, hash of the gram, hash and size of the context."""
+def pieces(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """Pieces of all texts in ``data``: text number, place in it, least hash, how often it occurs in the piece, hash of the content, and bytes."""
     gram, none = length // 2, np.zeros(0, np.int64)
     reach = length - gram
     sizes = np.diff(ends)
-    if len(data) < length or not (sizes >= length).any():
-        return {"text": none, "pos": none, "h": none, "ck": none, "len": none}
-    roll = Rolling(data)
+    big = sizes >= length
+    if not big.any():
+        return {"text": none, "pos": none, "h": none, "k": none, "ck": none, "len": none}
     at = np.arange(len(data) - gram + 1)
-    h = roll.of(at, at + gram)
-    short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    least = _sliding(np.minimum, short, reach + 1)  # for windows that start at 0 .. len(data) - length
+    h = Rolling(data).of(at, at + gram)
+    least = _sliding(np.minimum, h, reach + 1)  # for windows that start at 0 .. len(data) - length
     step = np.zeros(len(data) + 1, np.int8)  # windows that cross from one text into the next don't count
-    big = sizes >= length
     np.add.at(step, ends[:-1][big], 1)
     np.add.at(step, ends[1:][big] - length + 1, -1)
-    least[np.cumsum(step[: len(least)], dtype=np.int8) == 0] = 0
-    held = np.concatenate([np.zeros(reach, np.uint32), least, np.zeros(reach, np.uint32)])
-    p = np.flatnonzero(_sliding(np.maximum, held, reach + 1) == short)
-    text = np.searchsorted(ends, p, "right") - 1
-    lo, hi = np.maximum(ends[text], p - reach), np.minimum(ends[text + 1], p + length)
-    shape = ((p - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64)
-    return {"text": text, "pos": p - ends[text], "h": h[p].view(np.int64), "ck": mix(roll.of(lo, hi) + mix(shape)).view(np.int64), "len": hi - lo}
+    ok = np.cumsum(step[: len(least)], dtype=np.int8) > 0
+    change = least[1:] != least[:-1]
+    first = np.flatnonzero(ok & np.concatenate([[True], change | ~ok[:-1]]))
+    last = np.flatnonzero(ok & np.concatenate([change | ~ok[1:], [True]]))
+    held = np.concatenate([np.zeros(reach, np.uint64), np.where(ok, least, np.uint64(0)), np.zeros(reach, np.uint64)])
+    p = np.flatnonzero(_sliding(np.maximum, held, reach + 1) == h)  # the grams of least hash, each in the windows of one piece
+    of = np.searchsorted(first, p, "right") - 1
+    while len(other := np.flatnonzero(least[first[of]] != h[p])):
+        of[other] -= 1
+    k = np.bincount(of, minlength=len(first))
+    many = (last - first) // WINDOWS + 1
+    if many.max() > 1:
+        step, k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many), np.repeat(k, many)
+        first = np.repeat(first, many) + step * WINDOWS
+        last = np.minimum(np.repeat(last, many), first + WINDOWS - 1)
+    text, raw, digest = np.searchsorted(ends, first, "right") - 1, memoryview(data), xxhash.xxh3_64_intdigest
+    ck = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
+    return {"text": text, "pos": first - ends[text], "h": least[first].view(np.int64), "k": k, "ck": ck.view(np.int64), "len": last + length - first}
 
 
 def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +90,24 @@ def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (both & np.uint64((1 << own) - 1)).astype(np.int64), both >> np.uint64(own)
 
 
-def suffix_array(data: np.ndarray, limit: np.ndarray, words: np.ndarray) -> np.ndarray:
+def suffix_array(data: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """Suffixes of pieces in order, equal ones by place. ``limit``: where the piece of a byte ends (0 in the gaps of 8 zero bytes between pieces).
 
-    Larsson-Sadakane refinement: order by 5 bytes, then sort each group by the rank of what follows, twice as far each time.
+    Larsson-Sadakane refinement: order by as many bytes as fit a word, then sort each group by the rank of what follows, twice as far each time.
     Suffixes that end within the bytes compared so far leave, as those still tied are equal to their ends.
     """
-    place, bits, k = np.flatnonzero(limit), len(data).bit_length(), 5
+    place, bits = np.flatnonzero(limit), len(data).bit_length()
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    wide = max(1, (len(used) - 1).bit_length())
+    k = min(7, (61 - bits) // wide)
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(len(used))
+    code = np.concatenate([code[data], np.zeros(k, np.uint64)])
+    key = np.zeros(len(data), np.uint64)
+    for i in range(k):
+        key = (key << np.uint64(wide)) | code[i : i + len(data)]
     ends = np.minimum(limit[place] - place, k).astype(np.uint64)  # tells an end from a zero byte
-    order, key = _ordered((words[place] >> np.uint64(24) << np.uint64(3)) | ends, 43)
+    order, key = _ordered((key[place] << np.uint64(3)) | ends, wide * k + 3)
     sa, rank = place[order].astype(np.int32), np.zeros(len(data), np.int32)
 
     def groups(key: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +128,10 @@ def suffix_array(data: np.ndarray, limit: np.ndarray, words: np.ndarray) -> np.n
     return sa
 
 
-def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray, least: int = 1, stride: int = 32) -> np.ndarray:
-    """Common prefix of each suffix (by place) with the one before it in ``sa``; 0 for suffixes of fewer than ``least`` bytes.
+def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray, least: int = 1, most: int | None = None, stride: int = 32) -> np.ndarray:
+    """Common prefix of each suffix (by place) with the one before it in ``sa``, up to ``most``; 0 for suffixes of fewer than ``least`` bytes.
 
-    Kasai's recurrence ``plcp[i] >= plcp[i - d] - d`` from every ``stride``-th place bounds the others, which are then extended eight bytes at a time.
+    Kasai's recurrence ``plcp[i] >= plcp[i - d] - d`` from every ``stride``-th place of a piece bounds the others, which are then extended eight bytes at a time.
     """
     n = len(data)
     before = np.full(n, -1, np.int32)
@@ -118,10 +141,12 @@ def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray
     def extend(i: np.ndarray, have: np.ndarray) -> None:
         j = before[i]
         i, j, have = i[j >= 0], j[j >= 0], have[j >= 0]
-        most = np.minimum(limit[i] - i, limit[j] - j)
-        have, live = np.minimum(have, most), np.arange(len(i))
+        end = np.minimum(limit[i] - i, limit[j] - j)
+        end = np.minimum(end, most) if most else end
+        have = np.minimum(have, end)
+        live = np.flatnonzero(have < end)
         while len(live):
-            a, b, l, m = i[live], j[live], have[live], most[live]
+            a, b, l, m = i[live], j[live], have[live], end[live]
             x = words[a + l] ^ words[b + l]
             equal = x == 0
             high = x >> np.uint64(32)
@@ -131,12 +156,13 @@ def kasai(data: np.ndarray, limit: np.ndarray, words: np.ndarray, sa: np.ndarray
             live = live[equal & (l + 8 < m)]
         plcp[i] = have
 
-    place = np.flatnonzero(limit - np.arange(n, dtype=np.int32) >= least)
-    some = place[place % stride == 0]
-    extend(some, np.zeros(len(some), np.int64))
-    rest = place[place % stride != 0]
-    base = rest // stride * stride
-    extend(rest, np.where((limit[base] == limit[rest]), np.maximum(plcp[base] - (rest - base), 0), 0))
+    at = np.arange(n, dtype=np.int32)
+    begin = np.maximum.accumulate(np.where(limit != np.concatenate([[0], limit[:-1]]), at, 0))
+    place = np.flatnonzero(limit - at >= least)
+    base = place - (place - begin[place]) % stride
+    extend(base[base == place], np.zeros((base == place).sum(), np.int64))
+    place, base = place[base != place], base[base != place]
+    extend(place, np.maximum(plcp[base] - (place - base), 0))
     return plcp
 
 
@@ -159,8 +185,8 @@ def classes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     limit[real] = inside
     words = _packed(data)
     limit = limit[: len(data)]
-    sa = suffix_array(data, limit, words)
-    plcp = kasai(data, limit, words, sa, length)
+    sa = suffix_array(data, limit)
+    plcp = kasai(data, limit, words, sa, length, length + 32)  # a bound of ``length`` suffices 32 places on
     sv = sa[limit[sa] - sa >= length]
     group = np.cumsum(plcp[sv] < length)
     piece = np.searchsorted(starts, sv, "right") - 1
@@ -183,7 +209,7 @@ SHARD = COVER + ", h long, part int, k1 binary, k2 binary, own binary, ids binar
 
 
 def _shard(rows: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
-    """One shard: covered runs, and for split anchors the sorted strings to be compared with other shards."""
+    """One shard: covered runs, and for split hashes the sorted strings to be compared with other shards."""
     piece, off, group, sv = classes(list(rows["ctx"]), length)
     if not len(piece):
         return
@@ -204,12 +230,12 @@ def _shard(rows: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
     if split.max() > 1:  # only whole split groups come in such a chunk
         data = np.frombuffer(b"\0\0\0\0\0\0\0\0".join(rows["ctx"]) + bytes(8), np.uint8)
         h, parts = int(rows["h"].iloc[0]), int(split[0])
-        one = sv[bound]
-        k1, k2 = Rolling(data).of(one, one + length), Rolling(data, 0xD6E8FEB86659FD93).of(one, one + length)
+        raw = memoryview(data)
+        k1, k2 = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[x : x + length]) for x in sv[bound].tolist()), np.uint64).reshape(-1, 2).T
         own = np.where(again, -1, at[bound])
         owner = doc[piece][bound]
         o = np.argsort(k1)
-        k1, k2, own, owner = k1[o], k2[o], own[o], owner[o]
+        k1, k2, own, owner = k1[o], np.ascontiguousarray(k2[o]), own[o], owner[o]
         part = (k1 >> np.uint64(32)) % np.uint64(parts)
         for x in np.unique(part):
             m = part == x
@@ -217,7 +243,7 @@ def _shard(rows: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
 
 
 def _merge(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Shards of one split anchor and one hash range: by binary search in the others' sorted strings, which single ones occur there."""
+    """Shards of one split least hash and one range of strings: by binary search in the others' sorted strings, which single ones occur there."""
     k1 = [np.frombuffer(x, np.uint64) for x in rows["k1"]]
     k2 = [np.frombuffer(x, np.uint64) for x in rows["k2"]]
     own = [np.frombuffer(x, np.int64) for x in rows["own"]]
@@ -227,7 +253,7 @@ def _merge(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     o = np.lexsort((all2, all1))
     all1, all2 = all1[o], all2[o]
     bound = np.flatnonzero(np.concatenate([[True], (all1[1:] != all1[:-1]) | (all2[1:] != all2[:-1])]))
-    where = np.concatenate(place)[o]  # one place can come from two shards, when contexts of a document overlap
+    where = np.concatenate(place)[o]
     again = np.maximum.reduceat(where, bound) != np.minimum.reduceat(where, bound)
     again |= np.logical_or.reduceat(np.concatenate(own)[o] < 0, bound)
     out = []
@@ -244,7 +270,6 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
     """(packed texts, covers). Covers: ``id, th, s, e``: bytes s..e of the text with hash ``th`` of document ``id`` occur elsewhere too."""
     spark = docs.sparkSession
     small_batches(spark)
-    reach = length - length // 2
     text = text_or_empty()
     none = F.col("doc_id").isNull()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64(none, text).alias("th"), none.alias("none"), text.alias("text"))
@@ -258,22 +283,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
                 while b < len(raw) and (b == a or total + len(raw[b]) <= BATCH):
                     total += len(raw[b])
                     b += 1
-                x = anchors(*joined_bytes(raw[a:b]), length)
+                x = pieces(*joined_bytes(raw[a:b]), length)
                 if len(x["text"]):
                     at = x.pop("text") + a
                     yield pd.DataFrame({"id": df["id"].to_numpy()[at], "th": df["th"].to_numpy()[at], **x})
                 a = b
 
-    found = rows.mapInPandas(find, "id long, th long, pos long, h long, ck long, len long")
-    # Written first, so that both sides of the join are plain shuffles and Spark can split the rows of a gram that is in many documents.
-    twice = written(found.groupBy("h").count().where("count > 1").select("h"), "grams")
-    some = written(found.join(twice, "h", "left_semi"), "anchors")
-    context = some.groupBy("h", "ck").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("at"))
-    context = written(context, "contexts")
-    shards = context.groupBy("h").agg(F.count("*").alias("d"), F.min("n").alias("least")).where("d > 1 and least = 1")
-    parts = F.ceil(F.col("d") / cap).cast("int")
-    need = context.join(shards, "h").select("h", "n", "at.*", parts.alias("parts"), F.pmod("ck", parts).cast("int").alias("salt"))
-    need = need.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "h", "salt", "parts", "n")).alias("need"))
+    # Written first, so that texts are read once and both sides of the join are plain shuffles, of which Spark can split one whose hash is in many documents.
+    found = written(rows.mapInPandas(find, "id long, th long, pos long, h long, k long, ck long, len long"), "pieces")
+    twice = written(found.groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").select("h"), "twice")
+    some = written(found.join(twice, "h", "left_semi"), "some")
+    distinct = written(some.groupBy("h", "ck").agg(F.count("*").alias("n"), F.max("k").alias("k"), F.min(F.struct("id", "th", "pos", "len")).alias("at")), "distinct")
+    shards = distinct.groupBy("h").agg(F.count("*").alias("d"), F.sum("k").alias("k"), F.sum("at.len").alias("bytes"), F.min("n").alias("least")).where("k > 1 and least = 1").drop("k")
+    parts = F.ceil(F.greatest(F.col("d") / cap, F.col("bytes") / (2 * length * cap))).cast("int")
+    need = distinct.join(shards, "h").select("h", "n", "at.*", parts.alias("parts"), F.pmod("ck", parts).cast("int").alias("salt"))
+    need = need.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "len", "h", "salt", "parts", "n")).alias("need"))
 
     def squeeze(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdCompressor(level=1)
@@ -289,12 +313,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
             for i, th, blob, needs in zip(df["id"], df["th"], df["z"], df["need"]):
                 raw = z.decompress(blob)
                 for x in needs:
-                    s = max(0, x["pos"] - reach)
-                    out.append((x["h"], x["salt"], x["parts"], x["n"], i, th, s, raw[s : x["pos"] + length]))
+                    out.append((x["h"], x["salt"], x["parts"], x["n"], i, th, x["pos"], raw[x["pos"] : x["pos"] + x["len"]]))
             for k in range(0, len(out), 4000):
                 yield pd.DataFrame(out[k : k + 4000], columns=["h", "salt", "parts", "n", "id", "th", "s", "ctx"])
 
-    pieces = packed.join(need, ["id", "th"]).mapInPandas(cut, "h long, salt int, parts int, n long, id long, th long, s long, ctx binary")
+    cuts = packed.join(need, ["id", "th"]).mapInPandas(cut, "h long, salt int, parts int, n long, id long, th long, s long, ctx binary")
 
     def build(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups come in order; a shard holds whole groups, as many as the caches take well, and a split group makes its own."""
@@ -307,23 +330,26 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
                 continue
             h, salt, parts = (df[c].to_numpy() for c in ("h", "salt", "parts"))
             edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]))
+            total = np.concatenate([[0], np.cumsum(df["ctx"].map(len).to_numpy(np.int64))])
             start = 0
             for a, b in zip(edge.tolist(), np.append(edge[1:], len(df)).tolist() if last else edge[1:].tolist()):
                 if parts[a] > 1 and start < a:
                     yield from _shard(df.iloc[start:a], length)
                     start = a
-                if parts[a] > 1 or (b - start) * (length + reach) >= SHARD_BYTES:
+                if parts[a] > 1 or total[b] - total[start] >= SHARD_BYTES:
                     yield from _shard(df.iloc[start:b], length)
                     start = b
             waiting = df.iloc[start:]
         if waiting is not None and len(waiting):
             yield from _shard(waiting, length)
 
-    shard = written(pieces.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInPandas(build, SHARD), "shards")
+    shard = written(cuts.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInPandas(build, SHARD), "shards")
     merged = shard.where("h is not null").groupBy("h", "part").applyInPandas(lambda g: _merge(g, length), COVER)
-    known = context.where("n > 1").select("h", "ck")
-    whole = some.join(known, ["h", "ck"]).select("id", "th", (F.col("pos") - F.least("pos", F.lit(reach))).alias("s"), "len")
-    covers = whole.select("id", "th", "s", (F.col("s") + F.col("len")).alias("e")).unionByName(shard.where("h is null").select("id", "th", "s", "e")).unionByName(merged)
+    known = distinct.where("n > 1").select("h", "ck", "n")
+    hot = bounded(known.where(F.col("n") > HOT), 100_000).select("h", "ck")
+    whole = some.join(hot, ["h", "ck"], "left_semi").unionByName(some.join(hot, ["h", "ck"], "left_anti").join(known.where(F.col("n") <= HOT).drop("n"), ["h", "ck"]))
+    whole = whole.select("id", "th", F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e"))
+    covers = whole.unionByName(shard.where("h is null").select("id", "th", "s", "e")).unionByName(merged)
     return packed, covers
 
 

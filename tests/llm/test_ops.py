@@ -285,7 +285,7 @@ def test_suffix_array_and_prefixes(zero):
     for p, e in zip(pieces, ends):
         limit[e - len(p) : e] = e
     words = suffix_dedup._packed(raw)
-    sa = suffix_dedup.suffix_array(raw, limit, words)
+    sa = suffix_dedup.suffix_array(raw, limit)
     assert sa.tolist() == sorted(np.flatnonzero(limit).tolist(), key=lambda i: (data[i : limit[i]], i))
     for least in (1, 20):
         plcp = suffix_dedup.kasai(raw, limit, words, sa, least)
