@@ -6,31 +6,65 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What counts as a word everywhere in this folder: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN_DIR: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The folder that every executor sees (``spark.checkpoint.dir``); where none is set a temporary one, in a single process only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN_DIR[0]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that lineage ends there and nothing is computed twice."""
+    """``df`` written to the shared folder and read again, so that lineage ends there and nothing is computed twice. ``release`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def made() -> int:
+    """How many tables ``written`` has made so far: where ``release`` is to start."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables made since then. Only once nothing that reads them is still to run."""
+    while len(_MADE) > since:
+        delete(spark, _MADE.pop())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores before it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = "__" + n
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def bounded(df: DataFrame, most: int) -> DataFrame:
     """``df`` with a broadcast hint if it has ``most`` rows at most; beyond that Spark joins it by shuffle.
 
@@ -40,8 +74,13 @@ def bounded(df: DataFrame, most: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch than Spark's 10,000: texts can be long, and a worker holds a batch at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Fewer rows in an Arrow batch than Spark's 10,000: texts can be long, and a worker holds a batch at once.
+
+    Spark reads the setting when a query runs, so it stays for the session; a lower one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -66,8 +105,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def eight(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ``size`` bytes (8 at most) from each place on as a number; ``data`` has 8 bytes more after the last place."""
+    w = np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(np.uint64).ravel()
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return np.where(size >= 8, w, w & ~(full << (np.minimum(size, 7).astype(np.uint64) << np.uint64(3))))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places: eight bytes at a time through a bijective mix, the length first; XXH3 for words of over 64 bytes.
+
+    Not from prefix sums: sums of powers modulo 2**64 are alike for some pairs of long words, whatever the base.
+    """
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    size = stops - starts
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live, at = np.arange(len(size)), 0
+    while len(live):
+        h[live] = mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + eight(data, starts[live] + at, size[live] - at))
+        at += 8
+        live = live[(size[live] > at) & (size[live] <= 64)]
+    raw = memoryview(data)
+    for i in np.flatnonzero(size > 64).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : stops[i]])
+    return h
+
+
 class Rolling:
-    """Hashes of any substrings of a byte array in constant time each, from prefix sums of ``byte * base**i`` modulo 2**64."""
+    """Hashes of any substrings of a byte array in constant time each, from prefix sums of ``byte * base**i`` modulo 2**64.
+
+    Some different strings have equal hashes: only for choosing and grouping, where what is grouped is compared afterwards.
+    """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -166,8 +166,9 @@ def _compare(ids: list, texts: list[str], prints: list[bytes], others: list[str]
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per document (see the contract of op3): its fingerprint, that of its edited text, and how near they and the next document are.
 
-    Documents are dealt out by ranges of ids (bounds from one approximate-percentile pass), so neighbours are in one place;
-    a range's first and last documents are kept and matched with the neighbouring ranges afterwards.
+    Documents are dealt out by ranges of ids (bounds from one approximate-percentile pass), so neighbours are in one place; an id that
+    several bounds fall on, and documents without an id, are dealt by ranges of their texts' hashes.
+    A range's first and last documents are kept and matched with the neighbouring ranges afterwards.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -175,13 +176,18 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    bounds, often = np.unique(np.array(bounds or [], np.int64), return_counts=True)
 
     def deal(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdCompressor(level=1)
         for df in chunks:
-            known = df["doc_id"].notna().to_numpy()
-            part = np.where(known, np.searchsorted(bounds, df["doc_id"].fillna(0).astype(np.int64), "right") + 1, 0)
+            known, ids = df["doc_id"].notna().to_numpy(), df["doc_id"].fillna(0).astype(np.int64).to_numpy()
+            at = np.searchsorted(bounds, ids, "right")
+            many = np.full(len(df), n)  # into how many parts rows of an id are dealt
+            if len(bounds):
+                many = np.where(known, np.where((at > 0) & (bounds[at - 1] == ids), often[at - 1], 1), n)
+            share = (df["th"].to_numpy() / 2.0**64 + 0.5) * many
+            part = np.where(known, at + 1, 0) * (n + 1) - np.minimum(share.astype(np.int64), many - 1)  # from the last part down, as ids are
             yield pd.DataFrame({"part": part, "doc_id": df["doc_id"].astype("Int64"), "th": df["th"], "z": [z.compress(t.encode()) for t in df["text"]]})
 
     dealt = rows.mapInPandas(deal, "part int, doc_id long, th long, z binary").repartition("part")

@@ -8,7 +8,7 @@ Learning uses a sample of labelled rows bounded by ``per_language`` texts expect
 
 Edge cases: null and empty texts and texts without a letter are ``und`` with score 0; rows without a language teach nothing;
 ties go to the first language by code point; without any labelled row all is ``und``; repeated rows are judged alike;
-an empty table gives an empty result; other columns pass through.
+an empty table gives an empty result; other columns pass through, but a column that has a result's name is replaced.
 """
 
 from __future__ import annotations
@@ -93,24 +93,22 @@ def held_out(doc_id: Column = None) -> Column:
     return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def learn(rows: DataFrame, per_language: int = 2000, least: int = 3, share: float = 1 / 3, bits: int = 20, hashes: int = 3) -> Model:
-    """A model from ``text, lang`` of ``rows`` (all of which may teach).
+def learn(rows: DataFrame, per_language: int = 2000, least: int = 3, share: float = 1 / 3, bits: int = 20, hashes: int = 3, most: int = 4096, fewest: int = 1) -> Model:
+    """A model from ``text, lang`` of ``rows`` (all of which may teach), of the ``most`` most frequent values of ``lang`` with ``fewest`` rows or more.
 
     An n-gram belongs to a language if it is seen ``least`` times there, and there at ``share`` of its highest rate at least.
     What comes to the driver is bounded by the sample: n-grams of ``per_language`` texts a language.
     """
     rows = rows.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").count().where(F.col("count") >= fewest).orderBy(F.desc("count"), "lang").limit(most).collect()
     names = sorted(r["lang"] for r in counts)
     code = {x: i for i, x in enumerate(names)}
     none = Model([], np.zeros((1, 1), np.uint64), np.zeros(1), np.ones(1), hashes)
     if not names:
         return none
-    cut = F.lit(None)
-    for r in counts:
-        cut = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(cut)
+    cuts = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, cut double")
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < cut)
+    sample = rows.join(F.broadcast(cuts), "lang").where(draw < F.col("cut")).select("lang", "text")  # ``most`` rows at most
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
@@ -133,11 +131,12 @@ def learn(rows: DataFrame, per_language: int = 2000, least: int = 3, share: floa
     return Model(names, slots, np.minimum(full**hashes, 0.5), np.maximum(own, 1e-6), hashes)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``; only ``text`` is read."""
+def identify(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the language and its score, named by ``into``; only ``text`` is read."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    docs = docs.drop(*into)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
 
     def run(parts: Iterator["pa.RecordBatch"]) -> Iterator["pa.RecordBatch"]:
         import pyarrow as pa

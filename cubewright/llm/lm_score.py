@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, is_space, joined_bytes, mix, small_batches, text_or_empty
+from .common import is_space, joined_bytes, mix, small_batches, text_or_empty, written
+from .common import word_hashes as hashes_at
 
 ALL = np.uint64(1)  # stands for "any word": its count is N
 
@@ -41,7 +42,7 @@ def word_hashes(raw: list[bytes], step: int = 2 << 20) -> tuple[np.ndarray, np.n
         gap = is_space(data)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
         starts, stops = edge[::2], edge[1::2]
-        out.append(Rolling(data).of(starts, stops))
+        out.append(hashes_at(data, starts, stops))
         sizes.append(np.diff(np.searchsorted(starts, ends)))
         a = b
     return np.concatenate(out), np.concatenate([np.zeros(0, np.int64), *sizes])
@@ -59,17 +60,29 @@ def ngrams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return levels
 
 
+def _columns(a: np.ndarray) -> bytes:
+    """Numbers of 64 bits byte by byte, which compresses well."""
+    return a.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: type, rows: int = 1) -> np.ndarray:
+    a = np.frombuffer(raw, np.uint8).reshape(rows, 8, -1)
+    return np.ascontiguousarray(a.transpose(0, 2, 1)).view(kind).reshape(rows, -1)
+
+
 def _pack(z: zstandard.ZstdCompressor, h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte, then counts."""
-    d = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return z.compress(len(h).to_bytes(8, "little") + d.tobytes() + n.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Sorted hashes as differences, then counts."""
+    return z.compress(_columns(np.diff(h, prepend=np.uint64(0))) + _columns(n.astype(np.uint64)))
 
 
 def _unpack(z: zstandard.ZstdDecompressor, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = z.decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    a = np.frombuffer(raw, np.uint8, offset=8).reshape(2, 8, n)
-    return np.cumsum(np.ascontiguousarray(a[0].T).view(np.uint64).ravel(), dtype=np.uint64), np.ascontiguousarray(a[1].T).view(np.int64).ravel()
+    d, n = _numbers(z.decompress(blob), np.uint64, 2)
+    return np.cumsum(d, dtype=np.uint64), n.view(np.int64)
+
+
+def _cuts(grams: np.ndarray, slices: int) -> np.ndarray:
+    """Where each slice of the hash range starts in sorted hashes, and the end."""
+    return np.append(np.searchsorted(grams, [np.uint64((k << 64) // slices) for k in range(slices)]), len(grams))
 
 
 def _counts(raw: list[bytes], order: int):
@@ -82,10 +95,13 @@ def _counts(raw: list[bytes], order: int):
 
 
 def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
-    """One row per document: ``doc_id, n_words, log_score, mean_log_score``. ``buckets``: slices of the hash range, by default four a shuffle partition."""
+    """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
+
+    ``buckets``: slices of the hash range; by default as many as ``order`` times the blocks over two, so that a slice holds the n-grams
+    of about two blocks however large the corpus is, and at least four a shuffle partition.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    slices = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,12 +132,12 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
         for df in parts:
             for _, row in df.iterrows():
                 _, _, _, grams, n = _counts(texts(row), order)
-                cut = np.searchsorted(grams, [np.uint64((k << 64) // slices) for k in range(slices)])
-                cut = np.append(cut, len(grams))
-                rows = [(row["block"], k, _pack(z, grams[a:b], n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+                cut = _cuts(grams, slices)
+                rows = [(row["block"], k, _pack(z, grams[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()]
                 yield pd.DataFrame(rows, columns=["block", "slice", "grams"])
 
     def add(df: pd.DataFrame) -> pd.DataFrame:
+        """To each block, for its n-grams of the slice in order: which of them other blocks hold too, and their totals."""
         z, c = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         got = [_unpack(z, x) for x in df["grams"]]
         h, n = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
@@ -132,19 +148,19 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
         for block, x in zip(df["block"], got):
             i = at[a : a + len(x[0])]
             a += len(x[0])
-            i = i[times[i] > 1]
-            if len(i):
-                out.append((block, _pack(c, grams[i], total[i])))
-        return pd.DataFrame(out, columns=["block", "totals"])
+            more = times[i] > 1
+            if more.any():
+                out.append((block, df["slice"].iloc[0], c.compress(np.packbits(more).tobytes()), c.compress(_columns(total[i[more]]))))
+        return pd.DataFrame(out, columns=["block", "slice", "which", "totals"])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in left.iterrows():
             doc, sizes, levels, grams, total = _counts(texts(row), order)
-            z = zstandard.ZstdDecompressor()
-            for blob in right["totals"]:
-                h, n = _unpack(z, blob)
-                total[np.searchsorted(grams, h)] = n
+            z, cut = zstandard.ZstdDecompressor(), _cuts(grams, slices)
+            for k, which, blob in zip(right["slice"], right["which"], right["totals"]):
+                more = np.unpackbits(np.frombuffer(z.decompress(which), np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
+                total[cut[k] : cut[k + 1]][more] = _numbers(z.decompress(blob), np.int64)[0]
             words = (total[grams == ALL].sum() - sizes)[doc].astype(np.float64)  # N without the own document
             rest = []
             for h in levels:
@@ -162,9 +178,11 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
             out.append(pd.DataFrame({"doc_id": pd.Series(row["ids"], dtype="Int64" if kind in ("bigint", "int") else object), "n_words": sizes, "log_score": sums}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_words": [], "log_score": []})
 
-    blocks = docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(pack, f"block string, ids array<{kind}>, sizes binary, z binary")
+    # Written, so that a block has the same documents and name wherever it is read again.
+    blocks = written(docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(pack, f"block string, ids array<{kind}>, sizes binary, z binary"), "blocks")
+    slices = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), order * blocks.count() // 2)
     sent = blocks.mapInPandas(send, "block string, slice int, grams binary")
-    totals = sent.groupBy("slice").applyInPandas(add, "block string, totals binary")
+    totals = sent.groupBy("slice").applyInPandas(add, "block string, slice int, which binary, totals binary")
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, f"doc_id {kind}, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.expr("try_divide(log_score, n_words)"))
 

@@ -6,7 +6,8 @@ probability, drawn from a hash of its id, so that reruns agree.
 
 Edge cases: null and empty texts have size 0 (they are emitted like others and take nothing); a null source is a source of
 its own, last in order; repeated rows get the same number of copies; documents without an id draw by a hash of
-their text; an empty table gives an empty result; other columns pass through ``mixed``.
+their text; an empty table gives an empty result; other columns pass through ``mixed``; ``mix_plan`` replaces a column that has a
+result's name.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, written
+from .common import WORD, bounded, fresh, written
 
 #: Sources up to which the table of targets is broadcast.
 BROADCAST_ROWS = 20_000
@@ -41,24 +42,32 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42) -> DataFrame:
-    """All columns of ``docs`` with ``mix_size, mix_source_size, mix_target, mix_copies``."""
-    sized = docs.withColumn("mix_size", n_words())
-    sums = sized.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("mix_size").alias("source_size"))
+#: What ``mix_plan`` adds.
+PLAN = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42, into: tuple[str, ...] = PLAN) -> DataFrame:
+    """All columns of ``docs`` with a document's size, its source's size and target, and how often it is taken, named by ``into``."""
+    size, source_size, target, taken = into
+    docs = docs.drop(*into)
+    (key_source,) = fresh(docs, "source")
+    sized = docs.withColumn(size, n_words())
+    sums = sized.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(size).alias("source_size"))
     targets = bounded(written(source_targets(sums, weights, most), "targets"), BROADCAST_ROWS)
-    targets = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(1.0)
+    targets = targets.select(F.col("source").alias(key_source), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(1.0)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    joined = sized.join(targets, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("mix_copies", copies.cast("int")).drop("__source")
+    joined = sized.join(targets, F.col("source").cast("string").eqNullSafe(F.col(key_source)))
+    return joined.withColumn(taken, copies.cast("int")).drop(key_source)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as the plan says."""
-    plan = mix_plan(docs, **options).where("mix_copies > 0")
-    return plan.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    into = fresh(docs, *PLAN, "copy")
+    plan = mix_plan(docs, into=tuple(into[:4]), **options).where(F.col(into[3]) > 0)
+    return plan.withColumn(into[4], F.explode(F.sequence(F.lit(1), F.col(into[3])))).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -12,25 +12,28 @@ document is cut into pieces of full capacity and a rest; an empty table gives an
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, joined_bytes, small_batches, text_or_empty, written
+from .common import eight, joined_bytes, mix, small_batches, text_or_empty, written
 
 
 class Encoder:
     """Ids of whole texts. What the tokenizer's split rule keeps apart is encoded once by its model and kept, as it never merges across it.
 
     Texts of Latin-1 characters are split here, in numpy: lower-casing maps those one to one and normalising leaves them
-    alone. Pieces are found again by 64-bit hash. Other texts go through the tokenizer word by word.
+    alone. Pieces of up to eight bytes are found again by those bytes as a number, longer ones in a dictionary. Other texts go through
+    the tokenizer word by word. What is laid down here holds for one normaliser and split rule, so the file must have those.
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
@@ -43,12 +46,23 @@ class Encoder:
     KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
     KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = NUMBER
     BITS = 22
+    #: Normaliser and split rule of the file that this encoder is for, fixed values.
+    RULES = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    )
 
     def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
+        rules = json.loads(Path(path).read_text())
+        if (rules.get("normalizer"), rules.get("pre_tokenizer")) != self.RULES or rules["model"].get("type") != "BPE":
+            raise ValueError(f"{path}: another normaliser or split rule than this encoder's")
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
         hidden = [b for b in range(256) if b not in shown]
         self.char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -57,10 +71,11 @@ class Encoder:
     def clear(self) -> None:
         self.words: dict[str, np.ndarray] = {}
         self.keys, self.values = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
+        self.long: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("i")
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Number of each piece, -1 if it is new: a hash table with linear probing."""
+        """Number of each piece of up to eight bytes, -1 if it is new: a hash table with linear probing. Its keys are one to one with pieces."""
         out, live = np.full(len(h), -1, np.int32), np.arange(len(h))
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         while len(live):
@@ -72,15 +87,19 @@ class Encoder:
             slot[live] = (slot[live] + 1) & ((1 << self.BITS) - 1)
         return out
 
-    def _learn(self, h: int, piece: str) -> None:
-        slot = h >> 64 - self.BITS
-        while self.keys[slot]:
-            slot = slot + 1 & (1 << self.BITS) - 1
+    def _number(self, piece: str) -> int:
+        """The number of a new piece, whose ids are kept."""
         ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(self.char[b] for b in piece.encode()))]
-        self.keys[slot], self.values[slot] = h, len(self.starts)
         self.starts.append(len(self.ids))
         self.sizes.append(len(ids))
         self.ids.extend(ids)
+        return len(self.starts) - 1
+
+    def _learn(self, h: int, piece: str) -> None:
+        slot = h >> 64 - self.BITS
+        while self.keys[slot]:
+            slot = slot + 1 & (1 << self.BITS) - 1
+        self.keys[slot], self.values[slot] = h, self._number(piece)
 
     def _edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces of lower-case Latin-1 text start and end; the text ends with a space."""
@@ -101,15 +120,21 @@ class Encoder:
     def _plain(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         data, ends = joined_bytes([t.translate(self.LOWER) + b"\n" for t in texts])
         starts, stops = self._edges(data) if len(data) else (ends[:0], ends[:0])
-        h = Rolling(data).of(starts, stops) | np.uint64(1)
-        at = self._find(h)
-        new = np.flatnonzero(at < 0)
+        raw, at = data.tobytes(), np.full(len(starts), -1, np.int32)
+        short = np.flatnonzero(stops - starts <= 8)
+        h = mix(eight(np.concatenate([data, np.zeros(8, np.uint8)]), starts[short], (stops - starts)[short]))  # a bijection, and no piece holds a zero byte
+        at[short] = self._find(h)
+        new = np.flatnonzero(at[short] < 0)
         if len(new):
             _, first = np.unique(h[new], return_index=True)
-            raw = data.tobytes()
             for i in new[first].tolist():
-                self._learn(int(h[i]), raw[starts[i] : stops[i]].decode("latin-1"))
-            at[new] = self._find(h[new])
+                self._learn(int(h[i]), raw[starts[short[i]] : stops[short[i]]].decode("latin-1"))
+            at[short[new]] = self._find(h[new])
+        for i in np.flatnonzero(stops - starts > 8).tolist():
+            piece = raw[starts[i] : stops[i]]
+            if (k := self.long.get(piece)) is None:
+                k = self.long[piece] = self._number(piece.decode("latin-1"))
+            at[i] = k
         ids, sizes = np.array(self.ids, np.uint32), np.array(self.sizes)[at] if len(at) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         flat = ids[np.repeat(np.array(self.starts)[at] - total[:-1], sizes) + np.arange(total[-1])] if len(at) else np.zeros(0, np.uint32)

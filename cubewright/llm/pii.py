@@ -5,10 +5,12 @@ nearby adjust the score: an account number or a social-security number counts on
 code points, end exclusive.
 
 The patterns run in linear time on any text: repeats are possessive, and a run that can't match is not tried again from
-each of its characters (``\\G``: or right after the match before).
+each of its characters (``\\G``: or right after the match before). Places are running sums of lengths by doubling steps, contexts are
+cut from the ends of what lies between matches, and redacted texts are cut from blocks of ``BLOCK`` characters, so all else takes
+time in proportion to the text and to the spans (times the logarithm of their number).
 
 Edge cases: null and empty texts have no spans; overlapping spans of different kinds are all reported; repeated rows are
-judged alike; an empty table gives an empty result; other columns pass through.
+judged alike; an empty table gives an empty result; other columns pass through, but a column that has the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import fresh, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 #: Per kind: what proposes a span.
@@ -41,6 +43,8 @@ CONTEXT = {
     "ssn": "ssn|social|security|tax",
 }
 WINDOW, LEAST = 40, 0.6
+#: Characters of a block from which pieces of a text are cut.
+BLOCK = 1024
 
 
 def _digits(m: Column) -> Column:
@@ -74,59 +78,81 @@ VALID = {
 }
 
 
-def _spans(text: Column, found: Column, kind: str) -> Column:
-    """Confirmed spans of a kind, in order: the text between matches gives their places."""
-    between = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found))
-    pairs = F.arrays_zip(between.alias("gap"), found.alias("m"))
-    kindof = "array<struct<start:int,stop:int,m:string>>"
+def _running(values: Column, op) -> Column:
+    """``op`` (sum or greatest) of each number and all before it: with those 1, 2, 4 ... places before, until all are in."""
+    n = F.size(values)
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, values, lambda acc, step: F.transform(acc, lambda x, i: op(x, F.coalesce(F.get(acc, i - step), F.lit(0)))))
+
+
+def _let(body, **values: Column) -> Column:
+    """``body`` of a struct of values, each worked out once; a lambda would work out again for each element what stands inside it."""
+    return F.transform(F.array(F.struct(*(c.alias(k) for k, c in values.items()))), body)[0]
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m")))).alias("out"))
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kindof).alias("out")), add, lambda acc: acc["out"])
-    placed = F.filter(placed, lambda x: VALID[kind](x["m"]))
+def _last(text: Column, n: int) -> Column:
+    return F.when(F.length(text) > n, F.substring(text, -n, n)).otherwise(text)
+
+
+def _spans(text: Column, found: Column, kind: str) -> Column:
+    """Confirmed spans of a kind, in order: the text between matches gives their places and what stands before them."""
+    between = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found))
+    sizes = F.zip_with(between, found, lambda gap, m: F.length(gap) + F.length(m))
+    parts = F.arrays_zip(_running(sizes, lambda a, b: a + b).alias("stop"), found.alias("m"), between.alias("gap"))
+    ends = F.zip_with(between, found, lambda gap, m: F.concat(_last(gap, WINDOW), _last(m, WINDOW)))
     base, more = SCORES[kind]
 
-    def scored(x: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, F.least(x["start"], F.lit(WINDOW))))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.when(near.rlike(CONTEXT[kind]), base + more).otherwise(base).alias("score"))
+    def scored(ends: Column, x: Column, i: Column) -> Column:
+        # No match is shorter than five characters, so eight matches and what is between them reach back far enough.
+        before = F.slice(ends, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8)))
+        near = F.lower(_last(F.concat(F.array_join(before, ""), _last(x["gap"], WINDOW)), WINDOW))
+        score = F.when(near.rlike(CONTEXT[kind]), base + more).otherwise(base)
+        return F.when(VALID[kind](x["m"]), F.struct(F.lit(kind).alias("kind"), (x["stop"] - F.length(x["m"])).alias("start"), x["stop"].alias("stop"), score.alias("score")))
 
-    placed = F.transform(placed, scored)
+    placed = F.filter(_let(lambda v: F.transform(v["parts"], lambda x, i: scored(v["ends"], x, i)), parts=parts, ends=ends), lambda x: x.isNotNull())
     return placed if kind in BASE else F.filter(placed, lambda x: x["score"] >= LEAST)
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii``: array of (kind, start, stop, score), by kind, then start."""
+def find_pii(docs: DataFrame, into: str = "pii") -> DataFrame:
+    """``docs`` with ``into``: array of (kind, start, stop, score), by kind, then start."""
     kind = "array<struct<kind:string,start:int,stop:int,score:double>>"
     none = F.array().cast(kind)
     text = text_or_empty()
+    names = dict(zip(PATTERNS, fresh(docs, *PATTERNS)))
     found = docs
     for k, p in PATTERNS.items():
         all_ = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-        found = found.withColumn(f"__{k}", F.when(F.contains(text, F.lit(NEEDS[k])), all_) if k in NEEDS else all_)
-    each = [F.when(F.size(f"__{k}") > 0, _spans(text, F.col(f"__{k}"), k)).otherwise(none) for k in PATTERNS]
-    return found.withColumn("pii", F.concat(*each)).drop(*(f"__{k}" for k in PATTERNS))
+        found = found.withColumn(names[k], F.when(F.contains(text, F.lit(NEEDS[k])), all_) if k in NEEDS else all_)
+    each = [F.when(F.size(names[k]) > 0, _spans(text, F.col(names[k]), k)).otherwise(none) for k in PATTERNS]
+    return found.withColumn(into, F.concat(*each)).drop(*names.values())
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, pii: str = "pii") -> DataFrame:
     """``docs`` of ``find_pii`` with each covered stretch of ``text`` replaced by its kind in angle brackets; ``n_chars`` follows where there is such a column."""
-    text = F.col("text")
-    spans = F.array_sort("pii", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
-
-    def add(acc: Column, x: Column) -> Column:
-        inside = x["start"] < acc["at"]
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    some = F.size("pii") > 0
-    out = docs.withColumn("__clean", F.when(some, clean).otherwise(text))
+    text, (clean,) = F.col("text"), fresh(docs, "clean")
+    spans = F.array_sort(pii, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["stop"] - a["stop"]))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(parts: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        some = F.slice(parts, first + 1, F.greatest(F.ceil(b / BLOCK).cast("int") - first, F.lit(0)))
+        return F.substring(F.array_join(some, ""), a - first * BLOCK + 1, b - a)
+
+    def stretches(v: Column) -> Column:
+        """Spans that none before them reaches, each with the end of what is covered before it."""
+        each = F.transform(v["spans"], lambda x, i: F.struct(F.coalesce(F.get(v["reach"], i - 1), F.lit(0)).alias("from"), x["start"].alias("start"), x["kind"].alias("kind")))
+        return _let(rebuilt, heads=F.filter(each, lambda x: x["start"] >= x["from"]), end=F.element_at(v["reach"], -1), parts=blocks, size=F.length(text))
+
+    def rebuilt(v: Column) -> Column:
+        pieces = F.transform(v["heads"], lambda x: F.concat(cut(v["parts"], x["from"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), cut(v["parts"], v["end"], v["size"]))
+
+    reached = lambda v: _let(stretches, spans=v["spans"], reach=_running(F.transform(v["spans"], lambda x: x["stop"]), F.greatest))
+    some = F.size(pii) > 0
+    out = docs.withColumn(clean, F.when(some, _let(reached, spans=spans)).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__clean")).drop("__clean", "pii")
+        out = out.withColumn("n_chars", F.when(some, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(clean)).drop(clean, pii)
 
 
 def joined(spans: Column) -> Column:

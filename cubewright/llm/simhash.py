@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, small_batches, text_or_empty, written
+from .common import bounded, delete, mix, shared_dir, small_batches, text_or_empty, written
 
 #: Words of 64 bits in a sketch.
 WIDE = 5
@@ -146,16 +147,24 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 def components(edges: DataFrame) -> DataFrame:
     """``v, root``: the smallest node that each node of ``edges`` (``u, v`` long) reaches, by alternating large and small stars."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark, folder = edges.sparkSession, f"{shared_dir(edges.sparkSession)}/edges-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, k: int) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
+        return spark.read.schema("u long, v long").parquet(f"{folder}/{k}")
+
+    edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0)
     before = None
-    while True:
+    for k in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where("u <> v").distinct(), "edges")
+        edges = kept(small.where("u <> v").distinct(), k)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
@@ -227,9 +236,9 @@ def hamming_groups(prints: DataFrame, bits: int = 4, cap: int = 4096) -> DataFra
     return components(ordered.mapInPandas(links, "u long, v long")).withColumnRenamed("v", "fp")
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__id, __th``: equal for rows of equal id (null too) and text."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__th": F.xxhash64(F.col("doc_id").isNull(), text_or_empty())})
+def row_keys(docs: DataFrame, into: tuple[str, str] = ("__id", "__th")) -> DataFrame:
+    """``docs`` with two keys, named by ``into``: equal for rows of equal id (null too) and text."""
+    return docs.withColumns({into[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), into[1]: F.xxhash64(F.col("doc_id").isNull(), text_or_empty())})
 
 
 def first_row() -> Column:
@@ -257,7 +266,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, cap: int = 4
             yield pd.DataFrame({"doc_id": df["doc_id"], "__id": df["__id"], "__th": df["__th"], "fp": np.array([fingerprint(t, words) for t in df["text"]], np.uint64).view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = row_keys(docs).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
+    texts = row_keys(docs.select("doc_id", "text")).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
     rows = written(texts.mapInPandas(prints, f"doc_id {kind}, __id long, __th long, fp long"), "prints")
     distinct = written(rows.groupBy("fp").agg(first_row().alias("first")), "distinct")
     return classed(rows, distinct, hamming_groups(distinct.select("fp"), bits, cap))
@@ -274,7 +283,7 @@ def sketch_links(nodes: DataFrame, similarity: float, recall: float, cap: int =
     flip = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     k = max(8, math.ceil(math.log2(max(nodes.count(), 2))))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** k))
-    most, most_of_word = (int(n * flip + sds * (n * flip * (1 - flip)) ** 0.5) for n, sds in ((64 * WIDE, 3), (64, 3)))
+    most = int(64 * WIDE * flip + 3 * (64 * WIDE * flip * (1 - flip)) ** 0.5)
     masks = np.zeros((tables, WIDE), np.uint64)
     for t in range(tables):
         for bit in np.random.default_rng(t).choice(64 * WIDE, k, replace=False):
@@ -310,15 +319,15 @@ def sketch_links(nodes: DataFrame, similarity: float, recall: float, cap: int =
                     if not len(a):
                         break
                     yield a, a + step
-                for g in np.flatnonzero(~small).tolist():
+                for g, word in itertools.product(np.flatnonzero(~small).tolist(), range(WIDE)):  # of ``most`` bits in all, one word has a share at most
                     at = np.arange(edge[g], edge[g + 1])
-                    at = at[np.argsort(gray_rank(w[at, 0]))]
+                    at = at[np.argsort(gray_rank(w[at, word]))]
                     if i[at[0]] == j[at[0]]:
                         p = q = at
-                        found = close_pairs(w[p, 0], None, most_of_word)
+                        found = close_pairs(w[p, word], None, most // WIDE)
                     else:
                         p, q = at[own[at] == i[at]], at[own[at] != i[at]]
-                        found = close_pairs(w[p, 0], w[q, 0], most_of_word) if len(p) and len(q) else iter(())
+                        found = close_pairs(w[p, word], w[q, word], most // WIDE) if len(p) and len(q) else iter(())
                     yield from ((p[x], q[y]) for x, y in found)
 
             def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -430,7 +439,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall
             yield df[["doc_id", "__id", "__th"]].assign(fp=np.array(fp, np.uint64).view(np.int64), size=size, **{c: w[:, i] for i, c in enumerate(names)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = row_keys(docs).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
+    texts = row_keys(docs.select("doc_id", "text")).select("doc_id", "__id", "__th", text_or_empty().alias("text"))
     rows = written(texts.mapInPandas(sketches, f"doc_id {kind}, __id long, __th long, fp long, size long, " + ", ".join(f"{c} long" for c in names)), "sketches")
     distinct = written(rows.groupBy("fp").agg(first_row().alias("first"), *(F.first(c).alias(c) for c in ("size", *names))), "distinct")
     loose = components(sketch_links(distinct, similarity, recall)).select(F.col("v").alias("fp"), "root")
