@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -24,9 +25,14 @@ def nullif_nan(c: str | Column) -> Column:
     return F.when(~F.isnan(col(c)), col(c))
 
 
+def nullif_nonfinite(c: str | Column) -> Column:
+    """NaN and the infinities become null."""
+    return F.when(~F.isnan(col(c)) & (F.abs(col(c)) < float("inf")), col(c))
+
+
 def nan_aggregate(agg, c: str | Column) -> Column:
-    """``agg`` without NaN; NaN if there was nothing else; null if there was nothing at all."""
-    return F.when((F.count(col(c)) > 0) & (F.count(nullif_nan(c)) == 0), F.lit(float("nan"))).otherwise(agg(nullif_nan(c)))
+    """``agg`` without NaN; NaN if there was no finite value; null if there was nothing at all."""
+    return F.when((F.count(col(c)) > 0) & (F.count(nullif_nonfinite(c)) == 0), F.lit(float("nan"))).otherwise(agg(nullif_nan(c)))
 
 
 def round6(c: str | Column) -> Column:
@@ -46,13 +52,19 @@ def all_of(conditions: Iterable[Column]) -> Column:
 
 
 def predicate(c: str, op: str | None, value: str | None, like: bool = False) -> Column:
-    """A user's filter. ``like=True`` keeps ``%`` and ``_`` as wildcards; an empty value or unknown operator filters nothing."""
+    """A user's filter. ``like=True`` keeps ``%`` and ``_`` as wildcards; an empty value or unknown operator filters nothing.
+
+    Comparisons take the number that the value begins with (``5px`` is 5); without one nothing matches.
+    """
     text, number = col(c).cast("string"), col(c).try_cast("double")
     if value is None or value == "" or op not in ("contains", "not_contains", "eq", "gt", "ge", "lt", "le", "in"):
         return F.lit(True)
     inside = text.like(f"%{value}%") if like else F.contains(text, F.lit(value))
     if op in ("gt", "ge", "lt", "le"):
-        v = float(value)
+        m = re.match(r"\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", value)
+        if not m:
+            return F.lit(False)
+        v = float(m[1])
         return {"gt": number > v, "ge": number >= v, "lt": number < v, "le": number <= v}[op]
     return {"contains": inside, "not_contains": ~inside, "eq": text == value, "in": text.isin([x.strip() for x in value.split(",")])}[op]
 
@@ -105,3 +117,22 @@ def ancestors(path: str | Column, include_self: bool = True) -> Column:
     parts = F.split(col(path), "/")
     n = F.size(parts) if include_self else F.size(parts) - 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def title_case(c: str | Column) -> Column:
+    """``size_bytes`` as ``Size Bytes``."""
+    return F.initcap(F.regexp_replace(col(c), "_+", " "))
+
+
+def byte_text(c: str | Column) -> Column:
+    """A number of bytes as text with the largest unit that keeps it at 1 or more, one decimal beyond bytes."""
+    units = ("B", "KB", "MB", "GB", "TB", "PB")
+    n = col(c).cast("double")
+    k = F.when(n < 1024, 0).otherwise(F.least(F.floor(F.log(1024.0, n)), F.lit(len(units) - 1))).cast("int")
+    value = F.when(k == 0, F.format_string("%.0f", n)).otherwise(F.format_string("%.1f", n / F.pow(F.lit(1024.0), k)))
+    return F.concat(value, F.lit(" "), F.element_at(F.array(*map(F.lit, units)), k + 1))
+
+
+def base_of(path: str | Column, bases: list[str]) -> Column:
+    """The base folder that a path lies in, the deepest of several; null outside all."""
+    return F.array_max(F.filter(F.array(*map(F.lit, bases)), lambda b: col(path).startswith(F.concat(b, F.lit("/")))))

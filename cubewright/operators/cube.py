@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import all_of, nan_aggregate, nullif_nan
+from ..functions.scalar import all_of, nan_aggregate, nullif_nan, nullif_nonfinite
 
 
 def _sets(dims: list[str]) -> list[list[str]]:
@@ -17,7 +17,7 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
 
     A dimension is active for a record if it has more than one coordinate there; spatial ones only if the user tiled them.
     ``metrics``: column -> ``sum``, ``min``, ``max``, ``mean`` (weighted by ``weight``, plain where its sum is 0) or ``std:<mean column>``
-    (pooled). ``sizes``: dimension -> column with a block's extent; a fixed dimension keeps it (null if blocks differ), a free
+    (pooled); means and deviations leave NaN and infinities out. ``sizes``: dimension -> column with a block's extent; a fixed dimension keeps it (null if blocks differ), a free
     one has the full extent (column ``full_<size>`` where there is one, else the largest block). ``whole``: like ``metrics``, for the row of the whole record only.
 
     Leaf rows are first added up to one per coordinate, and only mergeable scalars go through the expansion.
@@ -25,7 +25,7 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
     allowed = [d for d in dims if d not in spatial or d in tiled]
     means = {k: m.partition(":")[2] for k, m in metrics.items() if m.startswith("std:")}
     facts = [(F.min(d) < F.max(d)).alias(f"__act_{d}") for d in allowed]
-    facts += [F.avg(nullif_nan(m)).alias(f"__mid_{m}") for m in set(means.values())]  # pooled squares are taken about it, so that little cancels
+    facts += [F.avg(nullif_nonfinite(m)).alias(f"__mid_{m}") for m in set(means.values())]  # pooled squares are taken about it, so that little cancels
     facts += [F.max(f"full_{c}" if f"full_{c}" in leaf.columns else c).alias(f"__full_{c}") for c in (sizes or {}).values()]
     joined = leaf.join(leaf.groupBy(*rec).agg(*facts), rec) if facts else leaf
     joined = joined.withColumns({d: F.when(F.col(f"__act_{d}"), F.col(d)) if d in allowed else F.lit(None).cast(leaf.schema[d].dataType) for d in dims})
@@ -37,14 +37,15 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
             return F.sum(c.cast("long") if dict(leaf.dtypes)[name] in ("int", "bigint", "smallint", "tinyint") else nullif_nan(c))
         if how in ("min", "max"):
             return nan_aggregate(F.min if how == "min" else F.max, c)
-        v = nullif_nan(c)
+        v = nullif_nonfinite(c)
         used = F.sum(F.when(v.isNotNull(), w))
         if how == "mean":
             return F.when(used > 0, F.sum(v * w) / used).otherwise(F.avg(v))
-        mid, mean = F.col(f"__mid_{means[name]}"), nullif_nan(means[name])
-        used = F.sum(F.when(v.isNotNull() & mean.isNotNull(), w))
+        mid, mean = F.col(f"__mid_{means[name]}"), nullif_nonfinite(means[name])
+        both = v.isNotNull() & mean.isNotNull()
+        used = F.sum(F.when(both, w))
         squares = F.sum(w * (v * v + (mean - mid) * (mean - mid)))
-        shift = F.try_divide(F.sum(F.when(v.isNotNull(), w * (mean - mid))), used)
+        shift = F.try_divide(F.sum(F.when(both, w * (mean - mid))), used)
         return F.when(used > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, used) - shift * shift)))
 
     active = [d for d in dims if d in allowed]
@@ -66,6 +67,18 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
     return out
 
 
+def registered_cube(leaf: DataFrame, rec: list[str], dims: list[str], names: list[str] | None = None, **options) -> DataFrame:
+    """The cube of what the registered metrics gave (``rasters.measure``), each output added up as its metric says.
+
+    Outputs of metrics of scope ``record`` are on the row of the whole record only.
+    """
+    from .rasters import REGISTRY
+
+    chosen = [m for n, m in REGISTRY.items() if names is None or n in names]
+    by = {scope: {k: how for m in chosen if m.scope == scope for k, how in m.aggregates.items()} for scope in ("block", "record")}
+    return observation_cube(leaf, rec, dims, by["block"], whole=by["record"], **options)
+
+
 def merge_histograms(long: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
     """``keys, lo, hi, bin, n`` of histograms in long form (``lo, hi, bin, n`` for each non-zero bin) over the group's common range.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import INT_RANGE, col
@@ -22,30 +23,46 @@ def _neighbours(p: np.ndarray) -> np.ndarray:
 
 
 def plane_metrics(p: np.ndarray) -> dict[str, float]:
-    """Sharpness, contrast and artefact measures of one plane; NaN where it is too small."""
+    """Sharpness, contrast and artefact measures of one plane; NaN where it is too small.
+
+    Pixels that are NaN are left out: of means and deviations, and with them each 3 x 3 window or jump that holds one; a window's contrast is that of its other pixels.
+    """
     nan = float("nan")
     out = dict.fromkeys(("michelson_contrast", "mscn_variance", "texture_heterogeneity", "blocking_index", "ringing_index", "laplacian_variance"), nan)
     h, w = p.shape
-    if h >= 3 and w >= 3:
+    known = ~np.isnan(p)
+
+    def fine(a: np.ndarray) -> np.ndarray:
+        return a[~np.isnan(a)]
+
+    def mean(a: np.ndarray) -> float:
+        a = fine(a)
+        return float(a.mean()) if len(a) else nan
+
+    def variance(a: np.ndarray) -> float:
+        a = fine(a)
+        return float(a.var()) if len(a) else nan
+
+    if h >= 3 and w >= 3 and known.any():
         n = _neighbours(p)
-        mean, inner = n.mean(0), p[1:-1, 1:-1]
-        local = np.sqrt(np.maximum((n * n).mean(0) - mean * mean, 0))
-        sd = p.std()
+        middle, inner = n.mean(0), p[1:-1, 1:-1]
+        local = np.sqrt(np.maximum((n * n).mean(0) - middle * middle, 0))
+        sd = fine(p).std()
         if sd > 0:
-            out["michelson_contrast"] = float((n.max(0) - n.min(0)).mean() / sd)
-        out["mscn_variance"] = float(((inner - mean) / (local + max((p.max() - p.min()) * 1e-3, 1e-10))).var())
-        if local.mean() > 0:
-            out["texture_heterogeneity"] = float(local.std() / local.mean())
-        out["ringing_index"] = float((inner - mean).var())
-        out["laplacian_variance"] = float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * inner).var())
+            out["michelson_contrast"] = mean(np.fmax.reduce(n) - np.fmin.reduce(n)) / float(sd)
+        out["mscn_variance"] = variance((inner - middle) / (local + max((np.nanmax(p) - np.nanmin(p)) * 1e-3, 1e-10)))
+        if mean(local) > 0:
+            out["texture_heterogeneity"] = variance(local) ** 0.5 / mean(local)
+        out["ringing_index"] = variance(inner - middle)
+        out["laplacian_variance"] = variance(p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * inner)
     if h > 8 and w > 8:
-        out["blocking_index"] = float((np.abs(np.diff(p, axis=1))[:, 7::8].mean() + np.abs(np.diff(p, axis=0))[7::8].mean()) / 2)
+        out["blocking_index"] = (mean(np.abs(np.diff(p, axis=1))[:, 7::8]) + mean(np.abs(np.diff(p, axis=0))[7::8])) / 2
     return out
 
 
 @dataclass
 class Metric:
-    """A registered kernel: what it needs of a record, and what it gives for an array."""
+    """A registered kernel: what it needs of a record, what it gives for an array, and how its outputs are added up over blocks (``cube.registered_cube``)."""
 
     name: str
     outputs: dict[str, str]
@@ -130,15 +147,30 @@ def histogram_bounds(lo: Column, hi: Column, dtype: Column) -> tuple[Column, Col
 
 
 def block_histograms(records: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
-    """Long histograms ``keys, lo, hi, bin, n`` and ``nan_count`` of ``records`` (``values, dtype``). Finite values only."""
+    """Long histograms ``keys, lo, hi, nan_count, bin, n`` of ``records`` (``values, dtype``). Finite values only.
+
+    A block's values are counted where they are: what leaves is a row for each bin that isn't empty.
+    """
     finite = F.filter("values", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     r = records.withColumn("__f", finite).withColumn("nan_count", F.size(F.filter("values", lambda x: F.isnan(x))).cast("long"))
     lo, hi = histogram_bounds(F.array_min("__f"), F.array_max("__f"), F.col("dtype"))
-    r = r.withColumns({"lo": lo, "hi": hi})
-    step = (F.col("hi") - F.col("lo")) / bins
-    bin_ = F.when(F.col("lo") >= F.col("hi"), 0).otherwise(F.least(F.greatest(F.floor((F.col("v") - F.col("lo")) / F.nullif(step, F.lit(0.0))), F.lit(0)), F.lit(bins - 1)))
-    px = r.select(*keys, "lo", "hi", "nan_count", F.explode("__f").alias("v"))
-    return px.groupBy(*keys, "lo", "hi", "nan_count", bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    r = r.select(*keys, lo.alias("lo"), hi.alias("hi"), "nan_count", "__f").where(F.size("__f") > 0)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields if f.name != "__f") + ", bin int, n long"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            at, bin_, n = [], [], []
+            for i, (a, b, v) in enumerate(zip(df["lo"], df["hi"], df["__f"])):
+                place = np.clip(np.floor((v - a) / ((b - a) / bins)), 0, bins - 1).astype(np.int64) if b > a else np.zeros(len(v), np.int64)
+                counts = np.bincount(place)
+                full = np.flatnonzero(counts)
+                at.append(np.full(len(full), i))
+                bin_.append(full)
+                n.append(counts[full])
+            if at:
+                yield df.drop(columns="__f").iloc[np.concatenate(at)].assign(bin=np.concatenate(bin_), n=np.concatenate(n))
+
+    return r.mapInPandas(run, schema)
 
 
 def nodata_count(values: str | Column, nodata: str | Column) -> Column:
@@ -146,59 +178,146 @@ def nodata_count(values: str | Column, nodata: str | Column) -> Column:
     return F.coalesce(F.size(F.filter(col(values), lambda x: x.eqNullSafe(col(nodata).cast("double")))).cast("long"), F.lit(0)) * F.when(col(nodata).isNull(), 0).otherwise(1)
 
 
-def tile_records(records: DataFrame, steps: dict[str, int], dims: str = "YX") -> DataFrame:
-    """One row per block: ``steps`` along each axis (-1: whole), origins in ``dim_<axis>``, sizes in ``size_<axis>``, values cut out; the last block may be short."""
+def tile_steps(order: str, shape: list[int], steps: dict[str, int], most: int | None = None, late: str = "") -> list[int]:
+    """Extent of a tile along each axis: ``steps`` (default: whole along Y and X, else 1; -1: whole), in larger tiles of whole steps up to ``most`` elements.
+
+    With ``most`` a tile starts as the whole array and is cut, the longest axis first, only as far as it must be: axes with a step,
+    then those of ``late``, then axes without one unless they are pinned by -1. ``most`` can be exceeded where the steps leave no more to cut.
+    """
+    step = [steps.get(d, -1 if d in "YX" else 1) for d in order]
+    if most is None:
+        return [n if s == -1 else min(s, n) for s, n in zip(step, shape)]
+    size = list(shape)
+    tiers = ([k for k, d in enumerate(order) if step[k] != -1 and (d not in late or d in steps)], [k for k, d in enumerate(order) if step[k] != -1 and d in late and d not in steps], [k for k, d in enumerate(order) if step[k] == -1 and d not in steps])
+    for tier in tiers:
+        for k in sorted(tier, key=lambda k: -shape[k]):
+            rest = int(np.prod(size, dtype=np.int64)) // max(size[k], 1)
+            if rest * size[k] > most:
+                one = max(step[k], 1)
+                size[k] = min(size[k], max(1, most // (rest * one)) * one)
+    return size
+
+
+def _origins(shape: list[int], size: list[int]) -> Iterator[tuple[int, ...]]:
+    for at in np.ndindex(*(-(-n // max(s, 1)) for n, s in zip(shape, size))):
+        yield tuple(k * s for k, s in zip(at, size))
+
+
+def tile_plan(records: DataFrame, steps: dict[str, int], most: int, late: str = "") -> DataFrame:
+    """One row per tile of ``records`` (``shape, dim_order``; no values are read) with ``origin`` and ``extent`` along each axis (see ``tile_steps``), for loaders to read."""
+    keep = records.schema.fields
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["origin array<int>", "extent array<int>"])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            for i, (order, shape) in enumerate(zip(df["dim_order"], df["shape"])):
+                shape = list(map(int, shape))
+                size, own = tile_steps(order, shape, steps, most, late), df.iloc[i : i + 1]
+                origins = _origins(shape, size)
+                while some := list(itertools.islice(origins, 10_000)):
+                    yield own.loc[own.index.repeat(len(some))].assign(origin=some, extent=[tuple(min(s, n - a) for a, s, n in zip(at, size, shape)) for at in some])
+
+    return records.mapInPandas(run, schema)
+
+
+def tile_records(records: DataFrame, steps: dict[str, int], dims: str = "YX", most: int | None = None, late: str = "") -> DataFrame:
+    """One row per block: ``steps`` along each axis (see ``tile_steps``), origins in ``dim_<axis>``, sizes in ``size_<axis>``, values cut out; the last block may be short.
+
+    A record's whole array is in one row here; larger ones are read tile by tile by ``tile_plan``.
+    """
     keep = [f for f in records.schema.fields if f.name not in ("values", "shape")]
     axes = [d.lower() for d in dims]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["values array<double>", "shape array<int>"] + [f"dim_{a} int" for a in axes] + [f"size_{a} int" for a in axes] + [f"full_size_{a} int" for a in axes] + ["num_pixels long"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            for i in range(len(df)):
-                row = df.iloc[i]
-                a = np.asarray(row["values"], np.float64).reshape(tuple(row["shape"]))
-                order, out = row["dim_order"], []
-                ranges = [range(0, n, n if steps.get(d, 1) == -1 else steps.get(d, 1)) for d, n in zip(order, a.shape)]
-                for start in np.ndindex(*map(len, ranges)):
-                    at = [r[k] for r, k in zip(ranges, start)]
-                    block = a[tuple(slice(x, x + r.step) for x, r in zip(at, ranges))]
+            kept = [df[f.name].tolist() for f in keep]
+            for values, shape, order, *own in zip(df["values"], df["shape"], df["dim_order"], *kept):
+                a = np.asarray(values, np.float64).reshape(tuple(shape))
+                size, out = tile_steps(order, list(a.shape), steps, most, late), []
+                for at in _origins(list(a.shape), size):
+                    block = a[tuple(slice(x, x + s) for x, s in zip(at, size))]
                     place = {f"dim_{d.lower()}": x for d, x in zip(order, at)} | {f"size_{d.lower()}": n for d, n in zip(order, block.shape)} | {f"full_size_{d.lower()}": n for d, n in zip(order, a.shape)}
-                    out.append({f.name: row[f.name] for f in keep} | {"values": block.ravel(), "shape": list(block.shape), "num_pixels": block.size} | {f"{p}_{x}": place.get(f"{p}_{x}") for p in ("dim", "size", "full_size") for x in axes})
-                yield pd.DataFrame(out)
+                    out.append(dict(zip([f.name for f in keep], own)) | {"values": block.ravel(), "shape": list(block.shape), "num_pixels": block.size} | {f"{p}_{x}": place.get(f"{p}_{x}") for p in ("dim", "size", "full_size") for x in axes})
+                if out:
+                    yield pd.DataFrame(out)
 
     return records.mapInPandas(run, schema)
 
 
+def _nearest(n: int, m: int) -> np.ndarray:
+    """``m`` of ``n`` indices, evenly."""
+    return np.round(np.linspace(0, n - 1, m)).astype(int)
+
+
 def thumbnail(a: np.ndarray, side: int = SIDE) -> np.ndarray:
     """At most ``side`` pixels an axis, by nearest index."""
-    index = [np.round(np.linspace(0, n - 1, min(n, side))).astype(int) for n in a.shape[-2:]]
-    return a[..., index[0][:, None], index[1][None, :]]
+    return a[..., _nearest(a.shape[-2], min(a.shape[-2], side))[:, None], _nearest(a.shape[-1], min(a.shape[-1], side))[None, :]]
 
 
-def thumbnails(records: DataFrame, rec: list[str], side: int = SIDE) -> DataFrame:
-    """``rec, thumbnail`` (RGBA bytes), ``norm_min, norm_max``: the middle of the leading dimensions, scaled to 0..255. A record's tiles must be one row (see ``tile_records``)."""
-    schema = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in rec) + ", thumbnail binary, norm_min double, norm_max double"
+def assembled_thumbnails(tiles: DataFrame, rec: list[str], side: int = SIDE) -> DataFrame:
+    """``rec, thumbnail`` (RGBA bytes), ``norm_min, norm_max`` from a record's tiles (of ``tile_records``): scaled to fit and centred, grey from 0 or the least to the greatest value.
+
+    Each tile is thinned to ``side`` pixels an axis and gives the pixels of the thumbnail that it covers, at least one; of tiles along other axes the middle plane
+    is taken, and of several at one place the middle one. So a record has ``side * side`` pixels at most when it meets in one row.
+    """
+    keys = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in rec)
+    schema = keys + ", dim_y int, dim_x int, rank string, lo double, hi double, y int, x int, v double"
+    other = sorted(c for c in tiles.columns if c.startswith("dim_") and len(c) == 5 and c not in ("dim_y", "dim_x"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            out = []
-            for i in range(len(df)):
-                row = df.iloc[i]
-                a, order = np.asarray(row["values"], np.float64).reshape(tuple(row["shape"])), row["dim_order"]
+            own = [df[c].tolist() for c in rec]
+            rank = ["/".join(f"{int(x):012d}" for x in r) for r in zip(*(df[c].fillna(0) for c in other))] if other else [""] * len(df)
+            for values, shape, order, y0, x0, ny, nx, fy, fx, rk, *key in zip(df["values"], df["shape"], df["dim_order"], df["dim_y"], df["dim_x"], df["size_y"], df["size_x"], df["full_size_y"], df["full_size_x"], rank, *own):
+                a = np.asarray(values, np.float64).reshape(tuple(shape))
                 a = np.moveaxis(a, (order.index("Y"), order.index("X")), (-2, -1))
                 while a.ndim > 2:
                     a = a[a.shape[0] // 2]
-                t = thumbnail(a, side)
-                fine = t[np.isfinite(t)]
-                lo, hi = (min(float(fine.min()), 0.0), float(fine.max())) if fine.size else (0.0, 0.0)
-                grey = np.nan_to_num((t - lo) / (hi - lo) * 255 if hi > lo else t * 0).clip(0, 255).astype(np.uint8)
+                a = thumbnail(a, side)
+                scale = min(side / fy, side / fx)
+                used = [max(1, round(n * scale)) for n in (fy, fx)]
+                places = []
+                for at, n, u in zip((y0, x0), (ny, nx), used):
+                    first = (side - u) // 2 + round(at * scale)
+                    places.append(np.arange(first, min((side - u) // 2 + u, max(first + 1, (side - u) // 2 + round((at + n) * scale)))))
+                small = a[_nearest(a.shape[0], len(places[0]))[:, None], _nearest(a.shape[1], len(places[1]))[None, :]]
+                fine = a[~np.isnan(a)]
+                lo, hi = (float(fine.min()), float(fine.max())) if fine.size else (None, None)
+                y, x = np.meshgrid(*places, indexing="ij")
+                yield pd.DataFrame(dict(zip(rec, ([k] * small.size for k in key))) | {"dim_y": y0, "dim_x": x0, "rank": rk, "lo": lo, "hi": hi, "y": y.ravel(), "x": x.ravel(), "v": small.ravel()})
+
+    pixels = tiles.mapInPandas(run, schema)
+    if other:  # the middle of the tiles at one place, by their place along the other axes
+        ranks = pixels.groupBy(*rec, "dim_y", "dim_x", "rank").agg(F.max("lo").alias("__lo"))
+        places = Window.partitionBy(*rec, "dim_y", "dim_x").orderBy("rank")
+        every = Window.partitionBy(*rec, "dim_y", "dim_x")
+        middle = ranks.withColumn("__i", F.row_number().over(places) - 1).withColumn("__n", F.count("*").over(every)).where(F.col("__i") == F.floor(F.col("__n") / 2))
+        pixels = pixels.join(middle.select(*rec, "dim_y", "dim_x", "rank"), [*rec, "dim_y", "dim_x", "rank"])
+    one = pixels.groupBy(*rec, "y", "x").agg(F.max(F.struct("dim_y", "dim_x", "v"))["v"].alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    each = one.groupBy(*rec).agg(F.collect_list(F.struct("y", "x", "v")).alias("pixels"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # ``side * side`` at most
+
+    def paint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            out = []
+            for px, lo, hi in zip(df["pixels"], df["lo"], df["hi"]):
+                lo, hi = (min(lo, 0.0), hi) if lo is not None and np.isfinite(lo) and np.isfinite(hi) else (0.0, 0.0)
+                y, x, v = (np.array([p[c] for p in px]) for c in ("y", "x", "v"))
+                grey = np.nan_to_num(((v - lo) / (hi - lo) * 255).clip(0, 255)) if hi > lo else np.full(len(v), 255 if hi > 0 else 0)
                 canvas = np.zeros((side, side, 4), np.uint8)
-                canvas[: t.shape[0], : t.shape[1], :3] = grey[..., None]
-                canvas[: t.shape[0], : t.shape[1], 3] = 255
-                out.append({c: row[c] for c in rec} | {"thumbnail": canvas.tobytes(), "norm_min": lo, "norm_max": hi})
-            yield pd.DataFrame(out)
+                canvas[y, x, :3] = grey.astype(np.uint8)[:, None]
+                canvas[y, x, 3] = 255
+                out.append((canvas.tobytes(), lo, hi))
+            yield df[rec].assign(**{c: [o[k] for o in out] for k, c in enumerate(("thumbnail", "norm_min", "norm_max"))})
 
-    return records.mapInPandas(run, schema)
+    return each.mapInPandas(paint, keys + ", thumbnail binary, norm_min double, norm_max double")
+
+
+def thumbnails(records: DataFrame, rec: list[str], side: int = SIDE) -> DataFrame:
+    """``assembled_thumbnails`` of whole records, one row each."""
+    axis = lambda d: F.try_element_at("shape", F.instr("dim_order", d)).cast("int")
+    whole = {"dim_y": F.lit(0), "dim_x": F.lit(0), **{f"{p}size_{d.lower()}": axis(d) for d in "YX" for p in ("", "full_")}}
+    return assembled_thumbnails(records.withColumns(whole), rec, side)
 
 
 def denormalise(thumbs: DataFrame, dtype: str) -> DataFrame:

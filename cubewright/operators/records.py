@@ -13,13 +13,26 @@ COLOURS = ("r", "g", "b", "a", "red", "green", "blue", "alpha")
 
 
 def normalise(records: DataFrame) -> DataFrame:
-    """Axis letters that don't match the shape are replaced by ``A, B, C ...``; so are names, by ``dimA ...``."""
+    """Axis letters that don't match the shape are replaced by ``A, B, C ...``; so are names, by ``dimA ...``. Channel names are text, one for each index along C, or null."""
     n = F.size("shape")
     one_letter = F.coalesce(F.forall("dim_names", lambda x: F.length(x) == 1) & (F.size("dim_names") == n), F.lit(False))
     order = F.when(F.length("dim_order") == n, F.col("dim_order")).when(one_letter, F.upper(F.array_join("dim_names", ""))).otherwise(F.substring(F.lit(LETTERS), F.lit(1), n))
     r = records.withColumn("dim_order", order)
     names = F.when(F.size("dim_names") == n, F.col("dim_names")).otherwise(F.transform(F.split("dim_order", ""), lambda d: F.concat(F.lit("dim"), d)))
-    return r.withColumn("dim_names", names)
+    r = r.withColumn("dim_names", names)
+    if "channel_names" not in r.columns:
+        return r
+    c = F.transform("channel_names", lambda x: x.cast("string"))
+    at = F.instr("dim_order", "C")
+    return r.withColumn("channel_names", F.when((at > 0) & (F.size(c) == F.try_element_at("shape", F.greatest(at, F.lit(1)))), c))
+
+
+def canonical_dtype(c: str | Column) -> Column:
+    """``float32`` for ``<f4``, ``>f4``, ``Float32`` and the like."""
+    short = F.regexp_extract(col(c), r"^[<>=|]?([a-z])([0-9]+)$", 1)
+    bits = (F.regexp_extract(col(c), r"^[<>=|]?([a-z])([0-9]+)$", 2).try_cast("int") * 8).cast("string")
+    kind = F.when(short == "f", "float").when(short == "i", "int").when(short == "u", "uint").when(short == "c", "complex")
+    return F.when(short == "b", "bool").otherwise(F.coalesce(F.concat(kind, bits), F.lower(F.regexp_replace(col(c), "^[<>=|]", ""))))
 
 
 def infer_axes(attributes: Column, ndim: Column) -> Column:
@@ -29,10 +42,10 @@ def infer_axes(attributes: Column, ndim: Column) -> Column:
 
 
 def squeeze(records: DataFrame) -> DataFrame:
-    """Axes of size 1 leave shape, letters and names."""
+    """Axes of size 1 leave shape, letters and names, and their ``size_<axis>`` is null."""
     z = F.filter(F.arrays_zip(F.col("shape").alias("n"), F.split("dim_order", "").alias("d"), F.col("dim_names").alias("name")), lambda x: x["n"] != 1)
     r = records.withColumn("__z", z)
-    return r.withColumns({"shape": F.transform("__z", lambda x: x["n"]), "dim_order": F.array_join(F.transform("__z", lambda x: x["d"]), ""), "dim_names": F.transform("__z", lambda x: x["name"])}).drop("__z")
+    return r.withColumns({"shape": F.transform("__z", lambda x: x["n"]), "dim_order": F.array_join(F.transform("__z", lambda x: x["d"]), ""), "dim_names": F.transform("__z", lambda x: x["name"]), **{c: F.when(F.col(c) != 1, F.col(c)) for c in r.columns if c.startswith("size_") and len(c) == 6}}).drop("__z")
 
 
 def capabilities(order: str | Column, shape: str | Column, channels: str | Column) -> Column:
@@ -54,8 +67,10 @@ def matches(kind: str, axes: str = "", needs: tuple[str, ...] = ()) -> Column:
 
 
 def size_columns(records: DataFrame, dims: str) -> DataFrame:
-    """``ndim`` and ``size_<axis>`` of each record; null for axes it lacks."""
+    """``ndim``, the canonical ``dtype`` where there is one, and ``size_<axis>`` of each record, null for axes it lacks; other columns stay."""
     size = {f"size_{d.lower()}": F.when(F.instr("dim_order", d) > 0, F.try_element_at("shape", F.instr("dim_order", d))) for d in dims}
+    if "dtype" in records.columns:
+        records = records.withColumn("dtype", canonical_dtype("dtype"))
     return records.withColumns({"ndim": F.size("shape"), **size})
 
 
@@ -117,8 +132,9 @@ def sub_file_type(df: DataFrame) -> DataFrame:
 
 
 def sidecar(records: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """``records`` with the columns of ``side``; a record's own value wins."""
-    other = side.dropDuplicates([key]).select(key, *(F.col(c).alias(f"__{c}") for c in side.columns if c != key))
+    """``records`` with the columns of ``side``; a record's own value wins. Of several rows with a key, the least by its columns in order counts."""
+    rest = [c for c in side.columns if c != key]
+    other = side.groupBy(key).agg(F.min(F.struct(*rest)).alias("__s")).select(key, *(F.col(f"__s.{c}").alias(f"__{c}") for c in rest)) if rest else side.select(key).distinct()
     j = records.join(other, key, "left")
     for c in (x for x in side.columns if x != key):
         j = j.withColumn(c, F.coalesce(c, f"__{c}") if c in records.columns else F.col(f"__{c}")).drop(f"__{c}")
@@ -164,6 +180,15 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.select(*first, *(c for c in df.columns if c not in first and c not in blob), *(c for c in df.columns if c in blob))
 
 
+def row_ids(df: DataFrame, into: str = "row_id") -> DataFrame:
+    """Rows of files as read, numbered from 0: by file name, then by place in the file. ``df`` must come straight from a file source."""
+    at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = at.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))  # one row a file
+    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return at.join(first, "__file").select(*df.columns, (F.col("__first") + F.col("__row")).alias(into))
+
+
 def file_metadata(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """Observation rows with their file's columns; the file's value wins."""
     return rows.drop(*(c for c in files.columns if c != key)).join(files, key)

@@ -85,10 +85,17 @@ def inconsistencies(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def constants(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns without null that hold one value, and that value as text."""
-    one = lambda c: F.when((F.count("*") == F.count(c)) & (F.count_distinct(c) == 1), F.min(F.col(c).cast("string")))
+    one = lambda c: F.when((F.count("*") == F.count(c)) & (F.min(c) == F.max(c)), F.min(F.col(c).cast("string")))
     return _per_column(df, columns, value=one).where("value is not null")
 
 
+def modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The most frequent value of each column as text and how often it occurs; of several the least by code point; nulls don't count."""
+    long = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "value").where("value is not null")
+    n = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    return n.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("best")).select("column", F.col("best.value").alias("mode"), (-F.col("best.m")).alias("n"))
+
+
 def availability(df: DataFrame, columns: list[str]) -> DataFrame:
     return _per_column(df, columns, present=F.count, total=lambda c: F.count("*")).withColumn("pct", F.try_divide(F.col("present") * 100, "total"))
 
@@ -132,12 +139,29 @@ def dim_domain(cube: DataFrame, dims: list[str]) -> DataFrame:
     return _per_column(cube, dims, domain=lambda c: F.array_join(F.array_sort(F.collect_set(c)), ","), n=F.count_distinct)
 
 
-def quality_checks(df: DataFrame, group: str, same: list[str], sizes: list[str] = ()) -> DataFrame:
-    """``check, value, threshold, flagged``: extensions, group imbalance, and columns that should agree."""
+def quality_checks(df: DataFrame, group: str, same: list[str], sizes: list[str] = (), ragged: list[str] = (), needed: list[str] = ()) -> DataFrame:
+    """``check, value, threshold, flagged``: extensions, group imbalance, columns that should agree, size columns that only some records have over 1 (``ragged``), and columns
+    that should be there in each row, such as a histogram's (``needed``)."""
     ext = df.agg(F.count_distinct("file_extension").cast("double").alias("value")).select(F.lit("extensions").alias("check"), "value", F.lit(1.0).alias("threshold"), (F.col("value") > 1).alias("flagged"))
     even = uneven_groups(df, group).select(F.lit("group_imbalance").alias("check"), F.col("ratio").alias("value"), F.lit(1.5).alias("threshold"), "flagged")
     mixed = inconsistencies(df, [*same, *sizes]).select(F.concat(F.lit("mixed_"), "column").alias("check"), F.col("n_distinct").cast("double").alias("value"), F.lit(1.0).alias("threshold"), "flagged")
-    return ext.unionByName(even).unionByName(mixed)
+    out = ext.unionByName(even).unionByName(mixed)
+    if ragged:
+        some = varying_dims(df, list(ragged))
+        out = out.unionByName(some.select(F.concat(F.lit("ragged_"), "column").alias("check"), F.col("ragged").cast("double").alias("value"), F.lit(0.0).alias("threshold"), F.col("ragged").alias("flagged")))
+    if needed:
+        out = out.unionByName(null_counts(df, list(needed)).select(F.concat(F.lit("missing_"), "column").alias("check"), F.col("n_null").cast("double").alias("value"), F.lit(0.0).alias("threshold"), (F.col("n_null") > 0).alias("flagged")))
+    return out
+
+
+def default_group(df: DataFrame, short: str = "imported_path_short", name: str = "name", least: int = 2, most: int = 12, rows: int = 4) -> DataFrame:
+    """One row ``column``: the folder label if there is one, the name in a table of ``rows`` rows at most, else the first column with few values; null if none has."""
+    columns = [f.name for f in df.schema.fields if role(f) == "group"]
+    facts = df.agg(F.count("*").alias("n"), *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)))
+    few = F.coalesce(*(F.when(F.col(f"d{i}").between(least, most), F.lit(c)) for i, c in enumerate(columns) if c not in (short, name)), F.lit(None).cast("string"))
+    if name in df.columns:
+        few = F.when(F.col("n") <= rows, F.lit(name)).otherwise(few)
+    return facts.select((F.lit(short) if short in df.columns else few).alias("column"))
 
 
 # -- distributions ------------------------------------------------------------------------------------------------
@@ -154,13 +178,23 @@ def box_stats(df: DataFrame, metrics: list[str], group: str | None = None, exact
     return out.select("*", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75)))).drop("q")
 
 
-def distribution(df: DataFrame, metrics: list[str], group: str | None = None, raw_rows: int = 5000) -> DataFrame:
-    """Box statistics with ``mode``: ``points`` where all groups have ``raw_rows`` rows at most, ``invariant`` where a metric doesn't vary, else ``box``."""
-    b = box_stats(df, metrics, group, exact=True)
+def distribution(df: DataFrame, metrics: list[str], group: str | None = None, raw_rows: int = 5000, exact_rows: int = 1_000_000) -> DataFrame:
+    """Box statistics with ``mode``: ``points`` where all groups have ``raw_rows`` rows at most, ``invariant`` where a metric doesn't vary, else ``box``.
+
+    Quartiles are exact up to ``exact_rows`` rows of the table, approximate (1 in 10,000 of the rank) beyond, as exact ones keep all values of a group together.
+    """
+    b = box_stats(df, metrics, group, exact=df.limit(exact_rows + 1).count() <= exact_rows)
     w = Window.partitionBy("metric")
     return b.withColumn("mode", F.when(F.min("min").over(w) == F.max("max").over(w), "invariant").when(F.sum("n").over(w) <= raw_rows, "points").otherwise("box"))
 
 
+def raw_points(df: DataFrame, metrics: list[str], group: str | None = None, raw_rows: int = 5000) -> DataFrame:
+    """``grp, metric, value`` of the metrics that have ``raw_rows`` values at most and vary: what ``distribution`` calls ``points``."""
+    long = grouped(df, group).select("grp", *(nullif_nan(F.col(m).cast("double")).alias(m) for m in metrics)).unpivot(["grp"], metrics, "metric", "value").where("value is not null")
+    few = long.groupBy("metric").agg(F.count("*").alias("n"), (F.min("value") < F.max("value")).alias("varies")).where((F.col("n") <= raw_rows) & F.col("varies"))
+    return long.join(F.broadcast(few.select("metric")), "metric").select("grp", "metric", "value")  # one row a metric
+
+
 def bubble(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
     return grouped(df.where((F.col(x) > 1) & (F.col(y) > 1)), group).groupBy(F.col(x).alias("x"), F.col(y).alias("y"), "grp").agg(F.count("*").alias("n"))
 
@@ -211,23 +245,37 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 # -- histograms ---------------------------------------------------------------------------------------------------
 
 
-def group_mean_histogram(long: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
+def group_mean_histogram(long: DataFrame, keys: list[str], bins: int = 256, dtype: str | None = None) -> DataFrame:
     """``grp, lo, hi, bin, mean, spread_lo, spread_hi, n_histograms`` of ``keys, grp, lo, hi, bin, n``.
 
+    With ``dtype`` kinds of pixel type (``kind``: uint, int, float) are apart, and types of no kind are left out (``unsupported_dtypes`` counts them).
     Each histogram is scaled to area 1 and moved to its group's common axis, an exact edge going to the right bin. The spread needs two histograms.
     """
+    by = ["grp"]
+    if dtype:
+        long, by = long.withColumn("kind", dtype_kind(dtype)).where("kind is not null"), ["kind", "grp"]
     w = Window.partitionBy(*keys)
     area = long.withColumn("share", F.col("n") / F.sum("n").over(w))
-    b = long.groupBy("grp").agg(F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all"), F.count_distinct(*keys).alias("k"))
-    j = area.join(b, "grp")
+    b = long.groupBy(*by).agg(F.min("lo").alias("lo_all"), F.max("hi").alias("hi_all"), F.count_distinct(*keys).alias("k"))
+    j = area.join(b, by)
     centre = F.col("lo") + (F.col("bin") + 0.5) * ((F.col("hi") - F.col("lo")) / bins)
     moved = F.floor(F.try_divide(centre - F.col("lo_all"), (F.col("hi_all") - F.col("lo_all")) / bins))
     at = F.when(F.col("hi_all") <= F.col("lo_all"), 0).when(F.col("hi") <= F.col("lo"), F.least(F.greatest(F.floor(F.try_divide(F.col("lo") - F.col("lo_all"), (F.col("hi_all") - F.col("lo_all")) / bins)), F.lit(0)), F.lit(bins - 1))).otherwise(F.least(F.greatest(moved, F.lit(0)), F.lit(bins - 1)))
-    per = j.groupBy("grp", "lo_all", "hi_all", "k", at.cast("int").alias("bin"), *keys).agg(F.sum("share").alias("v"))
-    out = per.groupBy("grp", "lo_all", "hi_all", "k", "bin").agg((F.sum("v") / F.col("k")).alias("mean"), (F.sum(F.col("v") * F.col("v")) / F.col("k")).alias("sq"))
+    per = j.groupBy(*by, "lo_all", "hi_all", "k", at.cast("int").alias("bin"), *keys).agg(F.sum("share").alias("v"))
+    out = per.groupBy(*by, "lo_all", "hi_all", "k", "bin").agg((F.sum("v") / F.col("k")).alias("mean"), (F.sum(F.col("v") * F.col("v")) / F.col("k")).alias("sq"))
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mean") * F.col("mean")))
     spread = lambda c: F.when(F.col("k") >= 2, c)
-    return out.select("grp", F.col("lo_all").alias("lo"), F.col("hi_all").alias("hi"), "bin", "mean", spread(F.greatest(F.lit(0.0), F.col("mean") - sd)).alias("spread_lo"), spread(F.col("mean") + sd).alias("spread_hi"), F.col("k").alias("n_histograms"))
+    return out.select(*by, F.col("lo_all").alias("lo"), F.col("hi_all").alias("hi"), "bin", "mean", spread(F.greatest(F.lit(0.0), F.col("mean") - sd)).alias("spread_lo"), spread(F.col("mean") + sd).alias("spread_hi"), F.col("k").alias("n_histograms"))
+
+
+def individual_histograms(long: DataFrame, key: str, group: str | None = None, name=None, most: int = 50) -> DataFrame:
+    """``key, lo, hi, bin, share`` of ``key, grp, lo, hi, bin, n``: the histograms of one record (``name``), or of the first ``most`` records of a group, each of area 1."""
+    some = long if group is None else long.where(F.col("grp").cast("string") == group)
+    if name is not None:
+        some = some.where(F.col(key) == name)
+    else:
+        some = some.join(F.broadcast(some.select(key).distinct().orderBy(key).limit(most)), key)
+    return some.select(key, "lo", "hi", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("share"))
 
 
 def relative_axis(long: DataFrame, dtype: str) -> DataFrame:
@@ -252,14 +300,22 @@ def capped_groups(df: DataFrame, group: str, cap: int) -> DataFrame:
 # -- samples, top-k, pages ----------------------------------------------------------------------------------------
 
 
+def _draw(key: str, seed: int) -> Column:
+    """What samples are ordered by: a hash of the key as text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def sample_per_group(df: DataFrame, group: str, key: str, n: int = 2000, seed: int = 42) -> DataFrame:
     """At most ``n`` rows of each group, by hash of ``key``: the same rows every time."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(group).orderBy(_draw(key, seed), key)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
-def reservoir(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+def reservoir(df: DataFrame, key: str, k: int, seed: int = 42, group: str | None = None, then: str | None = None) -> DataFrame:
+    """``k`` rows by hash of ``key``, with their group in ``grp`` if one is named, and sorted by ``then``."""
+    some = df.orderBy(_draw(key, seed), key).limit(k)
+    some = grouped(some, group) if group else some
+    return some.orderBy(F.col(then).desc_nulls_last(), key) if then else some
 
 
 def top_k(df: DataFrame, metric: str, key: str, k: int = 256, descending: bool = True) -> DataFrame:
@@ -290,8 +346,24 @@ def groups_list(df: DataFrame, group: str, limit: int | None = None) -> DataFram
     return d.limit(limit) if limit else d
 
 
-def scatter(df: DataFrame, x: str, y: str, key: str, k: int = 5000) -> DataFrame:
-    return reservoir(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y), key, k)
+def record_page(df: DataFrame, by: str, key: str, first: list[str], needle: str = "", number: int = 0, size: int = 10, descending: bool = False) -> DataFrame:
+    """A page of the rows that hold ``needle``, with the columns of ``first`` before the others and the number of all such rows in ``total``."""
+    from ..functions.scalar import search
+
+    rows = df.where(search([f.name for f in df.schema.fields if role(f) != "blob"], needle)) if needle else df
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    columns = [*first, *(c for c in df.columns if c not in first)]
+    return page(rows, by, key, number, size, descending).select(*columns).crossJoin(F.broadcast(total))
+
+
+def scatter(df: DataFrame, x: str, y: str, key: str, k: int = 5000, colour: str | None = None) -> DataFrame:
+    """A sample of the rows that have all of x, y and the colour; ``scatter_nulls`` counts the others."""
+    columns = [c for c in (x, y, colour) if c]
+    return reservoir(df.dropna(subset=columns).select(key, *columns), key, k)
+
+
+def scatter_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(any_of(F.col(c).isNull() for c in columns)).alias("n_null"))
 
 
 def cohort(df: DataFrame, cube: DataFrame, key: str, coordinates: dict[str, int]) -> DataFrame:
@@ -300,6 +372,13 @@ def cohort(df: DataFrame, cube: DataFrame, key: str, coordinates: dict[str, int]
     return df.join(cube.where(hit).select(key).distinct(), key, "left_semi")
 
 
+def leaf_cohort(leaf: DataFrame, key: str, coordinates: dict[str, int]) -> DataFrame:
+    """Keys of the records that have a leaf at all the coordinates, along dimensions that vary in them: what ``cohort`` finds in the cube, from one pass over its leaves."""
+    active = reduce(lambda a, b: a & b, (F.min(d) < F.max(d) for d in coordinates))
+    here = reduce(lambda a, b: a & b, (F.col(d) == i for d, i in coordinates.items()))
+    return leaf.groupBy(key).agg((active & F.bool_or(here)).alias("__in")).where("__in").select(key)
+
+
 # -- paths, points, no-data ---------------------------------------------------------------------------------------
 
 
@@ -317,6 +396,12 @@ def hierarchy(df: DataFrame, path: str = "path", size: str | None = None, group:
     return e.groupBy("node").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), label.alias("label")).withColumn("depth", F.when(F.col("node") == "", 0).otherwise(F.size(F.split("node", "/"))))
 
 
+def colocated_rows(df: DataFrame, lat: str, lon: str, member: str) -> DataFrame:
+    """One row per member with its point and how many are there: for points that hold more than fits a row."""
+    at = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(member).alias("member"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    return at.join(at.groupBy("lat", "lon").agg(F.count("*").alias("n")), ["lat", "lon"]).select("member", "lat", "lon", "n")
+
+
 def colocated(df: DataFrame, lat: str, lon: str, member: str) -> DataFrame:
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ",").alias("members"))
 
@@ -328,6 +413,18 @@ def percent_bins(df: DataFrame, pct: Column, group: str | None = None) -> DataFr
     return g.groupBy(bin_.cast("int").alias("bin"), "grp").agg(F.count("*").alias("n"))
 
 
+def nonfinite_bins(df: DataFrame, finite: str, total: str, dtype: str, group: str | None = None) -> DataFrame:
+    """``percent_bins`` of the share of values that are not finite, of rows of float types; ``n_float`` of ``n_total`` rows are such."""
+    of = F.col(dtype).startswith("float")
+    n = df.agg(F.count_if(of).alias("n_float"), F.count("*").alias("n_total"))  # one row
+    return percent_bins(df.where(of), (F.col(total) - F.col(finite)) * 100.0 / F.col(total), group).crossJoin(F.broadcast(n))
+
+
+def bounds(df: DataFrame, west: str, south: str, east: str, north: str, group: str | None = None) -> DataFrame:
+    """The box around all footprints of a group."""
+    return grouped(df, group).groupBy("grp").agg(F.min(west).alias("west"), F.min(south).alias("south"), F.max(east).alias("east"), F.max(north).alias("north"))
+
+
 def nodata_values(df: DataFrame, nodata: str, group: str | None = None) -> DataFrame:
     return grouped(df, group).groupBy(missing(nodata, "not set").alias("value"), "grp").agg(F.count("*").alias("n"))
 

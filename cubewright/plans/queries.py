@@ -156,8 +156,8 @@ def _(s, d):
 
 @query("cohort_semi", LEAF + " SELECT rec, v_sum FROM cube WHERE obs_level = 0 AND rec IN (SELECT rec FROM cube WHERE dim_z = 3 AND dim_c = 1)")
 def _(s, d):
-    c = V.leaf_cube(s, d)
-    return R.cohort(c.where("obs_level = 0"), c, "rec", {"dim_z": 3, "dim_c": 1}).select("rec", "v_sum")
+    hit = R.leaf_cohort(V.leaf(s, d), "rec", {"dim_z": 3, "dim_c": 1})
+    return V.leaf_cube(s, d).where("obs_level = 0").join(hit, "rec", "left_semi").select("rec", "v_sum")
 
 
 ACROSS = LEAF + ", x AS (SELECT 'all' AS grp, dim_z AS slice, unnest(['v_mean', 'v_sum']) AS metric, unnest([v_mean, v_sum]) AS value FROM cube WHERE obs_level = 1 AND dim_z IS NOT NULL AND dim_c IS NULL), y AS (SELECT grp, slice, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(value) AS n FROM x GROUP BY ALL)"
@@ -375,21 +375,6 @@ def _(s, d):
     return R.category_order(V.inv_side(s, d), "quality")
 
 
-@query("sample_per_group")
-def _(s, d):
-    return R.sample_per_group(V.obs(s, d), "grp", "id", 300)
-
-
-@query("reservoir")
-def _(s, d):
-    return R.reservoir(V.obs(s, d), "id", 100)
-
-
-@query("scatter")
-def _(s, d):
-    return R.scatter(V.inv_side(s, d), "size_bytes", "quality", "path")
-
-
 @query("capped_groups", OBS + " SELECT grp, count(*) AS n FROM obs GROUP BY grp HAVING count(*) >= 1000")
 def _(s, d):
     return R.capped_groups(V.obs(s, d), "grp", 1000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,18 @@ def inv_side(spark, sf) -> DataFrame:
     """Files with the labels that some of them have."""
     side = table(spark, sf, "labels").withColumn("name", F.col("doc_id").cast("string")).drop("doc_id")
     return inv(spark, sf).join(side, "name", "left")
+
+
+def holes(spark, sf) -> DataFrame:
+    """``raster8`` with NaN and infinite pixels at places that follow from the record's number."""
+    nan = lambda i: (F.col("record_id") * 7 + (i + 1) * 3) % 29 == 0
+    inf = lambda i: (F.col("record_id") * 5 + i + 1) % 83 == 0
+    v = F.transform("values", lambda x, i: F.when(nan(i), F.lit(float("nan"))).when(inf(i), F.lit(float("inf"))).otherwise(x))
+    return raster8(spark, sf).withColumn("values", v)
+
+
+def stacks(spark, sf) -> DataFrame:
+    """Whole records of ``stack``: planes along t."""
+    planes = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("record_id"), (F.col("vec_id") % 10).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    r = planes.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("t"))  # ten at most
+    return r.select("record_id", F.flatten(F.transform("t", lambda x: x["v"])).alias("values"), F.array(F.size("t"), F.lit(8), F.lit(8)).alias("shape"), F.lit("TYX").alias("dim_order"))

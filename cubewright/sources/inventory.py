@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ancestors, extension
+from ..functions.scalar import ancestors, base_of, extension
 
 
 def distinct_bases(bases: list[str]) -> list[str]:
@@ -19,8 +20,8 @@ def distinct_bases(bases: list[str]) -> list[str]:
     return [b for b in clean if not any(b != o and b.startswith(o + "/") for o in clean)]
 
 
-def scan(spark: SparkSession, bases: list[str], accepted: set[str] | str = "all", folder_ext: str | None = None) -> DataFrame:
-    """One row per file (or folder dataset with extension ``folder_ext``) under ``bases``. Contents are not read.
+def scan(spark: SparkSession, bases: list[str], accepted: set[str] | str = "all", folder_ext: str | set[str] | None = None) -> DataFrame:
+    """One row per file (or folder dataset with an extension of ``folder_ext``) under ``bases``. Contents are not read.
 
     ``path, name, type, parent, depth, size_bytes, file_extension, modification_date, imported_path, common_base`` and, with
     several bases, ``imported_path_short``. A folder dataset has the summed size and the latest date of its files.
@@ -29,12 +30,13 @@ def scan(spark: SparkSession, bases: list[str], accepted: set[str] | str = "all"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(own).select("path", "length", "modificationTime")
     files = raw.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     if folder_ext:
-        inside = F.regexp_extract("path", rf"^(.*?\.{folder_ext.lstrip('.')})(?:/.*)?$", 1)
+        kinds = "|".join(re.escape(x.lstrip(".")) for x in ({folder_ext} if isinstance(folder_ext, str) else folder_ext))
+        inside = F.regexp_extract("path", rf"^(.*?\.(?:{kinds}))(?:/.*)?$", 1)
         files = files.withColumn("__f", F.nullif(inside, F.lit("")))
         files = files.groupBy(F.coalesce("__f", "path").alias("path"), F.when(F.col("__f") != F.col("path"), "folder").otherwise("file").alias("type")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
     else:
         files = files.withColumn("type", F.lit("file"))
-    base = F.array_max(F.filter(F.array(*map(F.lit, own)), lambda b: F.col("path").startswith(F.concat(b, F.lit("/")))))
+    base = base_of("path", own)
     prefix = common_prefix(own)
     out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "type", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), (F.size(F.split("path", "/")) - 1).alias("depth"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modification_date"), base.alias("imported_path"))
     out = out.withColumns({"file_extension": extension("name"), "common_base": F.lit(prefix.rsplit("/", 1)[-1])})
