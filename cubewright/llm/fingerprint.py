@@ -48,8 +48,30 @@ STEPS, WEIGHTS = _samples()
 BANDS = [np.sort(_rng.choice(len(STEPS[:120]), 3, replace=False)) for _ in range(20)]
 
 
+#: Walks up to which each goes on alone: a step of all together costs about as much as one of so many apart.
+FEW = 24
+
+
+def _shifts(step: int, n: int) -> np.ndarray:
+    return (mix(np.arange(step, step + n, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
+def _alone(symbol: np.ndarray, key: np.ndarray, pos: int, end: int, step: int, sample: int, out: np.ndarray) -> int:
+    """The rest of one walk, sampled into ``out``; how many samples it has."""
+    moves, keys, wanted, taken = MOVES.astype(np.uint8).tobytes(), memoryview(key), STEPS, sample
+    while pos < end:
+        n = min(4096, int(wanted[sample]) - step, end - pos)
+        for shift in _shifts(step, n).tolist():
+            pos += moves[keys[pos] + shift & 0xFFFF]
+        step += n
+        if step == wanted[sample] and pos < end:
+            out[sample] = symbol[pos]
+            sample = taken = sample + 1
+    return taken
+
+
 def embed(texts: list[str]) -> list[bytes]:
-    """One byte for each sampled step that a text's walk takes; all texts walk side by side."""
+    """One byte for each sampled step that a text's walk takes; all texts walk side by side, the last few apart."""
     sizes = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-sizes, kind="stable")
     codes = np.frombuffer("".join([texts[i] for i in order] + ["\0" * 64]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -63,9 +85,8 @@ def embed(texts: list[str]) -> list[bytes]:
     pos, end, who = pos[live], end[live], who[live]
     out, taken = np.zeros((len(texts), len(STEPS)), np.uint8), np.zeros(len(texts), np.int64)
     step, sample, wanted = 0, 0, STEPS.tolist()
-    while len(pos):
-        shifts = (mix(np.arange(step, step + 32, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
-        for shift in shifts:
+    while len(pos) > FEW:
+        for shift in _shifts(step, 32):
             if step == wanted[sample]:
                 ok = pos < end
                 out[who[ok], sample] = symbol[pos[ok]]
@@ -76,6 +97,8 @@ def embed(texts: list[str]) -> list[bytes]:
         ok = pos < end
         if not ok.all():
             pos, end, who = pos[ok], end[ok], who[ok]
+    for p, e, i in zip(pos.tolist(), end.tolist(), who.tolist()):
+        taken[i] = max(taken[i], _alone(symbol, key, p, e, step, sample, out[i]))
     result = [b""] * len(texts)
     for row, i in enumerate(order.tolist()):
         result[i] = out[row, : taken[row]].tobytes()

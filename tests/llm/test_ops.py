@@ -222,6 +222,18 @@ def test_edits_move_fingerprints_little():
     assert fingerprint.likeness(a, b) > 0.8 > 0.2 > fingerprint.likeness(a, c)
 
 
+def test_walks_apart_and_together():
+    """A text has the same fingerprint alone, among few and among many; a long one takes time in proportion."""
+    import time
+
+    texts = ["".join(R.choice(string.ascii_lowercase) for _ in range(R.choice([0, 1, 5, 40, 700, 3000]))) for _ in range(150)]
+    together = fingerprint.embed(texts)
+    assert together == [fingerprint.embed([t])[0] for t in texts] and together[:9] == fingerprint.embed(texts[:9])
+    began = time.time()
+    assert len(fingerprint.embed(["".join(R.choice("abcdefgh ") for _ in range(1000)) * 1000])[0]) > 400
+    assert time.time() - began < 20
+
+
 def test_near_pairs(spark):
     base = "".join(R.choice(string.ascii_lowercase) for _ in range(1000))
     texts = [base, base[:500] + base[501:], "".join(R.choice(string.ascii_lowercase) for _ in range(1000)), base]
