@@ -338,6 +338,45 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), url_filter.HOST_RULES).count() == 0
 
 
+def test_language_against_sets():
+    """Without false positives of its filters a model decides as plain sets of n-grams do."""
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(3, 8))) for _ in range(60)] for k, a in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "ijklmno"))}
+    own = {k: set(langid.grams([" ".join(w).encode()])[0].tolist()) for k, w in words.items()}
+    slots = np.zeros((1 << 20, 1), np.uint64)
+    for i, k in enumerate(own):
+        for at in langid.places(np.array(sorted(own[k]), np.uint64), 1 << 20, 3):
+            slots[at, 0] |= np.uint64(1 << i)
+    model = langid.Model(list(own), slots, np.zeros(3), np.ones(3), 3)
+    texts = [" ".join(rng.choice(words[rng.choice(list(words))]) for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    lang, score = model.decide(texts)
+    for t, got, s in zip(texts, lang, score):
+        g = langid.grams([t.encode()])[0].tolist()
+        share = {k: sum(x in own[k] for x in g) / len(g) for k in own}
+        assert got == max(share, key=share.get) and s == pytest.approx(max(share.values()))
+
+
+def brute_walk(text):
+    """A walk by its definition, a character at a time."""
+    out, pos, step, before = [], 0, 0, 0
+    wanted = set(fingerprint.STEPS.tolist())
+    codes = [ord(c) for c in text]
+    while pos < len(codes):
+        shift = int(fingerprint.mix(np.array([step], np.uint64))[0]) >> 48
+        if step in wanted:
+            before = codes[pos - 1] if pos else 0
+            out.append((codes[pos] * 2654435761 + before * 2246822519 & 0xFFFFFFFF) >> 24)
+        key = (codes[pos] * 3266489917 & 0xFFFFFFFF) >> 16
+        pos += int(fingerprint.MOVES[key + shift & 0xFFFF])
+        step += 1
+    return bytes(out)
+
+
+def test_walks_by_definition():
+    texts = ["", "a", "é日本", "abc " * 300] + ["".join(R.choice("abcdefgh é") for _ in range(R.randrange(900))) for _ in range(40)]
+    assert fingerprint.embed(texts) == [brute_walk(t) for t in texts]
+
+
 def test_language_held_out(spark, sf):
     docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out()))
@@ -598,6 +637,75 @@ def test_pii_more_kinds(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in pii.redact(found).collect()}[4] == ("é <EMAIL> and <CARD>!", 21)
 
 
+def brute_stages(rows):
+    """What the stages make of ``rows`` (doc_id, text, lang, source), by hand: kept ids, kept ids, redacted texts, copies; and the pieces."""
+    from fractions import Fraction
+
+    from tokenizers import Tokenizer
+
+    rows = [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
+    yield {r["doc_id"] for r in rows}
+    sets = {}
+    for r in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", r["text"].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        sets[r["doc_id"]] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and label[a] != label[b] and 5 * (n := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if x == old else x for i, x in label.items()}
+    rows = [r for r in rows if label[r["doc_id"]] == r["doc_id"]]
+    yield {r["doc_id"] for r in rows}
+    for r in rows:
+        spans = [s.split(":") for s in brute_pii(r["text"])]
+        spans = sorted(((int(a), -int(b), k) for k, a, b in spans))
+        out, at = "", 0
+        for a, b, k in spans:
+            if a >= at:
+                out += r["text"][at:a] + f"<{k.upper()}>"
+            at = max(at, -b)
+        r["text"] = out + r["text"][at:]
+    yield {r["doc_id"]: r["text"] for r in rows}
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in rows}
+    sources = sorted({r["source"] for r in rows})
+    total = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in sources}
+    want, open_, left = {}, {s: k % 3 + 1 for k, s in enumerate(sources)}, Fraction(sum(total.values()))
+    while open_:
+        over = {s for s, w in open_.items() if left * w / sum(open_.values()) > 3 * total[s]}
+        want |= {s: Fraction(3 * total[s]) for s in over} if over else {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        left -= sum(want[s] for s in over)
+        open_ = {s: w for s, w in open_.items() if s not in want}
+    copies = []
+    for r in rows:
+        rate = want[r["source"]] / total[r["source"]] if total[r["source"]] else Fraction(1)
+        draw = int(hashlib.md5(f"42:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13
+        copies += [r["doc_id"]] * (int(rate) + (draw < float(rate - int(rate))))
+    yield sorted(copies)
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    tokens = {r["doc_id"]: plain.encode(r["text"], add_special_tokens=False).ids + [0] for r in rows}
+    yield sorted((i, s // 2048, s, len(tokens[i][s : s + 2048]), __import__("zlib").crc32(np.array(tokens[i][s : s + 2048], "<u4").tobytes())) for i in copies for s in range(0, len(tokens[i]), 2048))
+
+
+def test_pipeline_against_brute_force(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    seen = [lambda d: {r.doc_id for r in d.collect()}, lambda d: {r.doc_id for r in d.collect()}, lambda d: {r.doc_id: r.text for r in d.collect()}, lambda d: sorted(r.doc_id for r in d.collect())]
+    for k, ((name, stage), want) in enumerate(zip(corpus_pipeline.STAGES, brute_stages(rows))):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if k < 4:
+            assert seen[k](docs) == want, name
+        else:
+            assert sorted(tuple(r)[:5] for r in docs.select("doc_id", "piece", "start", "length", "ids_crc32").collect()) == want
+            fill = {}
+            for r in docs.orderBy("sequence_id", "offset").collect():
+                assert r.offset == fill.get(r.sequence_id, 0)
+                fill[r.sequence_id] = r.offset + r.length
+            assert max(fill.values()) <= 2048 and len(fill) <= 1.1 * sum(fill.values()) / 2048 + 1
+
+
 def test_pipeline(spark, docs, sf, tmp_path):
     d = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
