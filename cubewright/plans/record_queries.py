@@ -8,6 +8,7 @@ from ..functions.scalar import base_of, byte_text, extension, predicate, title_c
 from ..operators import cube as C
 from ..operators import rasters, records
 from ..operators import report as R
+from ..sources import sinks
 from . import views as V
 from .queries import INV, LEAF, OBS, PX, SIDE, query, rounded
 
@@ -380,3 +381,45 @@ def _(s, d):
     """Extents by level, and a column that only the row of the whole record has."""
     leaf = V.leaf(s, d).withColumns({"size_z": F.lit(1), "full_size_z": F.max("dim_z").over(V.Window.partitionBy("rec")), "largest": F.col("v")})
     return C.observation_cube(leaf, ["rec"], ["dim_z"], {"v": "sum"}, sizes={"dim_z": "size_z"}, whole={"largest": "max"}).select("rec", "dim_z", "obs_level", "size_z", "v", "largest")
+
+
+# -- written and read again ---------------------------------------------------------------------------------------
+
+
+@query("report_round_trip", LEAF + " SELECT rec::INTEGER AS rec, dim_z, dim_c, obs_level, v_sum, 'leaves' AS made_of FROM cube")
+def _(s, d):
+    """A report with its provenance, written in narrow types and read back."""
+    path = sinks.scratch(s, "report")
+    sinks.write_report(V.leaf_cube(s, d).select("rec", "dim_z", "dim_c", "obs_level", "v_sum"), path, {"made_of": "leaves"}, small=True)
+    df, about = sinks.read_report(s, path)
+    return df.select(*(F.col(c).cast("int").alias(c) for c in ("rec", "dim_z", "dim_c", "obs_level")), F.col("v_sum").cast("double").alias("v_sum"), F.lit(about["made_of"]).alias("made_of"))
+
+
+@query("merged_report", "SELECT conv_id::BIGINT AS id, turn::BIGINT AS turn, NULL::BIGINT AS quality FROM conversations UNION ALL SELECT doc_id, NULL, quality FROM labels")
+def _(s, d):
+    """Parts with different columns, one of them empty, as one table."""
+    paths = [sinks.scratch(s, "part") for _ in range(2)]
+    V.table(s, d, "conversations").select(F.col("conv_id").alias("id"), "turn", F.lit(None).cast("string").alias("nothing")).write.parquet(paths[0])
+    V.table(s, d, "labels").select(F.col("doc_id").alias("id"), "quality").write.parquet(paths[1])
+    return sinks.merged_report(s, paths).select(*(F.col(c).cast("long").alias(c) for c in ("id", "turn", "quality")))
+
+
+@query("export_filtered", LEAF + " SELECT rec, v_sum FROM cube WHERE obs_level = 0 AND v_sum >= 50")
+def _(s, d):
+    path = sinks.scratch(s, "export")
+    sinks.export_parquet(V.leaf_cube(s, d), path, where=predicate("v_sum", "ge", "50"), summary=True)
+    return s.read.parquet(path).select("rec", "v_sum")
+
+
+@query("export_csv", LEAF + " SELECT rec::VARCHAR AS rec, coalesce(dim_z::VARCHAR, '') AS dim_z, obs_level::VARCHAR AS obs_level FROM cube WHERE v_sum >= 100")
+def _(s, d):
+    path = sinks.scratch(s, "csv")
+    sinks.export_csv(V.leaf_cube(s, d), path, where=predicate("v_sum", "ge", "100"))
+    return s.read.option("header", True).csv(path).select("rec", F.coalesce("dim_z", F.lit("")).alias("dim_z"), "obs_level")
+
+
+@query("inventory_only", INV + " SELECT path, size_bytes, 0 AS obs_level FROM inv")
+def _(s, d):
+    from ..sources.inventory import inventory_only
+
+    return inventory_only(V.inv(s, d)).select("path", "size_bytes", "obs_level")

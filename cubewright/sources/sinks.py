@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,27 @@ from pyspark.sql import types as T
 
 from ..operators.records import drop_all_null, ordered, shrink
 
+_OWN_DIR: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor sees (``spark.checkpoint.dir``); where none is set a temporary one, in a single process only."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return _OWN_DIR[0]
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 #: What columns mean, by name or by the beginning of it.
 DOCS = {"obs_level": "number of fixed dimensions (0: the whole array)", "num_pixels": "elements covered", "size_bytes": "size on disk", "path": "where the file is"}
 FAMILIES = {"dim_": "coordinate along an axis, null if free", "size_": "extent along an axis", "pixel_size_": "physical size of an element"}
@@ -50,6 +73,11 @@ def merge_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(*paths)
 
 
+def merged_report(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Part files as one report: all columns, without those that hold nothing, in narrow types and in order."""
+    return ordered(shrink(drop_all_null(merge_parts(spark, paths))))
+
+
 def export_parquet(report: DataFrame, path: str, where=None, summary: bool = False) -> None:
     """A filtered report: all rows, or those of whole arrays. Column comments stay."""
     rows = report.where("obs_level = 0") if summary else report
