@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,25 +9,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_dir
+
 #: What counts as a word everywhere in this folder: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN_DIR: list[str] = []
 _MADE: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees (``spark.checkpoint.dir``); where none is set a temporary one, in a single process only."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return _OWN_DIR[0]
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that lineage ends there and nothing is computed twice. ``release`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
