@@ -1,7 +1,7 @@
 """Personal data in text, with DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (octets up to 255, Luhn, digit counts, mod 97), and words
-nearby adjust the score: an account number or a social-security number counts only with enough of both. All spans are
+nearby adjust the score: a social-security number or a secret (a long run of letters and digits) counts only after such a word. All spans are
 code points, end exclusive.
 
 The patterns run in linear time on any text: repeats are possessive, and a run that can't match is not tried again from
@@ -29,11 +29,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}+(?:\x20?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: What a kind can't do without; looked for first, as that is cheaper.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 #: Score of a confirmed span, and what a context word within ``WINDOW`` characters before it adds.
-SCORES = {"email": (0.95, 0.05), "ip": (0.7, 0.2), "card": (0.8, 0.2), "phone": (0.7, 0.2), "iban": (0.8, 0.2), "ssn": (0.4, 0.5)}
+SCORES = {"email": (0.95, 0.05), "ip": (0.7, 0.2), "card": (0.8, 0.2), "phone": (0.7, 0.2), "iban": (0.8, 0.2), "ssn": (0.4, 0.5), "secret": (0.4, 0.5)}
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": r"\bip\b|address|host|server",
@@ -41,6 +42,7 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank",
     "ssn": "ssn|social|security|tax",
+    "secret": "token|secret|passw|api.?key|credential|private",
 }
 WINDOW, LEAST = 40, 0.6
 #: Characters of a block from which pieces of a text are cut.
@@ -75,6 +77,7 @@ VALID = {
     "phone": lambda m: F.length(_digits(m)).between(9, 15),
     "iban": _mod97,
     "ssn": lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$"),
+    "secret": lambda m: (F.length(m) <= 256) & m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
 }
 
 
@@ -167,4 +170,4 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))

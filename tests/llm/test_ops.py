@@ -595,7 +595,7 @@ def test_pii_takes_time_in_proportion(spark):
 def test_pii_context_and_overlaps(spark):
     """Context words across several matches; overlapping spans of two kinds make one stretch."""
     rng = random.Random(5)
-    texts = ["".join(rng.choice(["call ", "a@b.co", " ", "1.2.3.4", "+4930123456789", "visa 4111 1111 1111 1111", "é", "x" * 45, ",", "host "]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts = ["".join(rng.choice(["call ", "api-key ", "ab12" * 6, "a@b.co", " ", "1.2.3.4", "+4930123456789", "visa 4111 1111 1111 1111", "é", "x" * 45, ",", "host "]) for _ in range(rng.randrange(60))) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.find_pii(df)
     for r, clean in zip(found.orderBy("doc_id").collect(), [x.text for x in pii.redact(found).orderBy("doc_id").collect()]):
@@ -629,11 +629,11 @@ def test_registered_queries_run(spark, sf):
 
 
 def test_pii_more_kinds(spark):
-    texts = ["DE89 3704 0044 0532 0130 00 is my iban", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789", "é a@b.co and 4111111111111111!"]
+    texts = ["DE89 3704 0044 0532 0130 00 is my iban", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789", "é a@b.co and 4111111111111111!", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 24be64439e3e49cf46b2d7c90f3602a3d0b907ff', "24be64439e3e49cf46b2d7c90f3602a3d0b907ff token"]
     df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     found = pii.find_pii(df)
     got = {r.doc_id: [x.kind for x in r.pii] for r in found.collect()}
-    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: ["email", "card"]}
+    assert got == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: ["email", "card"], 5: ["secret"], 6: []}
     assert {r.doc_id: (r.text, r.n_chars) for r in pii.redact(found).collect()}[4] == ("é <EMAIL> and <CARD>!", 21)
 
 
@@ -660,6 +660,9 @@ def brute_stages(rows):
     yield {r["doc_id"] for r in rows}
     for r in rows:
         spans = [s.split(":") for s in brute_pii(r["text"])]
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}", r["text"]):
+            if len(m[0]) <= 256 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and re.search(pii.CONTEXT["secret"], r["text"][max(0, m.start() - 40) : m.start()].lower()):
+                spans.append(("secret", str(m.start()), str(m.end())))
         spans = sorted(((int(a), -int(b), k) for k, a, b in spans))
         out, at = "", 0
         for a, b, k in spans:
