@@ -161,25 +161,36 @@ def candidates(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int =
     drawn = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(pivots).collect()]
     p = _matrix(drawn, max(map(len, drawn), default=0))
     order = ["near", "dist", F.xxhash64("vec_id")]  # the hash deals out equal vectors
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    held = written(blocks(_distance_rows(rows, p).repartitionByRange(parts, *order).sortWithinPartitions(*order), p, block), "blocks")
+    dealt = _distance_rows(rows, p).repartitionByRange(max(1, -(-rows.count() // block)), *order)
+    held = written(blocks(dealt.sortWithinPartitions(*order), p, block), "blocks")
 
     def home(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Queries with what their own block has to offer; ``least``: its k-th best score."""
+        """A row for each query: its vector, what its own block has to offer, and the k-th best score there."""
         for df in chunks:
             for r in df.itertuples(index=False):
                 b = Block(r)
-                for at in np.array_split(np.flatnonzero(b.asks), -(-int(b.asks.sum()) // query_block) or 1):
-                    if len(at):
-                        q = b.only(at)
-                        got = _found(q, b, k)
-                        scores = [got["score"].to_numpy()[got["place"].to_numpy() == x] for x in q.places]
-                        least = np.array([s[-1] if len(s) == k else -np.inf for s in scores])
-                        columns = {c: [got[c].to_numpy().tobytes()] for c in got.columns}
-                        yield _packed(int(q.places[0]), q.ids, q.places, q.asks, q.vectors, q.pivots).assign(home=b.block, least=[least.astype(np.float64).tobytes()], **{f"f_{c}": v for c, v in columns.items()})
-
-    f = ", ".join(f"f_{c.split()[0]} binary" for c in FOUND.split(", "))
-    queries = written(held.mapInPandas(home, f"{BLOCK}, home long, least binary, {f}"), "queries")
+                q = b.only(np.flatnonzero(b.asks))
+                at, v, score, evaluated = search(q, b, k)
+                cut = np.searchsorted(at, np.arange(len(q.ids) + 1))
+                ends = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+                least = [float(score[y - 1]) if y - x == k else -np.inf for x, y in ends]
+                each = {"vector": q.vectors.astype(np.int64), "pivots": q.pivots}
+                best = {"best": [v[x:y].tobytes() for x, y in ends], "scores": [score[x:y].tobytes() for x, y in ends]}
+                yield pd.DataFrame({"place": q.places, "query_id": q.ids, "home": b.block, "least": least, **{c: [x.tobytes() for x in m] for c, m in each.items()}, **best, "evaluated": np.where(np.arange(len(ends)) == 0, evaluated, 0)})
+
+    queries = written(held.mapInPandas(home, "place long, query_id long, home long, least double, vector binary, pivots binary, best binary, scores binary, evaluated long"), "queries")
+
+    def gather(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries that lie close together in blocks of ``query_block``."""
+        for df in chunks:
+            for x in range(0, len(df), query_block):
+                own = df.iloc[x : x + query_block]
+                v = [np.frombuffer(b, np.int64) for b in own["vector"]]
+                pack = _packed(int(own["place"].iloc[0]), own["query_id"].to_numpy(), own["place"].to_numpy(), np.ones(len(own)), _matrix(v, max(map(len, v))), np.stack([np.frombuffer(b) for b in own["pivots"]]))
+                yield pack.assign(homes=[own["home"].to_numpy().tobytes()], least=[own["least"].to_numpy().tobytes()])
+
+    near = queries.repartitionByRange(max(1, -(-queries.count() // query_block)), "place").sortWithinPartitions("place")
+    asked = written(near.mapInPandas(gather, f"{BLOCK}, homes binary, least binary"), "asked")
 
     def shape(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Per block what bounds its vectors: the greatest norm, and least and greatest distances to the pivots."""
@@ -189,15 +200,14 @@ def candidates(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int =
                 yield pd.DataFrame({"blocks": [np.array([x.block for x in b], np.int64).tobytes()], "norms": [np.array([x.norms.max() for x in b]).tobytes()], "low": [np.stack([x.pivots.min(0) for x in b]).tobytes()], "high": [np.stack([x.pivots.max(0) for x in b]).tobytes()]})
 
     shapes = held.mapInPandas(shape, "blocks binary, norms binary, low binary, high binary")
-    asked = queries.select(*(F.col(c).alias(c) for c in queries.columns if not c.startswith("f_")))
 
     def reach(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in chunks:
             for r in df.itertuples(index=False):
-                q, least = Block(r), np.frombuffer(r.least)
+                q, least, homes = Block(r), np.frombuffer(r.least), np.frombuffer(r.homes, np.int64)
                 name, norms = np.frombuffer(r.blocks, np.int64), np.frombuffer(r.norms)
                 low, high = (np.frombuffer(x).reshape(len(name), -1) for x in (r.low, r.high))
-                may = [name[n] for n in range(len(name)) if name[n] != r.home and (highest(q.norms, q.pivots, norms[n], low[n], high[n]) >= least).any()]
+                may = [name[n] for n in range(len(name)) if ((highest(q.norms, q.pivots, norms[n], low[n], high[n]) >= least) & (homes != name[n])).any()]
                 yield pd.DataFrame({"block": np.full(len(may), r.block), "other": np.array(may, np.int64)})
 
     # The stated queries against all rows, in blocks: first by what bounds the blocks, then those that may hold an answer.
@@ -208,13 +218,18 @@ def candidates(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int =
     def meet(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in chunks:
             own = df[[c for c in df.columns if c.startswith("v_")]].rename(columns=lambda c: c[2:])
-            for r, v in zip(df.itertuples(index=False), own.itertuples(index=False)):
-                yield _found(Block(r), Block(v), k, np.frombuffer(r.least))
+            for r, x in zip(df.itertuples(index=False), own.itertuples(index=False)):
+                q, v = Block(r), Block(x)
+                other = np.frombuffer(r.homes, np.int64) != v.block  # those at home here have met it
+                yield _found(q.only(other), v, k, np.frombuffer(r.least)[other])
 
     def unpack(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in chunks:
-            for r in df.itertuples(index=False):
-                yield pd.DataFrame({c.split()[0]: np.frombuffer(getattr(r, f"f_{c.split()[0]}"), np.int64) for c in FOUND.split(", ")})
+            v, score = ([np.frombuffer(b, np.int64) for b in df[c]] for c in ("best", "scores"))
+            n = [len(x) for x in v]
+            if sum(n):
+                first = np.concatenate([np.arange(x) == 0 for x in n])
+                yield df[["place", "query_id"]].loc[df.index.repeat(n)].assign(vec_id=np.concatenate(v), score=np.concatenate(score), evaluated=np.where(first, np.repeat(df["evaluated"].to_numpy(), n), 0))
 
     return queries.mapInPandas(unpack, FOUND).unionByName(met.mapInPandas(meet, FOUND))
 
