@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewright.llm import langid, mixing, packing, pii, simhash
-from cubewright.llm.common import fresh, made, release, shared_dir
+from cubewright.llm.common import delete, fresh, made, release, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        since = made()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        release(spark, since)  # what the stage wrote on its way
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        since, path = made(), f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, since)  # what the stage wrote on its way, and what it read
+        if before:
+            delete(spark, before)
+        before, docs = path, spark.read.parquet(path)
     return docs
