@@ -265,9 +265,14 @@ def assembled_thumbnails(tiles: DataFrame, rec: list[str], side: int = SIDE) ->
     schema = keys + ", dim_y int, dim_x int, rank string, lo double, hi double, y int, x int, v double"
     other = sorted(c for c in tiles.columns if c.startswith("dim_") and len(c) == 5 and c not in ("dim_y", "dim_x"))
 
+    def pixel_rows(heads: list[tuple], cells: list[np.ndarray]) -> pd.DataFrame:
+        tile = pd.DataFrame(heads, columns=[*rec, "dim_y", "dim_x", "rank", "lo", "hi"])
+        y, x, v = np.concatenate(cells, axis=1)
+        return tile.loc[tile.index.repeat([c.shape[1] for c in cells])].assign(y=y.astype(np.int32), x=x.astype(np.int32), v=v)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            own = [df[c].tolist() for c in rec]
+            heads, cells, own = [], [], [df[c].tolist() for c in rec]
             rank = ["/".join(f"{int(x):012d}" for x in r) for r in zip(*(df[c].fillna(0) for c in other))] if other else [""] * len(df)
             for values, shape, order, y0, x0, ny, nx, fy, fx, rk, *key in zip(df["values"], df["shape"], df["dim_order"], df["dim_y"], df["dim_x"], df["size_y"], df["size_x"], df["full_size_y"], df["full_size_x"], rank, *own):
                 a = np.asarray(values, np.float64).reshape(tuple(shape))
@@ -285,7 +290,13 @@ def assembled_thumbnails(tiles: DataFrame, rec: list[str], side: int = SIDE) ->
                 fine = a[~np.isnan(a)]
                 lo, hi = (float(fine.min()), float(fine.max())) if fine.size else (None, None)
                 y, x = np.meshgrid(*places, indexing="ij")
-                yield pd.DataFrame(dict(zip(rec, ([k] * small.size for k in key))) | {"dim_y": y0, "dim_x": x0, "rank": rk, "lo": lo, "hi": hi, "y": y.ravel(), "x": x.ravel(), "v": small.ravel()})
+                heads.append((*key, y0, x0, rk, lo, hi))
+                cells.append(np.stack([y.ravel(), x.ravel(), small.ravel()]))
+                if len(cells) >= 250:  # 4,096 pixels each at most
+                    yield pixel_rows(heads, cells)
+                    heads, cells = [], []
+            if cells:
+                yield pixel_rows(heads, cells)
 
     pixels = tiles.mapInPandas(run, schema)
     if other:  # the middle of the tiles at one place, by their place along the other axes
@@ -296,13 +307,13 @@ def assembled_thumbnails(tiles: DataFrame, rec: list[str], side: int = SIDE) ->
         pixels = pixels.join(middle.select(*rec, "dim_y", "dim_x", "rank"), [*rec, "dim_y", "dim_x", "rank"])
     one = pixels.groupBy(*rec, "y", "x").agg(F.max(F.struct("dim_y", "dim_x", "v"))["v"].alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     each = one.groupBy(*rec).agg(F.collect_list(F.struct("y", "x", "v")).alias("pixels"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # ``side * side`` at most
+    each = each.select(*rec, "lo", "hi", *(F.col("pixels")[c].alias(f"__{c}") for c in ("y", "x", "v")))  # arrays of their fields
 
     def paint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             out = []
-            for px, lo, hi in zip(df["pixels"], df["lo"], df["hi"]):
+            for y, x, v, lo, hi in zip(df["__y"], df["__x"], df["__v"], df["lo"], df["hi"]):
                 lo, hi = (min(lo, 0.0), hi) if lo is not None and np.isfinite(lo) and np.isfinite(hi) else (0.0, 0.0)
-                y, x, v = (np.array([p[c] for p in px]) for c in ("y", "x", "v"))
                 grey = np.nan_to_num(((v - lo) / (hi - lo) * 255).clip(0, 255)) if hi > lo else np.full(len(v), 255 if hi > 0 else 0)
                 canvas = np.zeros((side, side, 4), np.uint8)
                 canvas[y, x, :3] = grey.astype(np.uint8)[:, None]
