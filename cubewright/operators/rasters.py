@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,23 +179,27 @@ def nodata_count(values: str | Column, nodata: str | Column) -> Column:
     return F.coalesce(F.size(F.filter(col(values), lambda x: x.eqNullSafe(col(nodata).cast("double")))).cast("long"), F.lit(0)) * F.when(col(nodata).isNull(), 0).otherwise(1)
 
 
-def tile_steps(order: str, shape: list[int], steps: dict[str, int], most: int | None = None, late: str = "") -> list[int]:
+def tile_steps(order: str, shape: list[int], steps: dict[str, int], most: float | None = None, late: str = "") -> list[int]:
     """Extent of a tile along each axis: ``steps`` (default: whole along Y and X, else 1; -1: whole), in larger tiles of whole steps up to ``most`` elements.
 
-    With ``most`` a tile starts as the whole array and is cut, the longest axis first, only as far as it must be: axes with a step,
-    then those of ``late``, then axes without one unless they are pinned by -1. ``most`` can be exceeded where the steps leave no more to cut.
+    With ``most`` a tile starts as the whole array and is cut only as far as it must be: axes with a step, then those of ``late``, then axes without one
+    unless they are pinned by -1. The axes of one such tier share the cut: the longest first, each into as many parts as the root of what is still too
+    much, by how many axes are left, rounded up. ``most`` can be exceeded where the steps leave no more to cut.
     """
     step = [steps.get(d, -1 if d in "YX" else 1) for d in order]
     if most is None:
-        return [n if s == -1 else min(s, n) for s, n in zip(step, shape)]
+        return [n if s == -1 else min(s, n) for n, s in zip(shape, step)]
     size = list(shape)
     tiers = ([k for k, d in enumerate(order) if step[k] != -1 and (d not in late or d in steps)], [k for k, d in enumerate(order) if step[k] != -1 and d in late and d not in steps], [k for k, d in enumerate(order) if step[k] == -1 and d not in steps])
     for tier in tiers:
-        for k in sorted(tier, key=lambda k: -shape[k]):
-            rest = int(np.prod(size, dtype=np.int64)) // max(size[k], 1)
-            if rest * size[k] > most:
-                one = max(step[k], 1)
-                size[k] = min(size[k], max(1, most // (rest * one)) * one)
+        for done, k in enumerate(sorted(tier, key=lambda k: -shape[k])):
+            have, n = math.prod(size), shape[k]
+            if have <= most:
+                break
+            one = max(step[k], 1)
+            parts = math.ceil((have / most) ** (1 / (len(tier) - done)))
+            steps_each = 1 if one * (have // n) >= most else max(1, n // (one * parts))
+            size[k] = min(n, steps_each * one)
     return size
 
 
@@ -203,44 +208,78 @@ def _origins(shape: list[int], size: list[int]) -> Iterator[tuple[int, ...]]:
         yield tuple(k * s for k, s in zip(at, size))
 
 
-def tile_plan(records: DataFrame, steps: dict[str, int], most: int, late: str = "") -> DataFrame:
-    """One row per tile of ``records`` (``shape, dim_order``; no values are read) with ``origin`` and ``extent`` along each axis (see ``tile_steps``), for loaders to read."""
+def tile_plan(records: DataFrame, steps: dict[str, int], most: float | None = None, late: str = "", most_bytes: float | None = None) -> DataFrame:
+    """One row per tile of ``records`` (``shape, dim_order``; no values are read) with ``origin`` and ``extent`` along each axis (see ``tile_steps``), for loaders to read.
+
+    ``most_bytes`` instead of ``most``: bytes of a tile, by ``dtype``. Where there is a column ``late``, it holds for its record.
+    """
     keep = records.schema.fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["origin array<int>", "extent array<int>"])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            for i, (order, shape) in enumerate(zip(df["dim_order"], df["shape"])):
-                shape = list(map(int, shape))
-                size, own = tile_steps(order, shape, steps, most, late), df.iloc[i : i + 1]
-                origins = _origins(shape, size)
-                while some := list(itertools.islice(origins, 10_000)):
-                    yield own.loc[own.index.repeat(len(some))].assign(origin=some, extent=[tuple(min(s, n - a) for a, s, n in zip(at, size, shape)) for at in some])
-
-    return records.mapInPandas(run, schema)
+    def lists(cells: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *(c.size for c in cells)])
+        offsets = np.concatenate([[0], *(at + np.arange(1, len(c) + 1) * c.shape[1] for at, c in zip(ends, cells))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([c.ravel() for c in cells]), pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            take, origins, extents = [], [], []
+
+            def full() -> pa.RecordBatch:
+                rows = b.take(pa.array(np.concatenate(take)))
+                return pa.RecordBatch.from_arrays([*rows.columns, lists(origins), lists(extents)], names=[*b.schema.names, "origin", "extent"])
+
+            dtypes = b.column("dtype").to_pylist() if most_bytes else None
+            lates = b.column("late").to_pylist() if "late" in b.schema.names else [late] * len(b)
+            for i, (order, shape) in enumerate(zip(b.column("dim_order").to_pylist(), b.column("shape").to_pylist())):
+                each = most_bytes / np.dtype(dtypes[i]).itemsize if most_bytes else most
+                size = np.array(tile_steps(order, shape, steps, each, lates[i]), np.int64)
+                grid = -(-np.array(shape, np.int64) // np.maximum(size, 1))
+                n = math.prod(grid.tolist())
+                for k in range(0, n, 10_000):
+                    at = np.stack(np.unravel_index(np.arange(k, min(n, k + 10_000)), grid), 1) * size if len(grid) else np.zeros((1, 0), np.int64)
+                    take.append(np.full(len(at), i))
+                    origins.append(at)
+                    extents.append(np.minimum(size, shape - at))
+                    if sum(map(len, take)) >= 10_000:
+                        yield full()
+                        take, origins, extents = [], [], []
+            if take:
+                yield full()
+
+    return records.mapInArrow(run, schema)
 
 
 def tile_records(records: DataFrame, steps: dict[str, int], dims: str = "YX", most: int | None = None, late: str = "") -> DataFrame:
     """One row per block: ``steps`` along each axis (see ``tile_steps``), origins in ``dim_<axis>``, sizes in ``size_<axis>``, values cut out; the last block may be short.
 
-    A record's whole array is in one row here; larger ones are read tile by tile by ``tile_plan``.
+    A record's whole array is in one row here; larger ones are read tile by tile (``sources.tiles``).
     """
     keep = [f for f in records.schema.fields if f.name not in ("values", "shape")]
     axes = [d.lower() for d in dims]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["values array<double>", "shape array<int>"] + [f"dim_{a} int" for a in axes] + [f"size_{a} int" for a in axes] + [f"full_size_{a} int" for a in axes] + ["num_pixels long"])
 
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        whole = [f"{p}_{a}" for p in ("dim", "size", "full_size") for a in axes]
+        df = pd.DataFrame(rows, columns=[*(f.name for f in keep), "values", "shape", *whole, "num_pixels"])
+        return df.astype(dict.fromkeys(whole, "Int32"))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            kept = [df[f.name].tolist() for f in keep]
+            kept, rows = [df[f.name].tolist() for f in keep], []
             for values, shape, order, *own in zip(df["values"], df["shape"], df["dim_order"], *kept):
                 a = np.asarray(values, np.float64).reshape(tuple(shape))
-                size, out = tile_steps(order, list(a.shape), steps, most, late), []
+                size = tile_steps(order, list(a.shape), steps, most, late)
+                where = [order.index(d) if d in order else None for d in dims]
                 for at in _origins(list(a.shape), size):
                     block = a[tuple(slice(x, x + s) for x, s in zip(at, size))]
-                    place = {f"dim_{d.lower()}": x for d, x in zip(order, at)} | {f"size_{d.lower()}": n for d, n in zip(order, block.shape)} | {f"full_size_{d.lower()}": n for d, n in zip(order, a.shape)}
-                    out.append(dict(zip([f.name for f in keep], own)) | {"values": block.ravel(), "shape": list(block.shape), "num_pixels": block.size} | {f"{p}_{x}": place.get(f"{p}_{x}") for p in ("dim", "size", "full_size") for x in axes})
-                if out:
-                    yield pd.DataFrame(out)
+                    place = (of[k] if k is not None else None for of in (at, block.shape, a.shape) for k in where)
+                    rows.append((*own, block.ravel(), block.shape, *place, block.size))
+                if len(rows) >= 1000:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
 
     return records.mapInPandas(run, schema)
 
@@ -250,85 +289,128 @@ def _nearest(n: int, m: int) -> np.ndarray:
     return np.round(np.linspace(0, n - 1, m)).astype(int)
 
 
-def thumbnail(a: np.ndarray, side: int = SIDE) -> np.ndarray:
-    """At most ``side`` pixels an axis, by nearest index."""
-    return a[..., _nearest(a.shape[-2], min(a.shape[-2], side))[:, None], _nearest(a.shape[-1], min(a.shape[-1], side))[None, :]]
+def thumbnail_patch(a: np.ndarray, order: str, side: int = SIDE, colour: str = "S") -> np.ndarray:
+    """An array as (Y, X, colour): thinned by nearest index to ``side`` pixels along the longer axis, the middle of all other axes, NaN as 0."""
+    y, x = order.index("Y"), order.index("X")
+    scale = min(1.0, side / max(a.shape[y], 1), side / max(a.shape[x], 1))
+    if scale < 1:
+        for k in (y, x):
+            a = np.take(a, _nearest(a.shape[k], max(1, int(a.shape[k] * scale))), axis=k)
+    for k in sorted((k for k, d in enumerate(order) if d not in ("Y", "X", colour)), reverse=True):
+        a, order = np.take(a, a.shape[k] // 2, axis=k), order[:k] + order[k + 1 :]
+    a = np.moveaxis(a, (order.index("Y"), order.index("X")), (0, 1))
+    return np.where(np.isnan(a), 0.0, a).reshape(*a.shape[:2], -1)
+
+
+def _spot(at: int, n: int, full: int, scale: float, side: int) -> tuple[int, int]:
+    """Where part ``at`` to ``at + n`` of an axis goes on the canvas, centred; a pixel at least."""
+    used = max(1, round(full * scale))
+    pad = (side - used) // 2
+    first = pad + round(at * scale)
+    return first, min(pad + used, max(first + 1, pad + round((at + n) * scale)))
+
+
+def _painted(patches: list[tuple], side: int) -> tuple[bytes, float, float]:
+    """The canvas of patches (y, x, pixels, least, greatest) and its range: from 0 or the least to the greatest value of all."""
+    lo, hi = min((p[3] for p in patches), default=0.0), max((p[4] for p in patches), default=0.0)
+    lo, hi = (min(lo, 0.0), hi) if np.isfinite(lo) and np.isfinite(hi) else (0.0, 0.0)
+    canvas = np.zeros((side, side, 4), np.uint8)
+    for y, x, v, *_ in patches:
+        grey = ((v - lo) / (hi - lo) * 255).clip(0, 255) if hi > lo else np.full(v.shape, 255.0 if hi > 0 else 0.0)
+        place = canvas[y : y + v.shape[0], x : x + v.shape[1]]
+        shown = grey.astype(np.uint8)
+        place[..., :3] = shown if shown.shape[2] == 1 else np.pad(shown[..., :3], ((0, 0), (0, 0), (0, max(0, 3 - shown.shape[2]))))
+        place[..., 3] = 255
+    return canvas.tobytes(), lo, hi
+
+
+def _patches(df: pd.DataFrame, side: int, colour: str) -> list[tuple | None]:
+    """(y, x, pixels, least, greatest) of each tile: the pixels it covers on the record's canvas, and the range of its patch. None for tiles without pixels."""
+    out = []
+    for values, shape, order, y0, x0, ny, nx, fy, fx in zip(df["values"], df["shape"], df["dim_order"], df["dim_y"], df["dim_x"], df["size_y"], df["size_x"], df["full_size_y"], df["full_size_x"]):
+        if values is None or not len(values) or not {"Y", "X"} <= set(order):
+            out.append(None)
+            continue
+        patch = thumbnail_patch(np.asarray(values, np.float64).reshape(tuple(shape)), order, side, colour)
+        scale = min(side / fy, side / fx)
+        (y, y_end), (x, x_end) = _spot(y0, ny, fy, scale, side), _spot(x0, nx, fx, scale, side)
+        small = patch[_nearest(patch.shape[0], max(0, y_end - y))[:, None], _nearest(patch.shape[1], max(0, x_end - x))[None, :]]
+        out.append((y, x, small, float(patch.min()), float(patch.max())))
+    return out
+
+
+THUMBNAIL = "thumbnail binary, norm_min double, norm_max double, thumbnail_dtype string"
 
 
-def assembled_thumbnails(tiles: DataFrame, rec: list[str], side: int = SIDE) -> DataFrame:
-    """``rec, thumbnail`` (RGBA bytes), ``norm_min, norm_max`` from a record's tiles (of ``tile_records``): scaled to fit and centred, grey from 0 or the least to the greatest value.
+def _with_dtype(records: DataFrame) -> DataFrame:
+    return records if "dtype" in records.columns else records.withColumn("dtype", F.lit(None).cast("string"))
 
-    Each tile is thinned to ``side`` pixels an axis and gives the pixels of the thumbnail that it covers, at least one; of tiles along other axes the middle plane
-    is taken, and of several at one place the middle one. So a record has ``side * side`` pixels at most when it meets in one row.
+
+def assembled_thumbnails(tiles: DataFrame, rec: list[str], side: int = SIDE, colour: str = "S") -> DataFrame:
+    """``rec, thumbnail`` (RGBA bytes), ``norm_min, norm_max, thumbnail_dtype`` from a record's tiles (of ``tile_records``): scaled to fit and centred, from 0 or
+    the least to the greatest value. Axis ``colour`` gives red, green and blue (more are left out); without it all three are alike.
+
+    A tile sends one binary patch, the pixels that it covers on the canvas, at least one. Of several tiles at one place (along other axes) the middle one is taken before
+    a record's patches meet, so these hold ``side * side`` pixels and one more a place at most. One shuffle, by record. Missing pixels are 0; a record without pixels has no row.
     """
     keys = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in rec)
-    schema = keys + ", dim_y int, dim_x int, rank string, lo double, hi double, y int, x int, v double"
     other = sorted(c for c in tiles.columns if c.startswith("dim_") and len(c) == 5 and c not in ("dim_y", "dim_x"))
+    place = ["dim_y", "dim_x", *(F.coalesce(c, F.lit(0)).alias(c) for c in other)]
+    names = ["y", "x", "patch", "lo", "hi", "h", "w"]
+    schema = f"{keys}, dim_y int, dim_x int, " + "".join(f"{c} int, " for c in other) + "dtype string, y int, x int, patch binary, lo double, hi double, h int, w int"
 
-    def pixel_rows(heads: list[tuple], cells: list[np.ndarray]) -> pd.DataFrame:
-        tile = pd.DataFrame(heads, columns=[*rec, "dim_y", "dim_x", "rank", "lo", "hi"])
-        y, x, v = np.concatenate(cells, axis=1)
-        return tile.loc[tile.index.repeat([c.shape[1] for c in cells])].assign(y=y.astype(np.int32), x=x.astype(np.int32), v=v)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
-            heads, cells, own = [], [], [df[c].tolist() for c in rec]
-            rank = ["/".join(f"{int(x):012d}" for x in r) for r in zip(*(df[c].fillna(0) for c in other))] if other else [""] * len(df)
-            for values, shape, order, y0, x0, ny, nx, fy, fx, rk, *key in zip(df["values"], df["shape"], df["dim_order"], df["dim_y"], df["dim_x"], df["size_y"], df["size_x"], df["full_size_y"], df["full_size_x"], rank, *own):
-                a = np.asarray(values, np.float64).reshape(tuple(shape))
-                a = np.moveaxis(a, (order.index("Y"), order.index("X")), (-2, -1))
-                while a.ndim > 2:
-                    a = a[a.shape[0] // 2]
-                a = thumbnail(a, side)
-                scale = min(side / fy, side / fx)
-                used = [max(1, round(n * scale)) for n in (fy, fx)]
-                places = []
-                for at, n, u in zip((y0, x0), (ny, nx), used):
-                    first = (side - u) // 2 + round(at * scale)
-                    places.append(np.arange(first, min((side - u) // 2 + u, max(first + 1, (side - u) // 2 + round((at + n) * scale)))))
-                small = a[_nearest(a.shape[0], len(places[0]))[:, None], _nearest(a.shape[1], len(places[1]))[None, :]]
-                fine = a[~np.isnan(a)]
-                lo, hi = (float(fine.min()), float(fine.max())) if fine.size else (None, None)
-                y, x = np.meshgrid(*places, indexing="ij")
-                heads.append((*key, y0, x0, rk, lo, hi))
-                cells.append(np.stack([y.ravel(), x.ravel(), small.ravel()]))
-                if len(cells) >= 250:  # 4,096 pixels each at most
-                    yield pixel_rows(heads, cells)
-                    heads, cells = [], []
-            if cells:
-                yield pixel_rows(heads, cells)
-
-    pixels = tiles.mapInPandas(run, schema)
-    if other:  # the middle of the tiles at one place, by their place along the other axes
-        ranks = pixels.groupBy(*rec, "dim_y", "dim_x", "rank").agg(F.max("lo").alias("__lo"))
-        places = Window.partitionBy(*rec, "dim_y", "dim_x").orderBy("rank")
-        every = Window.partitionBy(*rec, "dim_y", "dim_x")
-        middle = ranks.withColumn("__i", F.row_number().over(places) - 1).withColumn("__n", F.count("*").over(every)).where(F.col("__i") == F.floor(F.col("__n") / 2))
-        pixels = pixels.join(middle.select(*rec, "dim_y", "dim_x", "rank"), [*rec, "dim_y", "dim_x", "rank"])
-    one = pixels.groupBy(*rec, "y", "x").agg(F.max(F.struct("dim_y", "dim_x", "v"))["v"].alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    each = one.groupBy(*rec).agg(F.collect_list(F.struct("y", "x", "v")).alias("pixels"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # ``side * side`` at most
-    each = each.select(*rec, "lo", "hi", *(F.col("pixels")[c].alias(f"__{c}") for c in ("y", "x", "v")))  # arrays of their fields
+            every = _patches(df, side, colour)
+            own = df[[p is not None for p in every]][[*rec, "dim_y", "dim_x", *other, "dtype"]]
+            rows = [(y, x, v.tobytes(), lo, hi, v.shape[0], v.shape[1]) for y, x, v, lo, hi in (p for p in every if p is not None)]
+            yield pd.concat([own, pd.DataFrame(rows, columns=names, index=own.index)], axis=1)
+
+    needed = ["values", "shape", "dim_order", "size_y", "size_x", "full_size_y", "full_size_x", "dtype"]
+    patches = _with_dtype(tiles).select(*rec, *place, *needed).mapInPandas(thin, schema).repartition(*rec)  # serves the windows too
+    if other:
+        at = Window.partitionBy(*rec, "dim_y", "dim_x")
+        patches = patches.withColumns({"__i": F.row_number().over(at.orderBy(*other)) - 1, "__n": F.count("*").over(at)}).where(F.col("__i") == F.floor(F.col("__n") / 2)).drop("__i", "__n")
 
     def paint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+
+        def close() -> tuple:
+            every = [(y, x, np.frombuffer(z).reshape(h, w, -1) if h and w else np.zeros((h, w, 1)), lo, hi) for y, x, z, lo, hi, h, w, _ in held]
+            return (*now, *_painted(every, side), held[len(held) // 2][-1])
+
+        def made(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=[*rec, *(c.split()[0] for c in THUMBNAIL.split(", "))])
+
         for df in parts:
             out = []
-            for y, x, v, lo, hi in zip(df["__y"], df["__x"], df["__v"], df["lo"], df["hi"]):
-                lo, hi = (min(lo, 0.0), hi) if lo is not None and np.isfinite(lo) and np.isfinite(hi) else (0.0, 0.0)
-                grey = np.nan_to_num(((v - lo) / (hi - lo) * 255).clip(0, 255)) if hi > lo else np.full(len(v), 255 if hi > 0 else 0)
-                canvas = np.zeros((side, side, 4), np.uint8)
-                canvas[y, x, :3] = grey.astype(np.uint8)[:, None]
-                canvas[y, x, 3] = 255
-                out.append((canvas.tobytes(), lo, hi))
-            yield df[rec].assign(**{c: [o[k] for o in out] for k, c in enumerate(("thumbnail", "norm_min", "norm_max"))})
-
-    return each.mapInPandas(paint, keys + ", thumbnail binary, norm_min double, norm_max double")
-
-
-def thumbnails(records: DataFrame, rec: list[str], side: int = SIDE) -> DataFrame:
-    """``assembled_thumbnails`` of whole records, one row each."""
-    axis = lambda d: F.try_element_at("shape", F.instr("dim_order", d)).cast("int")
-    whole = {"dim_y": F.lit(0), "dim_x": F.lit(0), **{f"{p}size_{d.lower()}": axis(d) for d in "YX" for p in ("", "full_")}}
-    return assembled_thumbnails(records.withColumns(whole), rec, side)
+            for row in zip(*(df[c].tolist() for c in [*rec, *names, "dtype"])):
+                key = tuple(None if k != k else k for k in row[: len(rec)])  # missing keys are one record
+                if key != now:
+                    if held:
+                        out.append(close())
+                    now, held = key, []
+                held.append(row[len(rec) :])
+            yield made(out)
+        if held:
+            yield made([close()])
+
+    return patches.sortWithinPartitions(*rec, "dim_y", "dim_x").mapInPandas(paint, f"{keys}, {THUMBNAIL}")
+
+
+def thumbnails(records: DataFrame, rec: list[str], side: int = SIDE, colour: str = "S") -> DataFrame:
+    """``assembled_thumbnails`` of whole records, one row each: painted where they are read."""
+    keys = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in rec)
+
+    def paint(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            n = {d: [s[o.index(d)] if d in o else 0 for s, o in zip(df["shape"], df["dim_order"])] for d in "YX"}
+            every = _patches(df.assign(dim_y=0, dim_x=0, size_y=n["Y"], size_x=n["X"], full_size_y=n["Y"], full_size_x=n["X"]), side, colour)
+            own = df[[p is not None for p in every]]
+            made = pd.DataFrame([_painted([p], side) for p in every if p is not None], columns=["thumbnail", "norm_min", "norm_max"], index=own.index)
+            yield pd.concat([own[rec], made, own["dtype"].rename("thumbnail_dtype")], axis=1)
+
+    return _with_dtype(records).select(*rec, "values", "shape", "dim_order", "dtype").mapInPandas(paint, f"{keys}, {THUMBNAIL}")
 
 
 def denormalise(thumbs: DataFrame, dtype: str) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.scalar import base_of, byte_text, extension, predicate, title_c
 from ..operators import cube as C
 from ..operators import rasters, records
 from ..operators import report as R
-from ..sources import sinks
+from ..sources import sinks, tiles
 from . import views as V
 from .queries import INV, LEAF, OBS, PX, SIDE, query, rounded
 
@@ -118,16 +118,60 @@ def _(s, d):
   WHERE vec_id // 4 IN (SELECT vec_id // 4 FROM embeddings GROUP BY 1 HAVING count(*) = 4)), """ + GREY + """, c AS (SELECT c, (c // 20) * 5 + CASE WHEN c < 60 THEN round((c % 20) * 4 / 19) ELSE 0 END AS at FROM (SELECT unnest(range(64)) AS c)),
 t AS (SELECT record_id, cy.c AS cy, cx.c AS cx, p FROM px JOIN c cy ON y = cy.at JOIN c cx ON x = cx.at)""" + PAINT)
 def _(s, d):
-    tiles = rasters.tile_records(V.raster16(s, d), {"Y": 5, "X": 5})
-    return rasters.assembled_thumbnails(tiles, ["record_id"]).select("record_id", F.md5(F.hex("thumbnail").cast("binary")).alias("pixels"))
+    cut = rasters.tile_records(V.raster16(s, d), {"Y": 5, "X": 5})
+    return rasters.assembled_thumbnails(cut, ["record_id"]).select("record_id", F.md5(F.hex("thumbnail").cast("binary")).alias("pixels"))
 
 
-@query("tile_plan", "SELECT p_partkey, o AS z, least(4, p_size - o)::INTEGER AS n_z FROM part, unnest(range(0, p_size, 4)) AS t(o) WHERE p_size > 4 UNION ALL SELECT p_partkey, 0, p_size FROM part WHERE p_size <= 4")
+@query("tile_plan", """s AS (SELECT p_partkey, p_size, CASE WHEN p_size <= 4 THEN p_size ELSE greatest(1, p_size // ceil(p_size / 4)::BIGINT) END AS step FROM part)
+SELECT p_partkey, o AS z, least(step, p_size - o)::INTEGER AS n_z FROM s, unnest(range(0, p_size, step)) AS t(o)""")
 def _(s, d):
     r = V.table(s, d, "part").select("p_partkey", F.array("p_size", F.lit(100), F.lit(50)).alias("shape"), F.lit("ZYX").alias("dim_order"))
     return rasters.tile_plan(r, {}, 20_000).select("p_partkey", F.col("origin")[0].cast("long").alias("z"), F.col("extent")[0].alias("n_z"))
 
 
+TIERS = """s AS (SELECT p_partkey, p_size AS t, 1 + p_partkey % 30 AS z, 8 + p_partkey % 41 AS y, 8 + p_size AS x FROM part),
+a AS (SELECT *, greatest(t, z) AS g, least(t, z) AS l, t * z * y * x AS n FROM s),
+b AS (SELECT *, CASE WHEN n <= 2000 THEN g WHEN n // g >= 2000 THEN 1 ELSE greatest(1, g // ceil(sqrt(n / 2000))::BIGINT) END AS g1 FROM a),
+c AS (SELECT *, g1 * l * y * x AS n1 FROM b), d AS (SELECT *, CASE WHEN n1 <= 2000 THEN l WHEN n1 // l >= 2000 THEN 1 ELSE greatest(1, l // ceil(n1 / 2000)::BIGINT) END AS l1 FROM c),
+e AS (SELECT *, greatest(y, x) AS gy, least(y, x) AS ly, g1 * l1 * y * x AS n2 FROM d),
+f AS (SELECT *, CASE WHEN n2 <= 2000 THEN gy WHEN n2 // gy >= 2000 THEN 1 ELSE greatest(1, gy // ceil(sqrt(n2 / 2000))::BIGINT) END AS gy1 FROM e),
+h AS (SELECT *, g1 * l1 * gy1 * ly AS n3 FROM f), k AS (SELECT *, CASE WHEN n3 <= 2000 THEN ly WHEN n3 // ly >= 2000 THEN 1 ELSE greatest(1, ly // ceil(n3 / 2000)::BIGINT) END AS ly1 FROM h),
+st AS (SELECT p_partkey, t, z, y, x, CASE WHEN t >= z THEN g1 ELSE l1 END AS st, CASE WHEN t >= z THEN l1 ELSE g1 END AS sz, CASE WHEN y >= x THEN gy1 ELSE ly1 END AS sy, CASE WHEN y >= x THEN ly1 ELSE gy1 END AS sx FROM k)
+SELECT p_partkey, least(st, t)::INTEGER AS n_t, least(sz, z)::INTEGER AS n_z, least(sy, y)::INTEGER AS n_y, least(sx, x)::INTEGER AS n_x, (ceil(t / st) * ceil(z / sz) * ceil(y / sy) * ceil(x / sx))::BIGINT AS tiles, (t * z * y * x)::BIGINT AS pixels FROM st"""
+
+
+@query("tile_plan_tiers", TIERS)
+def _(s, d):
+    """A budget shared over two axes with a step and two without one."""
+    z, y = (F.lit(1) + F.col("p_partkey") % 30).cast("int"), (F.lit(8) + F.col("p_partkey") % 41).cast("int")
+    r = V.table(s, d, "part").select("p_partkey", F.array("p_size", z, y, F.lit(8) + F.col("p_size")).alias("shape"), F.lit("TZYX").alias("dim_order"))
+    plan = rasters.tile_plan(r, {}, 2000)
+    sizes = [F.max(F.col("extent")[k]).alias(f"n_{a}") for k, a in enumerate("tzyx")]
+    return plan.groupBy("p_partkey").agg(*sizes, F.count("*").alias("tiles"), F.sum(F.aggregate("extent", F.lit(1).cast("long"), lambda a, x: a * x)).alias("pixels"))
+
+
+@query("npy_tiles", """v AS (SELECT vec_id // 100 AS record_id, (vec_id % 100)::INTEGER AS k, embedding FROM embeddings), n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY k) - 1 AS t, count(*) OVER (PARTITION BY record_id) AS n FROM v),
+s AS (SELECT *, CASE WHEN n * 256 <= 2000 THEN n ELSE greatest(1, n // ceil(n * 256 / 2000)::BIGINT) END AS step FROM n), p AS (SELECT record_id, t, n, step, unnest(embedding)::DOUBLE AS p FROM s)
+SELECT record_id, (t // step * step)::INTEGER AS dim_t, least(any_value(step), any_value(n) - t // step * step)::INTEGER AS size_t, any_value(n)::INTEGER AS full_size_t, count(*) AS num_pixels, round(sum(p), 6) AS total, round(min(p), 6) AS least, round(max(p), 6) AS most FROM p GROUP BY record_id, t // step, t // step * step""")
+def _(s, d):
+    """Arrays of up to a hundred planes, written as files and read a few planes at a time from their bytes."""
+    folder = sinks.scratch(s, "npy")
+    tiles.write_npy(V.stacks(s, d, 100).withColumn("dtype", F.lit("float32")), folder, "record_id").write.parquet(f"{folder}-files")
+    got = tiles.read_tiles(s.read.parquet(f"{folder}-files"), most_bytes=2000, dim_order="TYX", dims="TYX")
+    v = F.col("values")
+    return rounded(got.select("record_id", "dim_t", "size_t", "full_size_t", "num_pixels", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_min(v).alias("least"), F.array_max(v).alias("most")))
+
+
+@query("thumbnail_colour", """px AS (SELECT vec_id AS record_id, (i - 1) // 16 AS y, (i - 1) // 4 % 4 AS x, (i - 1) % 4 AS s, embedding[i]::DOUBLE AS p FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), """ + GREY + """,
+q AS (SELECT record_id, y, x, s, greatest(floor(least((p - lo) / (hi - lo) * 255, 255)), 0)::INTEGER AS v FROM px JOIN b USING (record_id)),
+g AS (SELECT record_id, y, x, string_agg(printf('%02X', v), '' ORDER BY s) FILTER (WHERE s < 3) || 'FF' AS rgba FROM q GROUP BY ALL)
+SELECT record_id, md5(string_agg(rgba, '' ORDER BY cy, cx)) AS pixels FROM g JOIN (SELECT unnest(range(64)) AS cy) ON y = round(cy * 3 / 63) JOIN (SELECT unnest(range(64)) AS cx) ON x = round(cx * 3 / 63) GROUP BY record_id""")
+def _(s, d):
+    """Four samples a pixel: red, green, blue, and one that only counts for the range."""
+    r = V.raster8(s, d).withColumns({"shape": F.array(F.lit(4), F.lit(4), F.lit(4)), "dim_order": F.lit("YXS")})
+    return rasters.thumbnails(r, ["record_id"]).select("record_id", F.md5(F.hex("thumbnail").cast("binary")).alias("pixels"))
+
+
 # -- histograms ---------------------------------------------------------------------------------------------------
 
 #: Planes of three pixel types: floats as they are, unsigned bytes from 0 to 256, and one that has no range.

@@ -79,8 +79,8 @@ def holes(spark, sf) -> DataFrame:
     return raster8(spark, sf).withColumn("values", v)
 
 
-def stacks(spark, sf) -> DataFrame:
-    """Whole records of ``stack``: planes along t."""
-    planes = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("record_id"), (F.col("vec_id") % 10).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
-    r = planes.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("t"))  # ten at most
+def stacks(spark, sf, planes_each: int = 10) -> DataFrame:
+    """Whole records of so many planes at most along t."""
+    planes = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / planes_each).alias("record_id"), (F.col("vec_id") % planes_each).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    r = planes.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("t"))  # planes_each at most
     return r.select("record_id", F.flatten(F.transform("t", lambda x: x["v"])).alias("values"), F.array(F.size("t"), F.lit(8), F.lit(8)).alias("shape"), F.lit("TYX").alias("dim_order"))
