@@ -9,7 +9,8 @@ from ..operators import cube as C
 from ..operators import ranktest, rasters, records
 from ..operators import report as R
 from ..sources import sinks
-from ..streaming.ingest import stream_timeline
+from ..streaming.incremental import IncrementalCube, completed, ingest_cube, latest
+from ..streaming.ingest import running_snapshot, stream_timeline
 from . import views as V
 
 Q: dict = {}
@@ -494,3 +495,46 @@ def _(s, d):
 def _(s, d):
     """The batch form of the streaming query: the same plan without its source."""
     return stream_timeline(V.obs(s, d), "ts", "grp")
+
+
+def _arriving(s, df, folder: str, first, then):
+    """``df`` in two parts, one after the other: each call writes a part and gives the stream of all that is there."""
+    for k, part in enumerate((first, then)):
+        df.where(part).write.parquet(f"{folder}/in/{k}")
+        yield s.readStream.schema(df.schema).parquet(f"{folder}/in/*")
+
+
+@query("incremental_cube", STACK + """, p AS (SELECT record_id, dim_t, dim_c, unnest(embedding)::DOUBLE AS p FROM st), a AS (SELECT record_id, min(dim_t) < max(dim_t) AS t, min(dim_c) < max(dim_c) AS c FROM p GROUP BY 1),
+m AS (SELECT p.record_id, CASE WHEN t THEN dim_t END AS dim_t, CASE WHEN c THEN dim_c END AS dim_c, p FROM p JOIN a USING (record_id))
+SELECT record_id, dim_t, dim_c, (2 - GROUPING(dim_t) - GROUPING(dim_c))::INTEGER AS obs_level, round(avg(p), 6) AS mean_intensity, round(stddev_pop(p), 6) AS std_intensity, round(min(p), 6) AS min_intensity, round(max(p), 6) AS max_intensity, count(*)::BIGINT AS finite_pixel_count FROM m
+GROUP BY GROUPING SETS ((record_id), (record_id, dim_t), (record_id, dim_c), (record_id, dim_t, dim_c)) HAVING NOT (GROUPING(dim_t) = 0 AND dim_t IS NULL) AND NOT (GROUPING(dim_c) = 0 AND dim_c IS NULL)""")
+def _(s, d):
+    """Planes of one channel arrive first, then the others; the second batch comes twice, before and after both are merged."""
+    folder = sinks.scratch(s, "stream")
+    how = rasters.REGISTRY["basic"].aggregates
+    cube = IncrementalCube(f"{folder}/cube", ["record_id"], ["dim_t", "dim_c"], how, "finite_pixel_count")
+    kernels = lambda df: df.select("record_id", "dim_t", "dim_c", *rasters.basic_columns("values"))
+    for stream in _arriving(s, V.stack(s, d).drop("dtype"), folder, "dim_c = 0", "dim_c <> 0"):
+        ingest_cube(stream, cube, f"{folder}/checkpoint", kernels).awaitTermination()
+    again = kernels(s.read.parquet(f"{folder}/in/1"))
+    cube.add(again, 1)
+    cube.compact(s)
+    cube.add(again, 1)
+    return rounded(cube.snapshot(s))
+
+
+@query("stream_timeline_run", OBS + " SELECT strftime(ts, '%Y-%m-%d') AS bucket, grp, count(*) AS n FROM obs GROUP BY ALL")
+def _(s, d):
+    """Events arriving in two parts, the late ones of them within the watermark."""
+    folder = sinks.scratch(s, "stream")
+    for stream in _arriving(s, V.obs(s, d).withColumn("ts", F.col("ts").cast("timestamp")), folder, "id % 2 = 0", "id % 2 <> 0"):
+        completed(stream_timeline(stream, "ts", "grp", late="3650 days"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return latest(s, f"{folder}/out")
+
+
+@query("stream_snapshot", OBS + " SELECT grp, count(*) AS n, round(avg(v), 6) AS mean FROM obs GROUP BY grp")
+def _(s, d):
+    folder = sinks.scratch(s, "stream")
+    for stream in _arriving(s, V.obs(s, d), folder, "id % 3 = 0", "id % 3 <> 0"):
+        completed(running_snapshot(stream, "grp", "v"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return rounded(latest(s, f"{folder}/out"))
