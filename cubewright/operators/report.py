@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import ancestors, any_of, dtype_kind, dtype_scale, missing, nullif_nan
+from .quantiles import exact_quantiles
 
 
 def grouped(df: DataFrame, group: str | None) -> DataFrame:
@@ -73,14 +74,37 @@ def timeline(df: DataFrame, ts: str, group: str | None = None, unit: str | None
 # -- columns ------------------------------------------------------------------------------------------------------
 
 
-def _per_column(df: DataFrame, columns: list[str], **facts) -> DataFrame:
-    """One row per column with the given aggregates, from a single pass."""
+def _per_column(df: DataFrame, columns: list[str], distinct: str | None = None, **facts) -> DataFrame:
+    """One row per column with the given aggregates, from a single pass; ``distinct``: a name for how many values there are, after ``column`` (``distinct_counts``)."""
     cells = [F.struct(F.lit(c).alias("column"), *(f(c).alias(k) for k, f in facts.items())).alias(f"c{i}") for i, c in enumerate(columns)]
-    return df.agg(*cells).select(F.explode(F.array(*(f"c{i}" for i in range(len(columns))))).alias("x")).select("x.*")
+    rows = df.agg(F.count("*").alias("__n"), *cells).select(F.explode(F.array(*(f"c{i}" for i in range(len(columns))))).alias("x")).select("x.*")
+    if not distinct:
+        return rows
+    counts = F.broadcast(distinct_counts(df, columns, distinct))  # one row a column
+    return rows.join(counts, "column", "left").select("column", F.coalesce(distinct, F.lit(0).cast("long")).alias(distinct), *facts)
+
+
+def distinct_counts(df: DataFrame, columns: list[str], name: str = "n_distinct") -> DataFrame:
+    """``column`` and how many values it has, of those that have any.
+
+    All columns in one pass: a row gives its values as (column, value), which are counted where they are read and then once for all. A copy of
+    the row for each column, as several distinct counts in one aggregation would make, carries all of them.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        if isinstance(types[c], T.DoubleType | T.FloatType):
+            x = F.when(x == 0, F.lit(0.0)).otherwise(x)  # no zero below zero
+        return F.to_json(F.struct(x.alias("x"))) if isinstance(types[c], T.ArrayType | T.StructType | T.MapType) else x.cast("string")
+
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.when(F.col(f"`{c}`").isNotNull(), text(c)).alias("value")) for c in columns))
+    each = df.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.lit(1).alias("one"))
+    return each.groupBy("column").agg(F.count("*").alias(name))
 
 
 def inconsistencies(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _per_column(df, columns, n_distinct=F.count_distinct).withColumn("flagged", F.col("n_distinct") > 1)
+    return _per_column(df, columns, "n_distinct").withColumn("flagged", F.col("n_distinct") > 1)
 
 
 def constants(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,7 +131,7 @@ def size_availability(df: DataFrame, columns: list[str]) -> DataFrame:
 def varying_dims(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct sizes and the smallest of each size column; ``ragged``: over 1 in some records only."""
     over = lambda c: F.count_if(F.col(c) > 1)
-    out = _per_column(df, columns, n_distinct=F.count_distinct, least=lambda c: F.min(F.col(c).cast("double")), n_over=over, total=lambda c: F.count("*"))
+    out = _per_column(df, columns, "n_distinct", least=lambda c: F.min(F.col(c).cast("double")), n_over=over, total=lambda c: F.count("*"))
     return out.select("column", "n_distinct", "least", (F.col("n_distinct") > 1).alias("varies"), ((F.col("n_over") > 0) & (F.col("n_over") < F.col("total"))).alias("ragged"))
 
 
@@ -125,18 +149,18 @@ def role(f: T.StructField) -> str:
 def column_profile(df: DataFrame) -> DataFrame:
     """Type, role, nulls and distinct values of each column."""
     fields = [f for f in df.schema.fields if role(f) != "blob"]
-    out = _per_column(df, [f.name for f in fields], n=lambda c: F.count("*"), n_null=lambda c: F.count("*") - F.count(c), n_distinct=F.count_distinct)
+    out = _per_column(df, [f.name for f in fields], n=lambda c: F.count("*"), n_null=lambda c: F.count("*") - F.count(c), distinct="n_distinct")
     roles = F.create_map(*(F.lit(x) for f in fields for x in (f.name, role(f))))
     return out.withColumn("role", roles[F.col("column")])
 
 
 def group_candidates(df: DataFrame, columns: list[str], least: int = 2, most: int = 12) -> DataFrame:
-    return _per_column(df, columns, n_distinct=F.count_distinct).where(F.col("n_distinct").between(least, most))
+    return _per_column(df, columns, "n_distinct").where(F.col("n_distinct").between(least, most))
 
 
 def dim_domain(cube: DataFrame, dims: list[str]) -> DataFrame:
     """Sorted distinct coordinates of each dimension, as text."""
-    return _per_column(cube, dims, domain=lambda c: F.array_join(F.array_sort(F.collect_set(c)), ","), n=F.count_distinct)
+    return _per_column(cube, dims, distinct="n", domain=lambda c: F.array_join(F.array_sort(F.collect_set(c)), ","))
 
 
 def quality_checks(df: DataFrame, group: str, same: list[str], sizes: list[str] = (), ragged: list[str] = (), needed: list[str] = ()) -> DataFrame:
@@ -156,34 +180,36 @@ def quality_checks(df: DataFrame, group: str, same: list[str], sizes: list[str]
 
 def default_group(df: DataFrame, short: str = "imported_path_short", name: str = "name", least: int = 2, most: int = 12, rows: int = 4) -> DataFrame:
     """One row ``column``: the folder label if there is one, the name in a table of ``rows`` rows at most, else the first column with few values; null if none has."""
-    columns = [f.name for f in df.schema.fields if role(f) == "group"]
-    facts = df.agg(F.count("*").alias("n"), *(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)))
-    few = F.coalesce(*(F.when(F.col(f"d{i}").between(least, most), F.lit(c)) for i, c in enumerate(columns) if c not in (short, name)), F.lit(None).cast("string"))
+    if short in df.columns:
+        return df.sparkSession.createDataFrame([(short,)], "column string")
+    columns = [f.name for f in df.schema.fields if role(f) == "group" and f.name != name]
+    n = df.agg(F.count("*").alias("n"))  # one row
+    few = F.lit(None).cast("string")
+    if columns:
+        place = F.create_map(*(F.lit(x) for i, c in enumerate(columns) for x in (c, i)))
+        first = distinct_counts(df, columns).where(F.col("n_distinct").between(least, most)).agg(F.min_by("column", place[F.col("column")]).alias("few"))
+        n, few = n.crossJoin(F.broadcast(first)), F.col("few")  # one row
     if name in df.columns:
         few = F.when(F.col("n") <= rows, F.lit(name)).otherwise(few)
-    return facts.select((F.lit(short) if short in df.columns else few).alias("column"))
+    return n.select(few.alias("column"))
 
 
 # -- distributions ------------------------------------------------------------------------------------------------
 
 
-def box_stats(df: DataFrame, metrics: list[str], group: str | None = None, exact: bool = False, category: str | None = None) -> DataFrame:
-    """``grp[, category], metric, n, min, max, mean, std, q25, q50, q75``; metrics without a value are dropped. One pass for all metrics."""
+def box_stats(df: DataFrame, metrics: list[str], group: str | None = None, category: str | None = None) -> DataFrame:
+    """``grp[, category], metric, n, min, max, mean, std, q25, q50, q75``; metrics without a value are dropped. All metrics together; quartiles are exact at any size (``quantiles``)."""
     g = grouped(df, group)
     keys = ["grp"] + (["category"] if category else [])
     g = g.withColumn("category", missing(category)) if category else g
     long = g.select(*keys, *(nullif_nan(F.col(m).cast("double")).alias(m) for m in metrics)).unpivot(keys, metrics, "metric", "v")
-    q = (F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 10_000))("v", F.array(*map(F.lit, (0.25, 0.5, 0.75))) if exact else [0.25, 0.5, 0.75])
-    out = long.groupBy(*keys, "metric").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), q.alias("q")).where("n > 0")
+    out = exact_quantiles(long, [*keys, "metric"], "v", {"min": F.min("v"), "max": F.max("v"), "mean": F.avg("v"), "std": F.stddev("v")})
     return out.select("*", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75)))).drop("q")
 
 
-def distribution(df: DataFrame, metrics: list[str], group: str | None = None, raw_rows: int = 5000, exact_rows: int = 1_000_000) -> DataFrame:
-    """Box statistics with ``mode``: ``points`` where all groups have ``raw_rows`` rows at most, ``invariant`` where a metric doesn't vary, else ``box``.
-
-    Quartiles are exact up to ``exact_rows`` rows of the table, approximate (1 in 10,000 of the rank) beyond, as exact ones keep all values of a group together.
-    """
-    b = box_stats(df, metrics, group, exact=df.limit(exact_rows + 1).count() <= exact_rows)
+def distribution(df: DataFrame, metrics: list[str], group: str | None = None, raw_rows: int = 5000) -> DataFrame:
+    """Box statistics with ``mode``: ``points`` where all groups have ``raw_rows`` rows at most, ``invariant`` where a metric doesn't vary, else ``box``."""
+    b = box_stats(df, metrics, group)
     w = Window.partitionBy("metric")
     return b.withColumn("mode", F.when(F.min("min").over(w) == F.max("max").over(w), "invariant").when(F.sum("n").over(w) <= raw_rows, "points").otherwise("box"))
 
@@ -227,7 +253,10 @@ def number_by_constant(df: DataFrame, x: str, y: str) -> DataFrame:
 def pair_profile(df: DataFrame, x: str, y: str, categories: int = 30) -> DataFrame:
     """Distinct values of two columns, whether they are numbers, and the chart that suits them."""
     number = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
-    r = df.agg(F.count_distinct(x).alias("n_x"), F.count_distinct(y).alias("n_y"), F.count_distinct(missing(x)).alias("n_x_missing"), F.count_distinct(missing(y)).alias("n_y_missing"), F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("n_null"))
+    four = df.select(F.col(x).alias("n_x"), F.col(y).alias("n_y"), missing(x).alias("n_x_missing"), missing(y).alias("n_y_missing"))
+    counts = distinct_counts(four, four.columns)
+    of = [F.coalesce(F.max(F.when(F.col("column") == c, F.col("n_distinct"))), F.lit(0).cast("long")).alias(c) for c in four.columns]
+    r = counts.agg(*of).crossJoin(F.broadcast(df.agg(F.count_if(F.col(x).isNull() | F.col(y).isNull()).alias("n_null"))))  # one row each
     few = (F.col("n_x_missing") <= categories, F.col("n_y_missing") <= categories)
     if number[x] and number[y]:
         kind = F.when(F.least("n_x", "n_y") <= 1, "table").otherwise("scatter")
@@ -429,10 +458,8 @@ def nodata_values(df: DataFrame, nodata: str, group: str | None = None) -> DataF
     return grouped(df, group).groupBy(missing(nodata, "not set").alias("value"), "grp").agg(F.count("*").alias("n"))
 
 
-def text_search(df: DataFrame, needle: str, narrow: list[str], rows: int = 10_000) -> DataFrame:
-    """Rows with ``needle`` in any column of a small table, or in ``narrow`` columns of a large one."""
+def text_search(df: DataFrame, needle: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows with ``needle`` in one of ``columns``, or in any column that isn't a blob."""
     from ..functions.scalar import search
 
-    small = df.limit(rows).count() < rows
-    columns = [f.name for f in df.schema.fields if role(f) != "blob"] if small else narrow
-    return df.where(any_of([search(columns, needle)]))
+    return df.where(any_of([search(columns or [f.name for f in df.schema.fields if role(f) != "blob"], needle)]))

@@ -231,11 +231,9 @@ def _(s, d):
     return rounded(R.size_histogram(V.inv(s, d), "size_bytes", "grp"))
 
 
-@query("timeline_day", OBS + " SELECT 'day' AS unit, strftime(ts, '%Y-%m-%d') AS bucket, grp, count(*) AS n FROM obs WHERE ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 14 DAY FROM obs) GROUP BY ALL")
+@query("timeline_day", OBS + " SELECT 'day' AS unit, strftime(ts, '%Y-%m-%d') AS bucket, grp, count(*) AS n FROM obs GROUP BY ALL")
 def _(s, d):
-    o = V.obs(s, d)
-    first = o.agg(F.date_trunc("day", F.min("ts")).alias("t0"))
-    return R.timeline(o.crossJoin(F.broadcast(first)).where(F.col("ts") < F.col("t0") + F.expr("interval 14 days")), "ts", "grp")  # one row
+    return R.timeline(V.obs(s, d), "ts", "grp", "day")
 
 
 @query("timeline_day_all", OBS + " SELECT 'day' AS unit, strftime(ts, '%Y-%m-%d') AS bucket, grp, count(*) AS n FROM obs GROUP BY ALL")
@@ -263,9 +261,11 @@ def _(s, d):
     return R.inconsistencies(V.inv(s, d), ["file_extension", "grp"])
 
 
-@query("constants", "SELECT 'r_name' AS \"column\", min(r_name) AS value FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'r_regionkey', '1'")
+@query("constants", """c AS (SELECT substr(c_name, 1, 9) AS prefix, c_mktsegment AS segment, c_nationkey AS nation FROM customer), a AS (SELECT 'prefix' AS "column", min(prefix) AS value, min(prefix) = max(prefix) AS one FROM c
+UNION ALL SELECT 'segment', min(segment), min(segment) = max(segment) FROM c UNION ALL SELECT 'nation', min(nation)::VARCHAR, min(nation) = max(nation) FROM c) SELECT "column", value FROM a WHERE one""")
 def _(s, d):
-    return R.constants(V.table(s, d, "region").where("r_regionkey = 1"), ["r_regionkey", "r_name"])
+    c = V.table(s, d, "customer").select(F.substring("c_name", 1, 9).alias("prefix"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return R.constants(c, c.columns)
 
 
 @query("availability", SIDE + " SELECT 'quality' AS \"column\", count(quality) AS present, count(*) AS total, round(100 * count(quality) / count(*), 6) AS pct FROM side UNION ALL SELECT 'toxic', count(toxic), count(*), round(100 * count(toxic) / count(*), 6) FROM side")
@@ -298,17 +298,17 @@ BOX = "count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(av
 
 @query("box_stats_exact", OBS + f" SELECT grp, 'v' AS metric, {BOX} FROM obs GROUP BY grp")
 def _(s, d):
-    return rounded(R.box_stats(V.obs(s, d), ["v"], "grp", exact=True))
+    return rounded(R.box_stats(V.obs(s, d), ["v"], "grp"))
 
 
 @query("box_stats_raster", PX + f", m AS (SELECT record_id, grp, avg(p) AS v FROM px GROUP BY ALL) SELECT grp::VARCHAR AS grp, 'mean_intensity' AS metric, {BOX} FROM m GROUP BY grp")
 def _(s, d):
-    return rounded(R.box_stats(V.raster8(s, d).select("grp", *rasters.basic_columns("values")), ["mean_intensity"], "grp", exact=True))
+    return rounded(R.box_stats(V.raster8(s, d).select("grp", *rasters.basic_columns("values")), ["mean_intensity"], "grp"))
 
 
 @query("box_stats_category", f"SELECT o_orderstatus AS grp, o_orderpriority AS category, 'o_totalprice' AS metric, {BOX} FROM (SELECT *, o_totalprice AS v FROM orders) GROUP BY ALL")
 def _(s, d):
-    return rounded(R.box_stats(V.table(s, d, "orders"), ["o_totalprice"], "o_orderstatus", exact=True, category="o_orderpriority"))
+    return rounded(R.box_stats(V.table(s, d, "orders"), ["o_totalprice"], "o_orderstatus", category="o_orderpriority"))
 
 
 @query("distribution_mode", OBS + " SELECT grp, 'v' AS metric, count(v) AS n, CASE WHEN (SELECT min(v) = max(v) FROM obs) THEN 'invariant' WHEN (SELECT count(v) FROM obs) <= 5000 THEN 'points' ELSE 'box' END AS mode FROM obs GROUP BY grp")

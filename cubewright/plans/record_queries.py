@@ -272,9 +272,9 @@ def _(s, d):
     return R.constants(V.raster8(s, d), ["record_id", "grp", "dim_order", "dtype"])
 
 
-@query("text_search_rows", "SELECT p_partkey, p_name FROM part WHERE CASE WHEN (SELECT count(*) FROM part) < 10000 THEN concat_ws('|', p_partkey, p_name, p_brand) ILIKE '%1%' ELSE p_name ILIKE '%1%' END")
+@query("text_search_rows", "SELECT p_partkey, p_name FROM part WHERE concat_ws('|', p_partkey, p_name, p_brand) ILIKE '%1%'")
 def _(s, d):
-    return R.text_search(V.table(s, d, "part").select("p_partkey", "p_name", "p_brand"), "1", ["p_name"]).select("p_partkey", "p_name")
+    return R.text_search(V.table(s, d, "part").select("p_partkey", "p_name", "p_brand"), "1").select("p_partkey", "p_name")
 
 
 @query("default_group", INV + " SELECT CASE WHEN count(*) <= 4 THEN 'name' WHEN count(DISTINCT file_extension) BETWEEN 2 AND 12 THEN 'file_extension' WHEN count(DISTINCT grp) BETWEEN 2 AND 12 THEN 'grp' END AS \"column\" FROM inv")
