@@ -107,7 +107,6 @@ def mann_whitney(df: DataFrame, value: str, group: str, groups: list[str] | None
     v, g = F.col(value).cast("double"), F.col(group)
     place = F.array_position(F.array(*map(F.lit, groups)).cast("array<string>"), g.cast("string")) if groups is not None else g
     rows = df.where(g.isNotNull() & (g.isin(groups) if groups is not None else F.lit(True))).select(g.cast("string").alias("g"), place.alias("place"), v.alias("value"))
-    names = rows.select("g", "place").distinct()
     counts = rows.where("value is not null and not isnan(value)").groupBy("value", "g").agg(F.count("*").alias("n"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,11 +128,12 @@ def mann_whitney(df: DataFrame, value: str, group: str, groups: list[str] | None
     earlier = steps.where(F.col("part") < until).select(F.explode(F.sequence(F.col("part") + 1, until)).alias("part"), F.col("g").alias("h"), "m")
     across = totals.join(earlier, "part").where("g <> h").select("g", "h", (F.col("n") * F.col("m")).alias("u"))
     u = sent.where("h is not null").select("g", "h", "u").unionByName(across).groupBy("g", "h").agg(F.sum("u").alias("u"))
-    size = totals.groupBy("g").agg(F.sum("n").cast("long").alias("n"))
-    sized = names.join(size, "g", "left").select("g", "place", F.coalesce("n", F.lit(0)).alias("n_a"))
-    pairs = sized.join(sized.select(F.col("g").alias("h"), F.col("place").alias("other"), F.col("n_a").alias("n_b")), F.col("place") < F.col("other"))
-    count = names.agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
-    out = pairs.join(u, ["g", "h"], "left").crossJoin(F.broadcast(count)).select(F.col("g").alias("a"), F.col("h").alias("b"), "n_a", "n_b", F.coalesce("u", F.lit(0.0)).alias("u"), "pairs")  # one row
+    known = F.count_if(F.col("value").isNotNull() & ~F.isnan("value"))
+    groups_in_order = Window.orderBy("place")  # a row a group
+    sized = rows.groupBy("g", "place").agg(known.alias("n")).withColumns({"i": F.row_number().over(groups_in_order), "of": F.count("*").over(Window.partitionBy())})
+    later = sized.where("i > 1").select(F.col("g").alias("h"), F.col("n").alias("n_b"), "of", F.explode(F.sequence(F.lit(1), F.col("i") - 1)).alias("i"))
+    pairs = later.join(sized.select("i", "g", F.col("n").alias("n_a")), "i")
+    out = pairs.join(u, ["g", "h"], "left").select(F.col("g").alias("a"), F.col("h").alias("b"), "n_a", "n_b", F.coalesce("u", F.lit(0.0)).alias("u"), (F.col("of") * (F.col("of") - 1) / 2).alias("pairs"))
     sd = F.sqrt(F.col("n_a").cast("double") * F.col("n_b") * (F.col("n_a") + F.col("n_b") + 1) / 12)
     z = F.try_divide(F.col("u") - F.col("n_a").cast("double") * F.col("n_b") / 2, sd)
     out = out.withColumn("z", z).withColumn("p", F.when((F.col("n_a") < 3) | (F.col("n_b") < 3), 1.0).otherwise(F.least(F.lit(1.0), normal_two_sided(F.col("z")))))
