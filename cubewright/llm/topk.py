@@ -10,8 +10,8 @@ A query first meets the block that it lies in, whose k-th best score is what oth
 query block, by the least and greatest distances to each pivot, is left out before queries and vectors are brought together.
 
 Edge cases: null vectors and those with null or non-finite components take no part, as query or candidate; every row is a query or
-candidate of its own, equal ids too, and only itself is no answer to it; shorter vectors count as padded with zeros; ties go to the
-smaller id; components beyond 64 bits and scores beyond 64 bits are cut to the nearest; an empty table gives an empty result; other columns are ignored.
+candidate of its own, equal and missing ids too, and only itself is no answer to it; shorter vectors count as padded with zeros; ties go to the
+smaller id, missing ones last; the id 2**63 - 1 is taken for a missing one; components beyond 64 bits and scores beyond 64 bits are cut to the nearest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 EXACT = 1 << 53
+#: Stands for a missing id, after all others.
+MISSING = (1 << 63) - 1
 BLOCK = "block long, ids binary, places binary, asks binary, dim int, vectors binary, kind string, pivots binary"
 
 
@@ -36,7 +38,7 @@ def clean_vectors(vectors: DataFrame, is_query: Column, scale: int = 1024) -> Da
     ok = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     most = float(1 << 62)
     whole = F.transform(e, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(most)), F.lit(-most))))
-    return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), whole.alias("v"))
+    return vectors.where(e.isNotNull() & ok).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(MISSING)).alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), whole.alias("v"))
 
 
 def _matrix(rows: list, dim: int) -> np.ndarray:
@@ -238,7 +240,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, **options) -> DataF
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``is_query`` holds for (see ``candidates``)."""
     best = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
     found = candidates(vectors, is_query, k, **options)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(F.nullif("query_id", F.lit(MISSING)).alias("query_id"), "rank", F.nullif("vec_id", F.lit(MISSING)).alias("vec_id"), "score")
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
@@ -249,5 +252,5 @@ ORACLE = """
 WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
 p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.r <> c.r)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p) WHERE rank <= 10
 """
