@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import eight, joined_bytes, mix, small_batches, text_or_empty, written
+from .common import eight, fresh, joined_bytes, mix, small_batches, text_or_empty, written
 
 
 class Encoder:
@@ -70,21 +70,23 @@ class Encoder:
 
     def clear(self) -> None:
         self.words: dict[str, np.ndarray] = {}
-        self.keys, self.values = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
+        self.bits = self.BITS
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.full = 0  # slots in use
         self.long: dict[bytes, int] = {}
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("i")
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each piece of up to eight bytes, -1 if it is new: a hash table with linear probing. Its keys are one to one with pieces."""
         out, live = np.full(len(h), -1, np.int32), np.arange(len(h))
-        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(live):
             at = slot[live]
             key = self.keys[at]
             hit = key == h[live]
             out[live[hit]] = self.values[at[hit]]
             live = live[~hit & (key != 0)]
-            slot[live] = (slot[live] + 1) & ((1 << self.BITS) - 1)
+            slot[live] = (slot[live] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _number(self, piece: str) -> int:
@@ -96,10 +98,25 @@ class Encoder:
         return len(self.starts) - 1
 
     def _learn(self, h: int, piece: str) -> None:
-        slot = h >> 64 - self.BITS
+        if 2 * self.full >= len(self.keys):
+            self._widen()
+        self._place(h, self._number(piece))
+
+    def _place(self, h: int, number: int) -> None:
+        slot = h >> 64 - self.bits
         while self.keys[slot]:
-            slot = slot + 1 & (1 << self.BITS) - 1
-        self.keys[slot], self.values[slot] = h, self._number(piece)
+            slot = slot + 1 & (1 << self.bits) - 1
+        self.keys[slot], self.values[slot] = h, number
+        self.full += 1
+
+    def _widen(self) -> None:
+        """A table twice as large: it is never more than half full, so that a search ends."""
+        used = np.flatnonzero(self.keys)
+        held = list(zip(self.keys[used].tolist(), self.values[used].tolist()))
+        self.bits += 1
+        self.keys, self.values, self.full = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+        for h, number in held:
+            self._place(h, number)
 
     def _edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces of lower-case Latin-1 text start and end; the text ends with a space."""
@@ -263,15 +280,18 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, keep_ids: bool = False) -> DataFrame:
     """``token_pieces`` with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, tokenizer, capacity, end, keep_ids), "pieces")
+    (row,) = fresh(docs, "row")
+    # a number for each piece, written with it: pieces of equal ids and texts are dealt like others
+    pieces = written(token_pieces(docs, tokenizer, capacity, end, keep_ids).withColumn(row, F.monotonically_increasing_id()), "pieces")
+    names = [c for c in pieces.columns if c != row]
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # ``capacity`` rows at most
     if not counts:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.drop(row).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     slots = spark.createDataFrame(places(plan(counts, capacity)), "length long, first long, stop long, times long, sequence long, at long")
     # Rank of each piece in its length, without one task for a common length: about sqrt(n) groups of sqrt(n) pieces.
     groups = spark.createDataFrame([(n, max(1, round(c**0.5))) for n, c in counts.items()], "length long, groups long")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "groups")).drop("groups")
-    own = Window.partitionBy("length", "__g").orderBy("doc_id", "piece", "start", "ids_crc32")
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("__g", F.pmod(F.xxhash64(row), "groups")).drop("groups")
+    own = Window.partitionBy("length", "__g").orderBy("doc_id", "piece", "start", "ids_crc32", row)
     before = Window.partitionBy("length").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "__g").count().select("length", "__g", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
     ranked = dealt.withColumn("__rank", F.row_number().over(own)).join(sizes, ["length", "__g"])
@@ -279,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, ke
     fits = (F.col("__length") == F.col("length")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("stop"))
     i = F.col("__rank") - F.col("first")
     return ranked.join(F.broadcast(slots), fits).select(
-        *pieces.columns, (F.col("sequence") + i % F.col("times")).alias("sequence_id"), (F.col("at") + F.floor(i / F.col("times")) * F.col("length")).cast("long").alias("offset")
+        *names, (F.col("sequence") + i % F.col("times")).alias("sequence_id"), (F.col("at") + F.floor(i / F.col("times")) * F.col("length")).cast("long").alias("offset")
     )
 
 
