@@ -7,7 +7,7 @@ compare. Bands of sampled bits propose pairs, and the likeness of the fingerprin
 
 Edge cases: null is read as empty; the fingerprint of the empty text is empty, and like only itself; equal texts have equal
 fingerprints; repeated rows and equal ids come next to each other, by hash of the text; rows without an id come last; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; ids are whole numbers, or texts of them; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ A bucket gives the edges of a spanning forest, never all its pairs; Spark then c
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other; repeated
 rows are in one component; the id of a component is its smallest ``doc_id`` (null ids count last); an empty table gives
-an empty result; other columns are ignored.
+an empty result; ids are whole numbers, or texts of them; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ How it stays exact without one global suffix array:
    over several shards; those exchange their sorted 400-byte strings by hash range and find shared ones by binary search.
 
 Edge cases: null and empty texts have no bytes and lose none; repeated rows are separate places, so both lose a
-shared string; texts shorter than ``length`` are kept whole; an empty table gives an empty result; other columns are ignored.
+shared string; texts shorter than ``length`` are kept whole; ids are whole numbers, or texts of them;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -317,7 +318,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, cap: int = 1000) -> tuple
             for k in range(0, len(out), 4000):
                 yield pd.DataFrame(out[k : k + 4000], columns=["h", "salt", "parts", "n", "id", "th", "s", "ctx"])
 
-    cuts = packed.join(need, ["id", "th"]).mapInPandas(cut, "h long, salt int, parts int, n long, id long, th long, s long, ctx binary")
+    # Rows that repeat a document (or missing ids with one text) hold the same pieces, whose numbers count them all: one such row is cut up.
+    again = written(some.groupBy("id", "th", "pos").agg(F.count("*").alias("rows")).where("rows > 1").select("id", "th").distinct(), "again")
+    once = packed
+    if not again.isEmpty():
+        hint = bounded(again, 100_000)
+        once = packed.join(hint, ["id", "th"], "left_anti").unionByName(packed.join(hint, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    cuts = once.join(need, ["id", "th"]).mapInPandas(cut, "h long, salt int, parts int, n long, id long, th long, s long, ctx binary")
 
     def build(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups come in order; a shard holds whole groups, as many as the caches take well, and a split group makes its own."""
