@@ -17,8 +17,8 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
 
     A dimension is active for a record if it has more than one coordinate there; spatial ones only if the user tiled them.
     ``metrics``: column -> ``sum``, ``min``, ``max``, ``mean`` (weighted by ``weight``, plain where its sum is 0) or ``std:<mean column>``
-    (pooled); means and deviations leave NaN and infinities out. ``sizes``: dimension -> column with a block's extent; a fixed dimension keeps it (null if blocks differ), a free
-    one has the full extent (column ``full_<size>`` where there is one, else the largest block). ``whole``: like ``metrics``, for the row of the whole record only.
+    (pooled); means and deviations leave NaN and infinities out. ``sizes``: dimension -> column with a block's extent; a fixed dimension keeps it, blocks of different extent
+    at one coordinate are an error, and a free one has the full extent (column ``full_<size>`` where there is one, else the largest block). ``whole``: like ``metrics``, for the row of the whole record only.
 
     Leaf rows are first added up to one per coordinate, and only mergeable scalars go through the expansion.
     """
@@ -52,7 +52,8 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
     cols = [aggregate(k, how).alias(k) for k, how in metrics.items()]
     cols += [aggregate(k, how).alias(f"__whole_{k}") for k, how in (whole or {}).items()]
     for d, c in (sizes or {}).items():
-        same = F.when(F.min(c) == F.max(c), F.min(c))
+        mixed = F.raise_error(F.concat(F.lit(f"blocks of different {c} at {d} = "), F.coalesce(F.col(d).cast("string"), F.lit("null")))).cast(leaf.schema[c].dataType)
+        same = F.when(F.count(c) == 0, F.lit(None)).when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).otherwise(mixed)
         cols.append((F.when(F.grouping(d) == 0, same).otherwise(F.max(f"__full_{c}")) if d in active else F.max(f"__full_{c}")).alias(c))
     level = sum((1 - F.grouping(d) for d in active), F.lit(0)).cast("int").alias("obs_level")
     if active:

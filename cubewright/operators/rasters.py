@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import INT_RANGE, col
@@ -71,6 +71,7 @@ class Metric:
     axes: str = "YX"
     scope: str = "block"
     aggregates: dict[str, str] = field(default_factory=dict)
+    meanings: dict[str, str] = field(default_factory=dict)  # of the outputs, for reports
 
 
 REGISTRY: dict[str, Metric] = {}
@@ -97,8 +98,10 @@ def _basic(a: np.ndarray, order: str) -> dict:
         return {"min_intensity": float(v.min()), "max_intensity": float(v.max()), "mean_intensity": float(v.mean()), "std_intensity": float(v.std()), "finite_pixel_count": n}
 
 
-register_metric(Metric("basic", {"min_intensity": "double", "max_intensity": "double", "mean_intensity": "double", "std_intensity": "double", "finite_pixel_count": "long"}, _basic, "", aggregates={"min_intensity": "min", "max_intensity": "max", "mean_intensity": "mean", "std_intensity": "std:mean_intensity", "finite_pixel_count": "sum"}))
-register_metric(Metric("image", dict.fromkeys(plane_metrics(np.zeros((1, 1))), "double"), _planes, aggregates=dict.fromkeys(plane_metrics(np.zeros((1, 1))), "mean")))
+register_metric(Metric("basic", {"min_intensity": "double", "max_intensity": "double", "mean_intensity": "double", "std_intensity": "double", "finite_pixel_count": "long"}, _basic, "", aggregates={"min_intensity": "min", "max_intensity": "max", "mean_intensity": "mean", "std_intensity": "std:mean_intensity", "finite_pixel_count": "sum"}, meanings={"min_intensity": "least value", "max_intensity": "greatest value", "mean_intensity": "mean of the values", "std_intensity": "deviation of the values from their mean", "finite_pixel_count": "values that are numbers"}))
+register_metric(Metric("image", dict.fromkeys(plane_metrics(np.zeros((1, 1))), "double"), _planes, aggregates=dict.fromkeys(plane_metrics(np.zeros((1, 1))), "mean"), meanings={
+    "michelson_contrast": "mean range of 3 x 3 windows over the deviation of the plane", "mscn_variance": "variance of pixels normalised by their surroundings", "texture_heterogeneity": "how much local deviation varies, over its mean",
+    "blocking_index": "mean jump across borders of 8 x 8 blocks", "ringing_index": "variance of pixels about the mean of their surroundings", "laplacian_variance": "variance of the Laplacian, a measure of sharpness"}))
 
 
 def measure(records: DataFrame, metrics: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -127,6 +130,23 @@ def measure(records: DataFrame, metrics: list[str] | None = None, exclude: tuple
     return records.mapInPandas(run, schema)
 
 
+def failures(measured: DataFrame, metrics: list[str]) -> DataFrame:
+    """``metric, n_failed, n_rows, example`` of a measured table, for each of ``metrics``, those that never failed too. The example is the first by text."""
+    bad = measured.select(F.explode("errors").alias("e")).select(F.regexp_extract("e", "^([^:]*): ", 1).alias("metric"), F.regexp_replace("e", "^[^:]*: ", "").alias("example"))
+    counts = bad.groupBy("metric").agg(F.count("*").alias("n_failed"), F.min("example").alias("example"))
+    every = measured.agg(F.count("*").alias("n_rows")).select("n_rows", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))  # a row a metric
+    return every.join(F.broadcast(counts), "metric", "left").select("metric", F.coalesce("n_failed", F.lit(0).cast("long")).alias("n_failed"), "n_rows", "example")
+
+
+def observed(measured: DataFrame, metrics: list[str], name: str = "failures") -> tuple[DataFrame, Observation]:
+    """``measured`` and what its next action counts on its way: ``rows``, and for each metric the rows on which it failed."""
+    def failed(metric: str) -> Column:
+        return F.count_if(F.exists("errors", lambda e: e.startswith(metric + ": "))).alias(metric)
+
+    seen = Observation(name)
+    return measured.observe(seen, F.count(F.lit(1)).alias("rows"), *map(failed, metrics)), seen
+
+
 def basic_columns(values: str | Column) -> list[Column]:
     """The basic metrics as expressions on an array column, without Python."""
     v = F.filter(col(values), lambda x: ~F.isnan(x))

@@ -467,3 +467,41 @@ def _(s, d):
     from ..sources.inventory import inventory_only
 
     return inventory_only(V.inv(s, d)).select("path", "size_bytes", "obs_level")
+
+
+#: Folders of documents by language and source; those of every other source are datasets, which are not looked into.
+TREE = """f AS (SELECT coalesce(lang, 'none') AS lang, coalesce(source, 'none') || CASE WHEN doc_id % 2 = 0 THEN '.zarr' ELSE '' END AS source, length(doc_id::VARCHAR) + 1 AS n FROM documents)"""
+
+
+@query("walk_tree", TREE + """ SELECT 'lang=' || lang || '/source=' || source AS path, CASE WHEN source LIKE '%.zarr' THEN 'dataset' ELSE 'folder' END AS type, 2 AS depth, sum(CASE WHEN source LIKE '%.zarr' THEN 0 ELSE n END)::BIGINT AS size_bytes FROM f GROUP BY ALL
+UNION ALL SELECT 'lang=' || lang, 'folder', 1, sum(CASE WHEN source LIKE '%.zarr' THEN 0 ELSE n END)::BIGINT FROM f GROUP BY ALL""")
+def _(s, d):
+    """Text files written by language and source, found again folder by folder; a folder has the sum of what it holds."""
+    from ..sources import inventory, walk
+
+    folder = sinks.scratch(s, "tree")
+    docs = V.table(s, d, "documents")
+    source = F.concat(F.coalesce("source", F.lit("none")), F.when(F.col("doc_id") % 2 == 0, ".zarr").otherwise(""))
+    docs.select(F.coalesce("lang", F.lit("none")).alias("lang"), source.alias("source"), F.col("doc_id").cast("string").alias("value")).repartition("lang", "source").write.partitionBy("lang", "source").text(folder)
+    found = walk.walk(s, [folder], {"txt", "zarr"}, walk.by_extension("zarr"), folders=True, relative_to=folder)
+    sized = inventory.folder_sizes(found).unionByName(found.where("type = 'dataset'"))
+    return sized.select("path", "type", "depth", "size_bytes")
+
+
+@query("metric_failures", PX + """, r AS (SELECT record_id, max(CASE WHEN y = 0 AND x = 0 THEN p END) < 0 AS bad FROM px GROUP BY 1)
+SELECT 'basic' AS metric, 0::BIGINT AS n_failed, count(*) AS n_rows, NULL AS example FROM r UNION ALL SELECT 'fussy', count(*) FILTER (bad), count(*), CASE WHEN count(*) FILTER (bad) > 0 THEN 'a corner below zero' END FROM r""")
+def _(s, d):
+    """A kernel that refuses planes with a corner below zero, beside one that takes all."""
+    metric = rasters.Metric("fussy", {"corner": "double"}, _corner)
+    rasters.register_metric(metric)
+    try:
+        measured = rasters.measure(V.raster8(s, d), ["basic", "fussy"])
+    finally:
+        del rasters.REGISTRY["fussy"]
+    return rasters.failures(measured, ["basic", "fussy"])
+
+
+def _corner(a, order):
+    if a[0, 0] < 0:
+        raise ValueError("a corner below zero")
+    return {"corner": float(a[0, 0])}

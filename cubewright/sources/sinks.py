@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,16 +36,60 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-#: What columns mean, by name or by the beginning of it.
-DOCS = {"obs_level": "number of fixed dimensions (0: the whole array)", "num_pixels": "elements covered", "size_bytes": "size on disk", "path": "where the file is"}
-FAMILIES = {"dim_": "coordinate along an axis, null if free", "size_": "extent along an axis", "pixel_size_": "physical size of an element"}
+#: What columns mean that no metric gives, by name, and by pattern for families whose names depend on the data.
+MEANINGS = {
+    "path": "where the file is",
+    "name": "last part of the path",
+    "type": "file, folder, dataset, or sub_file for a part of a container",
+    "parent": "the folder it is in",
+    "depth": "folders below the base",
+    "size_bytes": "size on disk; of a folder the sum of what it holds",
+    "file_extension": "extension in lower case, without its dot",
+    "modification_date": "when it was changed last",
+    "modification_month": "month in which it was changed last",
+    "imported_path": "the base under which it was found",
+    "imported_path_short": "the base without what all bases share",
+    "common_base": "last folder that all bases share",
+    "child_id": "which part of its container",
+    "obs_level": "number of fixed dimensions (0: the whole array)",
+    "num_pixels": "elements covered",
+    "ndim": "number of axes",
+    "shape": "extent along each axis",
+    "dim_order": "a letter for each axis",
+    "dtype": "type of the values",
+    "capabilities": "what the array can be measured for",
+    "nodata_count": "values that stand for no data",
+    "errors": "metrics that failed, with their messages",
+    "thumbnail": "pixels of a small picture, red, green, blue and alpha",
+    "norm_min": "value shown as black in the thumbnail",
+    "norm_max": "value shown as white in the thumbnail",
+    "thumbnail_dtype": "type of the values that the thumbnail shows",
+}
+FAMILIES = {
+    "^dim_[a-z]+$": "coordinate along an axis, null if free",
+    "^size_[a-z]$": "extent along an axis",
+    "^full_size_[a-z]$": "extent of the whole array along an axis",
+    "^pixel_size_[a-z](_unit)?$": "physical size of an element, or its unit",
+    "^channel_names?$": "what the channels show",
+    "^hist(ogram)?_?(counts|min|max|lo|hi)?$": "histogram of the values, and its bounds",
+    "(?:^|_)count$": "how many there are",
+}
+
+
+def meaning(column: str) -> str | None:
+    """What a column means: by name, else as an output of a registered metric, else by family."""
+    from ..operators.rasters import REGISTRY
+
+    by_metric = {k: v for m in REGISTRY.values() for k, v in m.meanings.items()}
+    family = next((text for pattern, text in FAMILIES.items() if re.search(pattern, column, re.I)), None)
+    return MEANINGS.get(column) or by_metric.get(column) or family
 
 
 def described(df: DataFrame, provenance: dict | None = None) -> DataFrame:
     """``df`` with a comment on each known column, and the provenance on the first one."""
 
     def meta(i: int, name: str) -> dict:
-        text = DOCS.get(name) or next((d for p, d in FAMILIES.items() if name.startswith(p)), None)
+        text = meaning(name)
         return ({"comment": text} if text else {}) | ({"provenance": json.dumps(provenance)} if provenance and i == 0 else {})
 
     return df.select(*(F.col(f"`{c}`").alias(c, metadata=m) if (m := meta(i, c)) else F.col(f"`{c}`") for i, c in enumerate(df.columns)))
@@ -57,8 +104,23 @@ def write_report(df: DataFrame, path: str, provenance: dict | None = None, small
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(table, provenance); bad or missing provenance is empty."""
-    df = spark.read.parquet(path)
+    """(table, provenance); bad or missing provenance is empty.
+
+    Nothing there is a ``FileNotFoundError``, another suffix than ``.parquet`` or what isn't Parquet a ``ValueError``; a folder in which nothing was written is an empty table.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(where):
+        raise FileNotFoundError(f"no report at {path}")
+    suffix = re.search(r"\.[^./]*$", where.getName())
+    if suffix and suffix[0].lower() != ".parquet":
+        raise ValueError(f"a .parquet report is expected, not {path}")
+    if files.getFileStatus(where).isDirectory() and not any(s.getPath().getName()[:1] not in "._" for s in files.listStatus(where)):
+        return spark.createDataFrame([], T.StructType()), {}
+    try:
+        df = spark.read.parquet(path)
+    except (AnalysisException, SparkRuntimeException, Py4JError) as e:
+        raise ValueError(f"{path} is not readable as a report: {e}") from e
     for f in df.schema.fields:
         if "provenance" in (f.metadata or {}):
             try:
