@@ -155,7 +155,7 @@ def _(s, d):
     return V.leaf_cube(s, d).where(dim_subset(["dim_z", "dim_c"], {"dim_z": 1}, ["dim_c"])).select("rec", "dim_z", "dim_c", "v_sum")
 
 
-@query("cohort_semi", LEAF + " SELECT rec, v_sum FROM cube WHERE obs_level = 0 AND rec IN (SELECT rec FROM cube WHERE dim_z = 3 AND dim_c = 1)")
+@query("cohort_semi", LEAF.replace("cube AS (", "cube AS MATERIALIZED (") + " SELECT rec, v_sum FROM cube WHERE obs_level = 0 AND rec IN (SELECT rec FROM cube WHERE dim_z = 3 AND dim_c = 1)")
 def _(s, d):
     hit = R.leaf_cohort(V.leaf(s, d), "rec", {"dim_z": 3, "dim_c": 1})
     return V.leaf_cube(s, d).where("obs_level = 0").join(hit, "rec", "left_semi").select("rec", "v_sum")
