@@ -5,6 +5,10 @@ partitioned by n-gram hash; a table adds them up and returns to each block the t
 hold too. A block then joins totals to its documents' n-grams, takes each document's own counts off, and sums by document.
 A frequent n-gram is one row per block, so no key is hot, and a task holds one block or one slice of hashes.
 
+A block sends ``2**bits`` slices at most, whatever the number of blocks. Where there are more blocks than that, counts go up a tree:
+a table adds up as many blocks for one slice, cuts it into as many finer slices and sends these on in turn, until one table
+holds a slice of all blocks; totals come back the same way. So the rows sent grow with the blocks, not with their square.
+
 With ``c`` the counts without the document itself, ``N`` its words likewise, and ``n`` the order:
 ``S(w | ctx) = c(ctx w) / c(ctx)`` if ``c(ctx w) > 0``, else ``backoff * S(w | shorter ctx)``; the empty context gives
 ``c(w) / N``, and ``backoff / (N + 1)`` for a word that no other document has. The score is the sum of ``ln S``.
@@ -15,7 +19,7 @@ document scores every word as unseen; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,9 +84,74 @@ def _unpack(z: zstandard.ZstdDecompressor, blob: bytes) -> tuple[np.ndarray, np.
     return np.cumsum(d, dtype=np.uint64), n.view(np.int64)
 
 
-def _cuts(grams: np.ndarray, slices: int) -> np.ndarray:
-    """Where each slice of the hash range starts in sorted hashes, and the end."""
-    return np.append(np.searchsorted(grams, [np.uint64((k << 64) // slices) for k in range(slices)]), len(grams))
+def _cuts(grams: np.ndarray, level: int, bits: int) -> np.ndarray:
+    """Where each slice of sorted hashes starts, and the end: by the ``bits`` of a hash after ``level * bits`` others, in which all agree."""
+    digit = (grams >> np.uint64(64 - (level + 1) * bits)) & np.uint64((1 << bits) - 1)
+    return np.searchsorted(digit, np.arange((1 << bits) + 1))
+
+
+def _added(blobs: Iterable[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of some tables: (counts of each, all hashes, their totals, each table's places in these)."""
+    z = zstandard.ZstdDecompressor()
+    got = [_unpack(z, x) for x in blobs]
+    grams, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    total = np.zeros(len(grams), np.int64)
+    np.add.at(total, at, np.concatenate([x[1] for x in got]))
+    ends = np.cumsum([len(x[0]) for x in got])[:-1]
+    return [x[1] for x in got], grams, total, np.split(at, ends)
+
+
+def _told(df: pd.DataFrame, counts: list[np.ndarray], total: np.ndarray, places: list[np.ndarray]) -> pd.DataFrame:
+    """To each sender, for its n-grams of the slice in order: which of them others hold too, and their totals."""
+    c, out = zstandard.ZstdCompressor(level=1), []
+    for node, digit, own, i in zip(df["node"], df["digit"], counts, places):
+        more = total[i] != own
+        if more.any():
+            out.append((node, digit, c.compress(np.packbits(more).tobytes()), c.compress(_columns(total[i][more]))))
+    return pd.DataFrame(out, columns=["node", "digit", "which", "totals"])
+
+
+def _overlaid(total: np.ndarray, cut: np.ndarray, told: pd.DataFrame) -> None:
+    """Totals that came back, into a sender's own counts."""
+    z = zstandard.ZstdDecompressor()
+    for k, which, blob in zip(told["digit"], told["which"], told["totals"]):
+        more = np.unpackbits(np.frombuffer(z.decompress(which), np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
+        total[cut[k] : cut[k + 1]][more] = _numbers(z.decompress(blob), np.int64)[0]
+
+
+SENT, TOLD = "node string, digit int, path string, grams binary", "node string, digit int, which binary, totals binary"
+
+
+def exchange(sent: DataFrame, senders: int, bits: int, level: int = 0) -> DataFrame:
+    """``node, digit, which, totals`` for the tables ``node, digit, path, grams`` that ``senders`` groups of nodes send for each path (the digits so far)."""
+    groups = -(-senders // (1 << bits))
+    keyed = sent.withColumn("key", F.concat_ws("/", F.pmod(F.xxhash64(F.element_at(F.split("node", "@"), 1)), F.lit(groups)).cast("string"), "path"))
+    if groups == 1:
+
+        def add(df: pd.DataFrame) -> pd.DataFrame:
+            counts, _, total, places = _added(df["grams"])
+            return _told(df, counts, total, places)
+
+        return keyed.groupBy("key").applyInPandas(add, TOLD)
+    keyed = written(keyed, "sent")  # read on the way up and on the way back
+
+    def merge(df: pd.DataFrame) -> pd.DataFrame:
+        _, grams, total, _ = _added(df["grams"])
+        z, cut, key = zstandard.ZstdCompressor(level=1), _cuts(grams, level + 1, bits), df["key"].iloc[0]
+        group, path = key.split("/", 1)
+        rows = [(f"{group}@{path}", k, f"{path}.{k}", _pack(z, grams[cut[k] : cut[k + 1]], total[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()]
+        return pd.DataFrame(rows, columns=["node", "digit", "path", "grams"])
+
+    up = exchange(keyed.groupBy("key").applyInPandas(merge, SENT), groups, bits, level + 1)
+
+    def back(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame([], columns=["node", "digit", "which", "totals"])
+        counts, grams, total, places = _added(left["grams"])
+        _overlaid(total, _cuts(grams, level + 1, bits), right)
+        return _told(left, counts, total, places)
+
+    return keyed.groupBy("key").cogroup(up.withColumn("key", F.replace("node", F.lit("@"), F.lit("/"))).groupBy("key")).applyInPandas(back, TOLD)
 
 
 def _counts(raw: list[bytes], order: int):
@@ -94,11 +163,11 @@ def _counts(raw: list[bytes], order: int):
     return doc, sizes, levels, grams, n
 
 
-def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_bytes: int = 8 << 20, bits: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``.
 
-    ``buckets``: slices of the hash range; by default as many as ``order`` times the blocks over two, so that a slice holds the n-grams
-    of about two blocks however large the corpus is, and at least four a shuffle partition.
+    ``bits``: a block sends ``2**bits`` slices of its counts; by default as many as ``order`` times the blocks over two, so that a slice holds the n-grams
+    of about two blocks, at least four a shuffle partition, and 512 at most.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -132,35 +201,15 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
         for df in parts:
             for _, row in df.iterrows():
                 _, _, _, grams, n = _counts(texts(row), order)
-                cut = _cuts(grams, slices)
-                rows = [(row["block"], k, _pack(z, grams[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()]
-                yield pd.DataFrame(rows, columns=["block", "slice", "grams"])
-
-    def add(df: pd.DataFrame) -> pd.DataFrame:
-        """To each block, for its n-grams of the slice in order: which of them other blocks hold too, and their totals."""
-        z, c = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        got = [_unpack(z, x) for x in df["grams"]]
-        h, n = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-        grams, at, times = np.unique(h, return_inverse=True, return_counts=True)
-        total = np.zeros(len(grams), np.int64)
-        np.add.at(total, at, n)
-        out, a = [], 0
-        for block, x in zip(df["block"], got):
-            i = at[a : a + len(x[0])]
-            a += len(x[0])
-            more = times[i] > 1
-            if more.any():
-                out.append((block, df["slice"].iloc[0], c.compress(np.packbits(more).tobytes()), c.compress(_columns(total[i[more]]))))
-        return pd.DataFrame(out, columns=["block", "slice", "which", "totals"])
+                cut = _cuts(grams, 0, bits)
+                rows = [(row["block"], k, str(k), _pack(z, grams[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()]
+                yield pd.DataFrame(rows, columns=["node", "digit", "path", "grams"])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in left.iterrows():
             doc, sizes, levels, grams, total = _counts(texts(row), order)
-            z, cut = zstandard.ZstdDecompressor(), _cuts(grams, slices)
-            for k, which, blob in zip(right["slice"], right["which"], right["totals"]):
-                more = np.unpackbits(np.frombuffer(z.decompress(which), np.uint8), count=cut[k + 1] - cut[k]).astype(bool)
-                total[cut[k] : cut[k + 1]][more] = _numbers(z.decompress(blob), np.int64)[0]
+            _overlaid(total, _cuts(grams, 0, bits), right)
             words = (total[grams == ALL].sum() - sizes)[doc].astype(np.float64)  # N without the own document
             rest = []
             for h in levels:
@@ -180,9 +229,9 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4, block_
 
     # Written, so that a block has the same documents and name wherever it is read again.
     blocks = written(docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(pack, f"block string, ids array<{kind}>, sizes binary, z binary"), "blocks")
-    slices = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), order * blocks.count() // 2)
-    sent = blocks.mapInPandas(send, "block string, slice int, grams binary")
-    totals = sent.groupBy("slice").applyInPandas(add, "block string, slice int, which binary, totals binary")
+    n = blocks.count()
+    bits = bits or min(9, max(2, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), order * n // 2) - 1).bit_length())
+    totals = exchange(blocks.mapInPandas(send, SENT), max(n, 1), bits).withColumnRenamed("node", "block")
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(score, f"doc_id {kind}, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.expr("try_divide(log_score, n_words)"))
 

@@ -155,7 +155,7 @@ def test_operators_with_clashing_columns(spark, docs):
 def test_lm_score(spark, order):
     texts = [" ".join(R.choice("ab cd ef gh the of".split()) for _ in range(R.randrange(30))) for _ in range(60)] + [None, "", "new", "the the the"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    got = lm_score.stupid_backoff(df, order, block_bytes=300, buckets=7).select("n_words", F.round("log_score", 6)).collect()
+    got = lm_score.stupid_backoff(df, order, block_bytes=300, bits=3).select("n_words", F.round("log_score", 6)).collect()
     assert sorted(map(tuple, got)) == brute_backoff(texts, order)
 
 
