@@ -622,7 +622,7 @@ def test_registered_queries_run(spark, sf):
     """Every query of this folder runs on the given tables and has its columns."""
     from cubewright.llm.queries import QUERIES
 
-    shapes = {"op2": "doc_id size source_size target taken", "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4": "query_id rank vec_id score", "op5": "doc_id piece start length ids_crc32 sequence_id offset", "op6": "page_id host path rule verdict", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_bytes n_removed n_spans kept_sha256", "op9": "doc_id fingerprint component_id", "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans"}
+    shapes = {"op2": "doc_id size source_size target taken", "op3": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op4": "query_id rank vec_id score", "op5": "doc_id piece start length ids_crc32 sequence_id offset", "op6": "page_id host path rule verdict", "op7": "doc_id held_out lang_pred score", "op8": "doc_id n_bytes n_removed n_spans kept_sha256", "op9": "doc_id fingerprint component_id", "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op11": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op12": "page_id url text n_chars", "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"}
     for name, q in QUERIES.items():
         df = q(spark, sf)
         assert set(shapes.get(name.split("_")[0], "doc_id").split()) <= set(df.columns) and df.collect()
