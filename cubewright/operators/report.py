@@ -267,6 +267,39 @@ def pair_profile(df: DataFrame, x: str, y: str, categories: int = 30) -> DataFra
     return r.withColumn("kind", kind)
 
 
+def plot_kind(df: DataFrame, x: str, y: str | None = None, colour: str | None = None, categories: int = 30, hues: int = 12) -> DataFrame:
+    """How to show ``x`` alone or against ``y``, in one row: ``kind, x, y, n_x, n_y, flipped, too_many, hue``.
+
+    ``kind``: ``count_table`` or ``count_bar`` for ``x`` alone; ``invalid`` for a column against itself; ``scatter`` for two numbers (``number_table`` if the second
+    doesn't vary), ``heatmap`` for two categories, ``distribution`` for one of each (``category_table`` if either doesn't vary; ``flipped``: the number is
+    ``x``). Dates are numbers. A category of over ``categories`` values, missing ones being one, is named in ``too_many`` and the kind is ``message``.
+    ``n_x`` and ``n_y`` are distinct values, of categories with the missing one. ``hue``: ``colour`` if it has ``hues`` values at most.
+    """
+    number = {f.name: isinstance(f.dataType, T.NumericType) or role(f) == "date" for f in df.schema.fields}
+    of = {"x": x, "y": y, "colour": colour}
+    cells = [(F.col(f"`{c}`") if k != "colour" and number[c] else missing(f"`{c}`")).alias(k) for k, c in of.items() if c]
+    some = df.select(*cells)
+    counts = distinct_counts(some, some.columns)
+    n = {k: F.coalesce(F.max(F.when(F.col("column") == k, F.col("n_distinct"))), F.lit(0)).cast("long") if c else F.lit(None).cast("long") for k, c in of.items()}
+    one = counts.agg(n["x"].alias("n_x"), n["y"].alias("n_y"), n["colour"].alias("n_colour"))
+    none = F.lit(None).cast("string")
+    many = [F.when(F.col(f"n_{k}") > categories, F.lit(of[k])) for k in ("x", "y") if of[k] and not (y and number[of[k]])]
+    too_many = none if x == y else F.coalesce(*many, none)
+    if x == y:
+        kind = F.lit("invalid")
+    elif y is None:
+        kind = F.when(F.col("n_x") == 1, "count_table").otherwise("count_bar")
+    elif number[x] and number[y]:
+        kind = F.when(F.col("n_y") <= 1, "number_table").otherwise("scatter")
+    elif not number[x] and not number[y]:
+        kind = F.lit("heatmap")
+    else:
+        kind = F.when(F.least("n_x", "n_y") <= 1, "category_table").otherwise("distribution")
+    flipped = F.lit(bool(y) and x != y and number[x] and not number[y])
+    hue = F.when(F.col("n_colour") <= hues, F.lit(colour)) if colour else none
+    return one.select(F.when(too_many.isNotNull(), "message").otherwise(kind).alias("kind"), F.lit(x).alias("x"), F.lit(y).cast("string").alias("y"), "n_x", "n_y", flipped.alias("flipped"), too_many.alias("too_many"), hue.alias("hue"))
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return _per_column(df, columns, n_null=lambda c: F.count_if(F.col(c).isNull()))
 

@@ -427,6 +427,33 @@ def _(s, d):
     return C.observation_cube(leaf, ["rec"], ["dim_z"], {"v": "sum"}, sizes={"dim_z": "size_z"}, whole={"largest": "max"}).select("rec", "dim_z", "obs_level", "size_z", "v", "largest")
 
 
+PLOTS = """o AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, o_custkey::VARCHAR AS customer, o_totalprice AS price, o_orderdate AS day FROM orders),
+n AS (SELECT count(DISTINCT status) AS status, count(DISTINCT priority) AS priority, count(DISTINCT customer) AS customer, count(DISTINCT price) AS price, count(DISTINCT day) AS day FROM o)"""
+
+
+def _plot_sql(kind: str, x: str, y: str | None, flipped: bool, checked: list[str], colour: str | None) -> str:
+    many = " ".join(f"WHEN {c} > 30 THEN '{c}'" for c in checked)
+    many = f"CASE {many} END" if many else "NULL::VARCHAR"
+    hue = f"CASE WHEN {colour} <= 12 THEN '{colour}' END" if colour else "NULL::VARCHAR"
+    name, second = (f"'{y}'", y) if y else ("NULL::VARCHAR", "NULL::BIGINT")
+    return f"SELECT CASE WHEN {many} IS NULL THEN '{kind}' ELSE 'message' END AS kind, '{x}' AS x, {name} AS y, {x} AS n_x, {second} AS n_y, {str(flipped).lower()} AS flipped, {many} AS too_many, {hue} AS hue FROM n"
+
+
+#: kind where nothing has too many values, x, y, flipped, the categories that are counted, colour
+PLOT_CASES = [("count_bar", "priority", None, False, ["priority"], None), ("count_bar", "customer", None, False, ["customer"], "status"), ("scatter", "price", "day", False, [], "customer"), ("heatmap", "status", "priority", False, ["status", "priority"], "priority"), ("heatmap", "status", "customer", False, ["status", "customer"], None), ("distribution", "priority", "price", False, ["priority"], "status"), ("distribution", "day", "status", True, ["status"], None), ("distribution", "price", "customer", True, ["customer"], None), ("invalid", "price", "price", False, [], None)]
+
+
+@query("plot_kinds", PLOTS + " " + " UNION ALL ".join(_plot_sql(*c) for c in PLOT_CASES))
+def _(s, d):
+    """How pairs of columns of orders are shown: numbers, dates and categories, some of too many values."""
+    o = V.table(s, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").cast("string").alias("customer"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("day"))
+    out = None
+    for _, x, y, _, _, colour in PLOT_CASES:
+        one = R.plot_kind(o, x, y, colour)
+        out = out.unionByName(one) if out is not None else one
+    return out
+
+
 # -- written and read again ---------------------------------------------------------------------------------------
 
 

@@ -202,3 +202,16 @@ def test_big_sides_stay_spread(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet")
     plan = R.sample_per_group(df, "event_type", "event_id", 10)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
+
+
+def test_plot_kind(spark):
+    df = spark.createDataFrame([(1, 2.0, "a", None, "k"), (1, 3.0, "b", None, "k"), (1, None, None, None, "k")], "one int, v double, c string, none string, same string")
+    of = lambda *a, **k: R.plot_kind(df, *a, **k).first()
+    assert of("c").kind == "count_bar" and of("c").n_x == 3  # the missing one counts
+    assert (of("same").kind, of("none").kind, of("none").n_x) == ("count_table", "count_table", 1)
+    assert of("v", "one").kind == "number_table" and of("one", "v").kind == "scatter"
+    assert of("c", "one").kind == "category_table" and of("same", "v").kind == "category_table"
+    assert (of("v", "c").kind, of("v", "c").flipped, of("c", "v").flipped) == ("distribution", True, False)
+    assert (of("c", categories=2).kind, of("c", categories=2).too_many) == ("message", "c")
+    assert of("c", "c", categories=2).kind == "invalid"
+    assert (of("v", "one", "c").hue, of("v", "one", "c", hues=2).hue) == ("c", None)
