@@ -147,7 +147,7 @@ class DoubleArray:
         free[0], at = False, 1
         for p in np.flatnonzero(many > 1).tolist():
             c = np.sort(code[starts[p] : starts[p + 1]])
-            span, step = int(c[-1] - c[0]), max(1, (1 << 18) // len(c))
+            span, step, most = int(c[-1] - c[0]), 64, max(64, (1 << 18) // len(c))
             while True:  # first fit; what is passed over is left for single children
                 if len(free) < at + step + span + 1:
                     free = np.concatenate([free, np.ones(at + step + span + 1, bool)])
@@ -155,7 +155,7 @@ class DoubleArray:
                 fits = free[tries[:, None] + (c - c[0])].all(axis=1)
                 if fits.any():
                     break
-                at += step
+                at, step = at + step, min(2 * step, most)
             base[p] = tries[np.argmax(fits)] - c[0]
             free[base[p] + c] = False
             slot[1 + starts[p] : 1 + starts[p + 1]] = base[p] + code[starts[p] : starts[p + 1]]
