@@ -532,3 +532,29 @@ def _corner(a, order):
     if a[0, 0] < 0:
         raise ValueError("a corner below zero")
     return {"corner": float(a[0, 0])}
+
+
+@query("embed_export_files", "SELECT c_custkey::DOUBLE AS key, c_nationkey::DOUBLE AS nation, coalesce(c_acctbal, 0)::DOUBLE AS balance FROM customer")
+def _(s, d):
+    """Every component of every exported vector, read back from the files."""
+    path = sinks.scratch(s, "embeddings")
+    sinks.export_embeddings(V.table(s, d, "customer"), path)
+    return s.read.option("sep", "\t").csv(f"{path}/tensors", schema="key double, nation double, balance double")
+
+
+@query("unsupported_by_type", "t AS (SELECT CASE p_size % 5 WHEN 0 THEN 'complex64' WHEN 1 THEN 'bool' WHEN 2 THEN 'uint8' WHEN 3 THEN 'int16' ELSE lower(p_brand) END AS dtype FROM part) SELECT dtype, count(*) AS n FROM t WHERE NOT (dtype LIKE 'uint%' OR dtype LIKE 'int%' OR dtype LIKE 'float%') GROUP BY dtype")
+def _(s, d):
+    size = F.col("p_size") % 5
+    kind = F.when(size == 0, "complex64").when(size == 1, "bool").when(size == 2, "uint8").when(size == 3, "int16").otherwise(F.lower("p_brand"))
+    return R.unsupported_dtypes(V.table(s, d, "part").select(kind.alias("dtype")))
+
+
+@query("file_frames", "SELECT o_orderkey AS id, month(o_orderdate)::INTEGER AS modification_month, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) ELSE lower(substr(o_orderpriority, 3, 3)) END AS file_extension FROM orders")
+def _(s, d):
+    """Extensions that a third of the files have already, those of the others from their names."""
+    from ..sources.inventory import file_frame
+
+    own = F.when(F.col("o_orderkey") % 3 == 0, F.lower("o_orderstatus"))
+    name = F.concat(F.col("o_orderkey"), F.lit("."), F.substring("o_orderpriority", 3, 3))
+    o = V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("modification_date"), name.alias("name"), own.alias("file_extension"))
+    return file_frame(o).select("id", "modification_month", "file_extension")
