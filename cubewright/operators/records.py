@@ -105,17 +105,22 @@ def expand_children(files: DataFrame, children: str) -> DataFrame:
     return sub_file_type(files.select(*c, F.posexplode(children).alias("__i", "record")).withColumn("child_id", F.col("__i").cast("string")).drop("__i"))
 
 
-def numbered_children(df: DataFrame, parent: str, order: str, then: list[str], rows: int = 10_000, ranges: int = 64) -> DataFrame:
+def numbered_children(df: DataFrame, parent: str, order: str, then: list[str], rows: int = 10_000, most: int = 1000) -> DataFrame:
     """Rows of ``df`` as children of ``parent``: ``child_id`` counts them from 0 by ``order`` (a number) and ``then``, nulls last.
 
     A parent with over ``rows`` rows is numbered by ranges of ``order``, each offset by the rows of the ranges before it; no parent is gathered in
-    one row. Rows that share ``order`` are in one range, which one task sorts.
+    one row. There are as many ranges as the largest parent has times ``rows``, ``most`` at most. Rows that share ``order`` are in one range, which one task sorts.
     """
-    splits = F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 1000)
-    large = df.join(df.groupBy(F.col(parent).alias("__p")).agg(F.count("*").alias("__n")).where(F.col("__n") > rows).select("__p", F.lit(True).alias("__large")), F.col(parent).eqNullSafe(F.col("__p")), "left").drop("__p")
-    bounds = large.where("__large").agg(splits.alias("s")).first()["s"] or []  # at most ``ranges`` numbers
-    place = F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(sum((F.col(order) >= x).cast("int") for x in bounds) if bounds else F.lit(0))
-    dealt = large.withColumn("__r", F.when(F.col("__large"), place).otherwise(0)).drop("__n")
+    counts = df.groupBy(F.col(parent).alias("__p")).agg(F.count("*").alias("__n"))
+    ranges = min(most, -(-(counts.agg(F.max("__n")).first()[0] or 0) // rows))
+    large = df.join(counts.where(F.col("__n") > rows).select("__p", F.lit(True).alias("__large")), F.col(parent).eqNullSafe(F.col("__p")), "left").drop("__p")
+    bounds = []
+    if ranges > 1:
+        splits = F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10 * most)
+        bounds = sorted(set(large.where("__large").agg(splits.alias("s")).first()["s"] or []))  # ``most`` numbers at most
+    passed = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order))) if bounds else F.lit(0)
+    place = F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(passed)
+    dealt = large.withColumn("__r", F.when(F.col("__large"), place).otherwise(0))
     inside = Window.partitionBy(parent, "__r").orderBy(*(F.col(c).asc_nulls_last() for c in (order, *then)))
     before = Window.partitionBy("__p").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.where("__large").groupBy(F.col(parent).alias("__p"), "__r").agg(F.count("*").alias("__n"))  # ``ranges`` rows a large parent

@@ -73,7 +73,7 @@ def test_numbered_children(spark, tmp_path):
     key = lambda r: (r[1] is None, r[1] or 0, r[2])
     want = {(p, t, x): str(i) for p in (None, 0, 1) for i, (_, t, x) in enumerate(sorted((r for r in rows if r[0] == p), key=key))}
     for limit in (5, 1000):
-        out = records.numbered_children(df, "conv_id", "turn", ["text"], rows=limit, ranges=8)
+        out = records.numbered_children(df, "conv_id", "turn", ["text"], rows=limit, most=8 if limit == 5 else 1000)
         assert {(r.conv_id, r.turn, r.text): r.child_id for r in out.collect()} == want and out.count() == 200
     df.write.parquet(f"{tmp_path}/conversations.parquet")
     plan = Q["container_expansion"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
