@@ -21,28 +21,28 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, facts: dict[st
     around = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-REACH, REACH)})
     edges = F.percentile_approx(value, around, ACCURACY).alias("__edges")
     groups = known.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(k) for k, c in (facts or {}).items()), edges)
-    j = known.select(*keys, F.col(value).alias("__v")).join(groups.select(*keys, "n", "__edges"), keys)
-    v = F.col("__v")
+    # what is known of a group goes with its rows, so that it is worked out once
+    known_of = F.struct("n", *(facts or {})).alias("__of")
+    j = known.select(*keys, F.col(value).alias("__v")).join(groups.select(*keys, known_of, "__edges"), keys)
+    v, n = F.col("__v"), F.col("__of.n")
     part = F.size(F.filter("__edges", lambda e: e <= v))  # edges at or below the value
-    inside = F.col("n") <= SMALL
+    inside = n <= SMALL
     for p in at:
         lo, hi = (1 + around.index(min(1.0, max(0.0, p + d))) for d in (-REACH, REACH))
         inside |= (v >= F.element_at("__edges", lo)) & (v <= F.element_at("__edges", hi))
-    cells = j.select(*keys, part.alias("__part"), F.when(inside, v).alias("__v")).groupBy(*keys, "__part", "__v").agg(F.count("*").alias("__c"))
+    cells = j.select(*keys, "__of", part.alias("__part"), F.when(inside, v).alias("__v")).groupBy(*keys, "__of", "__part", "__v").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part", F.col("__v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = cells.withColumn("__upto", upto).where("__v is not null").join(groups.select(*keys, "n"), keys)
+    place = lambda p: F.lit(p) * (n - 1)
     picks = []
     for i, p in enumerate(at):
-        place = F.lit(p) * (F.col("n") - 1)
-        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+        for name, rank in (("lo", F.floor(place(p))), ("hi", F.ceil(place(p)))):
             held = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-            picks.append(F.max(F.when(held, F.col("__v"))).alias(f"__{name}{i}"))
-    found = ranked.groupBy(*keys).agg(*picks)
-    place = lambda p: F.lit(p) * (F.col("n") - 1)
+            picks.append(F.max(F.when(held, v)).alias(f"__{name}{i}"))
+    found = cells.withColumn("__upto", upto).where("__v is not null").groupBy(*keys, "__of").agg(*picks)
+    missed = F.raise_error(F.lit("a quantile is outside its bracket")).cast("double")
     q = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (place(p) - F.floor(place(p))) for i, p in enumerate(at)]
-    missed = F.raise_error(F.lit("a quantile is outside its bracket"))
-    whole = [F.when(F.col(f"__lo{i}").isNull() | F.col(f"__hi{i}").isNull(), missed.cast("double")).otherwise(c) for i, c in enumerate(q)]
-    return groups.drop("__edges").join(found, keys).select(*keys, "n", *(facts or {}), F.array(*whole).alias("q"))
+    whole = [F.when(F.col(f"__lo{i}").isNull() | F.col(f"__hi{i}").isNull(), missed).otherwise(c) for i, c in enumerate(q)]
+    return found.select(*keys, "__of.*", F.array(*whole).alias("q"))
 
 
 def sketches(long: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -47,7 +47,7 @@ def walk(spark: SparkSession, bases: list[str], accepted: set[str] | str = "all"
 
     ``path, name, type`` (``file``, ``dataset``, ``folder``), ``parent, depth`` (below the base), ``size_bytes, file_extension, modification_date, imported_path,
     common_base`` and, with several bases, ``imported_path_short``. ``accepted``: extensions of files; datasets are taken if theirs is one of them too. A dataset's size is
-    0, as what it holds isn't read. ``relative_to``: paths below it are given from there, itself as ``.``. Bases that are no folders give nothing.
+    0, as what it holds isn't read. A level is dealt over ``partitions`` tasks, more if they would have over a thousand folders each. ``relative_to``: paths below it are given from there, itself as ``.``. Bases that are no folders give nothing.
     """
     own = distinct_bases(bases)
 
@@ -60,7 +60,7 @@ def walk(spark: SparkSession, bases: list[str], accepted: set[str] | str = "all"
     folder = scratch(spark, "walk")
     level, left, levels = spark.createDataFrame([(b, b) for b in own], "path string, base string"), len(own), []
     while left:
-        listed = level.repartition(min(left, partitions), "path").mapInPandas(step, ENTRY)
+        listed = level.repartition(min(left, max(partitions, left // 1000)), "path").mapInPandas(step, ENTRY)
         listed.write.parquet(f"{folder}/{len(levels)}")
         levels.append(spark.read.schema(ENTRY).parquet(f"{folder}/{len(levels)}"))
         level = levels[-1].where("kind = 'folder'").select("path", "base")
