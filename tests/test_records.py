@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 @pytest.mark.parametrize("order, shape, steps, most, late, want", [
     ("YX", [10, 10], {}, 100, "", [10, 10]),
     ("ZYX", [30, 10, 10], {}, 500, "", [5, 10, 10]),
-    ("ZYX", [30, 10, 10], {"Z": 4}, 900, "", [8, 10, 10]),
-    ("YX", [100, 50], {}, 500, "", [10, 50]),
+    ("ZYX", [30, 10, 10], {"Z": 4}, 900, "", [4, 10, 10]),
+    ("YX", [100, 50], {}, 500, "", [25, 16]),
     ("YX", [100, 50], {"Y": -1}, 500, "", [100, 5]),
     ("YX", [100, 50], {"Y": -1, "X": -1}, 10, "", [100, 50]),
     ("CZYX", [3, 30, 10, 10], {}, 300, "C", [3, 1, 10, 10]),
