@@ -124,13 +124,14 @@ def title_case(c: str | Column) -> Column:
     return F.initcap(F.regexp_replace(col(c), "_+", " "))
 
 
-def byte_text(c: str | Column) -> Column:
-    """A number of bytes as text with the largest unit that keeps it at 1 or more, one decimal beyond bytes."""
+def byte_text(c: str | Column, largest: str = "PB") -> Column:
+    """A number of bytes as text with the largest unit, up to ``largest``, that keeps it at 1 or more, one decimal beyond bytes."""
     units = ("B", "KB", "MB", "GB", "TB", "PB")
     n = col(c).cast("double")
-    k = F.when(n < 1024, 0).otherwise(F.least(F.floor(F.log(1024.0, n)), F.lit(len(units) - 1))).cast("int")
-    value = F.when(k == 0, F.format_string("%.0f", n)).otherwise(F.format_string("%.1f", n / F.pow(F.lit(1024.0), k)))
-    return F.concat(value, F.lit(" "), F.element_at(F.array(*map(F.lit, units)), k + 1))
+    out = F.concat(F.format_string("%.0f", n), F.lit(" B"))
+    for k, unit in enumerate(units[1 : units.index(largest) + 1], 1):
+        out = F.when(n >= 1024.0**k, F.concat(F.format_string("%.1f", n / 1024.0**k), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n.isNotNull(), out)
 
 
 def base_of(path: str | Column, bases: list[str]) -> Column:
