@@ -1,7 +1,12 @@
 """Keys and tables larger than the given ones."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pandas as pd
 from cubewright.functions.scalar import byte_text
+from cubewright.operators import rasters
 from cubewright.plans import record_queries  # noqa: F401
 from cubewright.plans.queries import SQL, Q
 
@@ -19,3 +24,18 @@ def test_units(spark):
     rows = spark.createDataFrame([(n,) for n in sizes], "n double").select(byte_text("n").alias("all"), byte_text("n", "GB").alias("some")).collect()
     assert [r["all"] for r in rows] == ["0 B", "1023 B", "1.0 KB", "1.0 MB", "1.0 GB", "1.0 TB", "1.0 PB", "1024.0 PB", None]
     assert [r["some"] for r in rows][4:7] == ["1.0 GB", "1024.0 GB", "1048576.0 GB"]
+
+
+def test_patches_are_handed_on_in_small_batches():
+    """A patch is many times its record: a batch of 10,000 records may not be held as patches."""
+    n = 3 * rasters.BATCH_BYTES // (64 * 64 * 4)
+    df = pd.DataFrame({"id": range(n), "values": [np.arange(16.0)] * n, "shape": [[2, 2, 4]] * n, "dim_order": "YXS"})
+    place = dict.fromkeys(("dim_y", "dim_x"), 0) | dict.fromkeys(("size_y", "size_x", "full_size_y", "full_size_x"), 2)
+    tracemalloc.start()
+    got = []
+    for part in rasters._beside(df[["id"]], ((k, rasters._painted([p], 64)) for k, p in enumerate(rasters._patches(df.assign(**place), 64, "S"))), ["thumbnail", "norm_min", "norm_max"]):
+        assert part["thumbnail"].map(len).sum() <= rasters.BATCH_BYTES + 64 * 64 * 4
+        got += part["id"].tolist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == list(range(n)) and most < 4 * rasters.BATCH_BYTES < n * 64 * 64 * 4 * 8
