@@ -39,3 +39,16 @@ def test_patches_are_handed_on_in_small_batches():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == list(range(n)) and most < 4 * rasters.BATCH_BYTES < n * 64 * 64 * 4 * 8
+
+
+def test_grid_of_tiles(spark):
+    shapes = [("TZYX", [7, 30, 48, 58]), ("TZYX", [1, 1, 8, 9]), ("ZYX", [50, 100, 50]), ("YX", [0, 4]), ("TZYX", [1000000, 1000000, 50, 40])]
+    r = spark.createDataFrame([(i, s, o, "uint16") for i, (o, s) in enumerate(shapes)], "id int, shape array<int>, dim_order string, dtype string")
+    for limit in ({"most": 2000}, {"most_bytes": 3000}):
+        got = {x.id: x for x in rasters.tile_grid(r, {}, **limit).collect()}
+        assert (got[4].tiles, got[4].pixels) == (10**12 * (1 if "most" in limit else 2), 2 * 10**15)  # too many for a row each
+        plan = rasters.tile_plan(r.where("id < 4"), {}, **limit).collect()
+        for i in range(4):
+            mine = [x.extent for x in plan if x.id == i]
+            assert got[i].tiles == len(mine) and got[i].pixels == sum(int(np.prod(e)) for e in mine)
+            assert not mine or got[i].extent == np.max(mine, 0).tolist()
