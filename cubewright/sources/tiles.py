@@ -7,6 +7,7 @@ registered beside it. Files are opened through ``pyarrow.fs``, so that their sto
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,7 +19,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rasters import tile_plan
+from ..operators.rasters import BATCH_BYTES, tile_plan
+
+#: Values of an array, in C order, that are dealt to one task.
+STRETCH = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -116,36 +120,69 @@ def read_tiles(files: DataFrame, steps: dict[str, int] | None = None, most_bytes
     """Tiles of the arrays at ``files`` (``path``), as ``rasters.tile_records`` gives them: ``values, shape, dim_order, dtype, num_pixels``, ``dim_``, ``size_`` and
     ``full_size_`` of each axis of ``dims``, ``error``.
 
-    The plan (``rasters.tile_plan``) is dealt over ``partitions`` before anything is read, by path and origin, so that one large array is read by many tasks. A
-    file or tile that can't be read is one row with its ``error``; each row reads its own bytes, so a task that is run again reads the same.
+    The plan (``rasters.tile_plan``) is dealt over ``partitions`` (default: as many as shuffles have) before anything is read, by path and stretches of ``STRETCH`` values, so that one
+    large array is read by many tasks and a small one is opened once. A file or tile that can't be read is one row with its ``error``; each row reads its own bytes, so a task that is
+    run again reads the same.
     """
     load = LOADERS[loader]
-    keep = files.schema.fields
+    keep = [f.name for f in files.schema.fields]
     found = heads(files, loader, dim_order)
     axes = [d.lower() for d in dims]
     plan = tile_plan(found.where("error is null"), steps or {}, most_bytes=most_bytes)
-    dealt = plan.repartition(partitions, "path", "origin") if partitions else plan.repartition("path", "origin")
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    schema = f"{own}, values array<double>, shape array<int>, dim_order string, dtype string, num_pixels long, " + "".join(f"{p}_{a} int, " for p in ("dim", "size", "full_size") for a in axes) + "error string"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            for r in df.to_dict("records"):
-                row = {f.name: r[f.name] for f in keep} | {"values": None, "shape": list(r["extent"]), "dim_order": r["dim_order"], "dtype": np.dtype(r["dtype"]).name, "num_pixels": int(np.prod(r["extent"], dtype=np.int64)), "error": None}
-                for p, of in (("dim", r["origin"]), ("size", r["extent"]), ("full_size", r["shape"])):
-                    place = {d.lower(): int(x) for d, x in zip(r["dim_order"], of)}
-                    row |= {f"{p}_{a}": place.get(a) for a in axes}
-                try:
-                    with opened(r["path"]) as f:
-                        head = Head(tuple(r["shape"]), r["dtype"], r["dim_order"], r["late"], int(r["offset"]), bool(r["fortran"]))
-                        row["values"] = load.read(f, head, list(r["origin"]), list(r["extent"])).astype(np.float64).ravel()
-                except Exception as e:  # one tile
-                    row["error"] = str(e)
-                out = pd.DataFrame([row])  # a tile at a time
-                yield out.astype({c: "Int32" for c in out.columns if c.startswith(("dim_", "size_", "full_size_")) and c != "dim_order"})
-
-    tiles = dealt.mapInPandas(run, schema)
-    bad = found.where("error is not null").select(*(f.name for f in keep), "error")
+    before = F.aggregate(F.arrays_zip("origin", "shape"), F.lit(0).cast("long"), lambda n, x: n * x["shape"] + x["origin"])
+    # a number, as a plan is small and would be coalesced into a task that reads everything
+    dealt = plan.repartition(partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", F.floor(before / STRETCH))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    places = [f"{p}_{a}" for p in ("dim", "size", "full_size") for a in axes]
+    schema = f"{own}, values array<double>, shape array<int>, dim_order string, dtype string, num_pixels long, " + "".join(f"{p} int, " for p in places) + "error string"
+
+    def made(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, values, types, errors = zip(*rows)
+        plan = b.take(pa.array(at, pa.int64()))
+        gone = pa.array([v is None for v in values])
+        ends = np.cumsum([0, *(0 if v is None else v.size for v in values)])
+        flat = np.concatenate([np.empty(0), *(v for v in values if v is not None)])
+        extents = plan.column("extent").to_pylist()
+        where = {p: [] for p in places}
+        for order, *of in zip(plan.column("dim_order").to_pylist(), plan.column("origin").to_pylist(), extents, plan.column("shape").to_pylist()):
+            for p, numbers in zip(("dim", "size", "full_size"), of):
+                place = dict(zip(order.lower(), numbers))
+                for a in axes:
+                    where[f"{p}_{a}"].append(place.get(a))
+        new = {"values": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.float64()), mask=gone), "shape": plan.column("extent"), "dim_order": plan.column("dim_order"), "dtype": pa.array(types, pa.string()), "num_pixels": pa.array([math.prod(x) for x in extents], pa.int64())}
+        new |= {p: pa.array(v, pa.int32()) for p, v in where.items()} | {"error": pa.array(errors, pa.string())}
+        return pa.RecordBatch.from_arrays([*(plan.column(c) for c in keep), *new.values()], names=[*keep, *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file = None, None
+        try:
+            for b in batches:
+                rows, held = [], 0
+                columns = (b.column(c).to_pylist() for c in ("path", "shape", "dtype", "dim_order", "late", "offset", "fortran", "origin", "extent"))
+                for i, (name, shape, dtype, order, late, offset, fortran, origin, extent) in enumerate(zip(*columns)):
+                    values, error = None, None
+                    try:
+                        if name != path or file is None:
+                            path, old, file = name, file, None
+                            if old is not None:
+                                old.close()
+                            file = opened(name)
+                        values = load.read(file, Head(tuple(shape), dtype, order, late, offset, fortran), origin, extent).astype(np.float64).ravel()
+                        held += values.nbytes
+                    except Exception as e:  # one tile
+                        error = str(e)
+                    rows.append((i, values, np.dtype(dtype).name, error))
+                    if held >= BATCH_BYTES or len(rows) >= 10_000:
+                        yield made(b, rows)
+                        rows, held = [], 0
+                if rows:
+                    yield made(b, rows)
+        finally:
+            if file is not None:
+                file.close()
+
+    tiles = dealt.mapInArrow(run, schema)
+    bad = found.where("error is not null").select(*keep, "error")
     return tiles.unionByName(bad, allowMissingColumns=True)
 
 

@@ -9,6 +9,8 @@ from cubewright.functions.scalar import byte_text
 from cubewright.operators import rasters
 from cubewright.plans import record_queries  # noqa: F401
 from cubewright.plans.queries import SQL, Q
+from cubewright.sources import tiles
+from pyspark.sql import functions as F
 
 
 def test_sizes_of_large_keys(spark, tmp_path):
@@ -52,3 +54,13 @@ def test_grid_of_tiles(spark):
             mine = [x.extent for x in plan if x.id == i]
             assert got[i].tiles == len(mine) and got[i].pixels == sum(int(np.prod(e)) for e in mine)
             assert not mine or got[i].extent == np.max(mine, 0).tolist()
+
+
+def test_small_files_are_read_by_many_tasks(spark, tmp_path):
+    """A plan is a few bytes a tile, so that coalesced it would be one task that reads everything."""
+    for k in range(20):
+        np.save(tmp_path / f"{k}.npy", np.arange(40.0) + k)
+    got = tiles.read_tiles(tiles.found_files(spark, f"file://{tmp_path}"), most_bytes=64, dims="X").select("path", "values", "dim_x", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in got}) > 2 and len(got) == 100
+    assert all(len({r.task for r in got if r.path == p}) == 1 for p in {r.path for r in got})  # and a small file by one of them
+    assert all(r["values"] == [r.dim_x + x + int(r.path.rsplit("/", 1)[1][:-4]) for x in range(8)] for r in got)
