@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import all_of, nan_aggregate, nullif_nan, nullif_nonfinite
 
 
-def _sets(dims: list[str]) -> list[list[str]]:
-    return [[d for i, d in enumerate(dims) if mask >> i & 1] for mask in range(1 << len(dims))]
+def dealt(leaf: DataFrame, rec: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows by record over a number of partitions (default: as many as shuffles have): partitions that are coalesced by their bytes would expand to gigabytes in a task."""
+    return leaf.repartition(partitions or int(leaf.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rec)
 
 
-def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics: dict[str, str], weight: str | None = None, tiled: set[str] = frozenset(), spatial: set[str] = frozenset({"dim_x", "dim_y"}), sizes: dict[str, str] | None = None, whole: dict[str, str] | None = None) -> DataFrame:
+def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics: dict[str, str], weight: str | None = None, tiled: set[str] = frozenset(), spatial: set[str] = frozenset({"dim_x", "dim_y"}), sizes: dict[str, str] | None = None, whole: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
     """``rec, dims, obs_level`` and the metrics, from leaf rows.
 
     A dimension is active for a record if it has more than one coordinate there; spatial ones only if the user tiled them.
@@ -20,14 +21,17 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
     (pooled); means and deviations leave NaN and infinities out. ``sizes``: dimension -> column with a block's extent; a fixed dimension keeps it, blocks of different extent
     at one coordinate are an error, and a free one has the full extent (column ``full_<size>`` where there is one, else the largest block). ``whole``: like ``metrics``, for the row of the whole record only.
 
-    Leaf rows are first added up to one per coordinate, and only mergeable scalars go through the expansion.
+    Records are dealt over ``partitions`` (default: as many as shuffles have), once: what is known of a record, the expansion and its sums need no other shuffle, and a row is only
+    expanded to sets of its record's active dimensions.
     """
     allowed = [d for d in dims if d not in spatial or d in tiled]
     means = {k: m.partition(":")[2] for k, m in metrics.items() if m.startswith("std:")}
-    facts = [(F.min(d) < F.max(d)).alias(f"__act_{d}") for d in allowed]
-    facts += [F.avg(nullif_nonfinite(m)).alias(f"__mid_{m}") for m in set(means.values())]  # pooled squares are taken about it, so that little cancels
-    facts += [F.max(f"full_{c}" if f"full_{c}" in leaf.columns else c).alias(f"__full_{c}") for c in (sizes or {}).values()]
-    joined = leaf.join(leaf.groupBy(*rec).agg(*facts), rec) if facts else leaf
+    of = Window.partitionBy(*rec)
+    facts = {f"__act_{d}": F.min(d).over(of) < F.max(d).over(of) for d in allowed}
+    facts |= {f"__mid_{m}": F.avg(nullif_nonfinite(m)).over(of) for m in means.values()}  # pooled squares are taken about it, so that little cancels
+    facts |= {f"__full_{c}": F.max(f"full_{c}" if f"full_{c}" in leaf.columns else c).over(of) for c in (sizes or {}).values()}
+    joined = dealt(leaf, rec, partitions)
+    joined = joined.where(all_of(F.col(c).isNotNull() for c in rec)).withColumns(facts) if facts else joined
     joined = joined.withColumns({d: F.when(F.col(f"__act_{d}"), F.col(d)) if d in allowed else F.lit(None).cast(leaf.schema[d].dataType) for d in dims})
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
 
@@ -49,17 +53,18 @@ def observation_cube(leaf: DataFrame, rec: list[str], dims: list[str], metrics:
         return F.when(used > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, used) - shift * shift)))
 
     active = [d for d in dims if d in allowed]
+    fixed = {d: F.col("__set").bitwiseAND(1 << i) != 0 for i, d in enumerate(active)}
     cols = [aggregate(k, how).alias(k) for k, how in metrics.items()]
     cols += [aggregate(k, how).alias(f"__whole_{k}") for k, how in (whole or {}).items()]
     for d, c in (sizes or {}).items():
         mixed = F.raise_error(F.concat(F.lit(f"blocks of different {c} at {d} = "), F.coalesce(F.col(d).cast("string"), F.lit("null")))).cast(leaf.schema[c].dataType)
         same = F.when(F.count(c) == 0, F.lit(None)).when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).otherwise(mixed)
-        cols.append((F.when(F.grouping(d) == 0, same).otherwise(F.max(f"__full_{c}")) if d in active else F.max(f"__full_{c}")).alias(c))
-    level = sum((1 - F.grouping(d) for d in active), F.lit(0)).cast("int").alias("obs_level")
+        cols.append((F.when(fixed[d], same).otherwise(F.max(f"__full_{c}")) if d in active else F.max(f"__full_{c}")).alias(c))
+    level = sum((f.cast("int") for f in fixed.values()), F.lit(0)).cast("int").alias("obs_level")
     if active:
-        kept = [F.grouping(d).alias(f"__g_{d}") for d in active]
-        out = joined.groupingSets([[*rec, *s] for s in _sets(active)], *rec, *active).agg(level, *kept, *cols)
-        out = out.where(all_of(~((F.col(f"__g_{d}") == 0) & F.col(d).isNull()) for d in active)).drop(*(f"__g_{d}" for d in active))
+        sets = F.explode(F.array(*map(F.lit, range(1 << len(active)))))
+        rows = joined.withColumn("__set", sets).where(all_of(~f | F.col(d).isNotNull() for d, f in fixed.items())).withColumns({d: F.when(f, F.col(d)) for d, f in fixed.items()})
+        out = rows.groupBy(*rec, *active, "__set").agg(level, *cols).drop("__set")
         out = out.withColumns({d: F.lit(None).cast(leaf.schema[d].dataType) for d in dims if d not in active}) if len(active) < len(dims) else out
     else:
         out = joined.groupBy(*rec).agg(level, *cols).withColumns({d: F.lit(None).cast(leaf.schema[d].dataType) for d in dims})
@@ -105,8 +110,6 @@ def dense(long: DataFrame, keys: list[str], bins: int = 256) -> DataFrame:
 
 def across_dims(cube: DataFrame, dims: list[str], dim: str, metrics: list[str], group: str | None = None, use_level: bool = True) -> DataFrame:
     """Mean, deviation and number of each metric for each slice of ``dim``, in long form, with the retention against the fullest slice."""
-    from pyspark.sql import Window
-
     from ..functions.scalar import dim_subset
 
     g = F.col(group) if group else F.lit("all")

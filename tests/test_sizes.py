@@ -6,10 +6,11 @@ import duckdb
 import numpy as np
 import pandas as pd
 from cubewright.functions.scalar import byte_text
+from cubewright.operators import cube as C
 from cubewright.operators import rasters
 from cubewright.plans import record_queries  # noqa: F401
 from cubewright.plans.queries import SQL, Q
-from cubewright.sources import tiles
+from cubewright.sources import sinks, tiles
 from pyspark.sql import functions as F
 
 
@@ -64,3 +65,27 @@ def test_small_files_are_read_by_many_tasks(spark, tmp_path):
     assert len({r.task for r in got}) > 2 and len(got) == 100
     assert all(len({r.task for r in got if r.path == p}) == 1 for p in {r.path for r in got})  # and a small file by one of them
     assert all(r["values"] == [r.dim_x + x + int(r.path.rsplit("/", 1)[1][:-4]) for x in range(8)] for r in got)
+
+
+def test_cube_shuffles_records_once_into_many_tasks(spark):
+    """One shuffle by record into a number of partitions that is not coalesced; a group expands in a task of a part of the rows."""
+    leaf = spark.range(4000).selectExpr("id div 4 AS rec", "cast(id % 2 AS int) AS dim_z", "cast(id div 2 % 2 AS int) AS dim_c", "cast(id AS double) AS v", "1L AS n")
+    cube = C.observation_cube(leaf, ["rec"], ["dim_z", "dim_c"], {"v": "mean", "n": "sum"}, weight="n", partitions=16)
+    assert cube.rdd.getNumPartitions() == 16
+    got = cube.groupBy("obs_level").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("v").alias("v")).orderBy("obs_level").collect()
+    assert [(r["rows"], r.n) for r in got] == [(1000, 4000), (4000, 8000), (4000, 4000)]
+    assert [r.v for r in got] == [sum(range(4000)) / 4, sum(range(4000)), sum(range(4000))]
+
+
+def test_report_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for df in parts:
+            made.add(len(df))
+            yield df
+
+    df = spark.range(1000).selectExpr("cast(id AS bigint) AS n", "cast(null AS int) AS nothing").mapInPandas(count, "n long, nothing int")
+    sinks.write_report(df, f"file://{tmp_path}/r.parquet", small=True)
+    assert made.value == 1000
+    assert [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(f"file://{tmp_path}/r.parquet").schema] == [("n", "smallint")]
